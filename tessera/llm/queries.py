@@ -7,10 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language_id
+from tessera.llm import cover_tree, divergence, language_id, packing, quality_classifier, simhash
 from tessera.llm.common import fold, table
 
 
+def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_rules(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_classifier.fit(docs, labels.where(fold("doc_id", 5) != 0))
+    return quality_classifier.score(docs, model, keep=[F.col("doc_id"), (fold("doc_id", 5) == 0).alias("held_out")])
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = language_id.fit(docs.where(fold("doc_id", 4) != 2))
@@ -18,6 +40,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_divergence_rules": op2_divergence_rules,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_simhash": op7_simhash,
+    "op8_cover_tree": op8_cover_tree,
     "op9_language_id": op9_language_id,
 }
 
