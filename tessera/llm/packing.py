@@ -8,7 +8,7 @@ give the documents of their emptiest bins into an exchange, where they are dealt
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -95,6 +95,20 @@ def pieces(docs: DataFrame, *, capacity: int = 2048, end: int = 0, doc_id: str =
     return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(tokenised, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
+def _packer(capacity: int, step: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def packed(group: pd.DataFrame) -> pd.DataFrame:
+        sizes = group["length"].to_numpy(np.int64)
+        bins, offsets, n_bins = best_fit_decreasing(sizes, capacity)
+        gap = n_bins - lower_bound(sizes, capacity)
+        given = np.zeros(n_bins, bool)
+        if gap and not last:
+            given[np.argsort(np.bincount(bins, weights=sizes, minlength=n_bins), kind="stable")[: 4 * gap + 8]] = True
+        part = int(group["__part"].iloc[0])
+        return group.drop(columns="__part").assign(sequence_id=((step << 30) + part << 30) + bins, offset=offsets, certified=gap == 0, given=given[bins])
+
+    return packed
+
+
 def pack(items: DataFrame, *, capacity: int = 2048, per_partition: int = 20_000, rounds: int = 3) -> DataFrame:
     """``items`` (any columns, one of them ``length`` from 1 to ``capacity``) with ``sequence_id``, ``offset``, ``certified``.
 
@@ -110,18 +124,8 @@ def pack(items: DataFrame, *, capacity: int = 2048, per_partition: int = 20_000,
         parts, last = max(1, -(-n // per_partition)), k == rounds - 1
         fields = waiting.schema.simpleString()[7:-1]
 
-        def packed(group: pd.DataFrame, k: int = k, last: bool = last) -> pd.DataFrame:
-            sizes = group["length"].to_numpy(np.int64)
-            bins, offsets, n_bins = best_fit_decreasing(sizes, capacity)
-            gap = n_bins - lower_bound(sizes, capacity)
-            given = np.zeros(n_bins, bool)
-            if gap and not last:
-                given[np.argsort(np.bincount(bins, weights=sizes, minlength=n_bins), kind="stable")[: 4 * gap + 8]] = True
-            part = int(group["__part"].iloc[0])
-            return group.drop(columns="__part").assign(sequence_id=((k << 30) + part << 30) + bins, offset=offsets, certified=gap == 0, given=given[bins])
-
         dealt = waiting.withColumn("__part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)))
-        out = written(dealt.groupBy("__part").applyInPandas(packed, f"{fields}, sequence_id long, offset long, certified boolean, given boolean"))
+        out = written(dealt.groupBy("__part").applyInPandas(_packer(capacity, k, last), f"{fields}, sequence_id long, offset long, certified boolean, given boolean"))
         kept = out.where("not given").drop("given")
         done = kept if done is None else done.unionAll(kept)
         waiting = out.where("given").select(items.columns)

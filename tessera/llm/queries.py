@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import cover_tree, divergence, language_id, packing, quality_classifier, simhash
+from tessera.llm import cover_tree, divergence, language_id, packing, quality_classifier, simhash, suffix_dedup
 from tessera.llm.common import fold, table
 
 
@@ -15,6 +15,10 @@ def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_classifier.fit(docs, labels.where(fold("doc_id", 5) != 0))
@@ -41,6 +45,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_divergence_rules": op2_divergence_rules,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash": op7_simhash,
