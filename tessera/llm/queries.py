@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import cover_tree, divergence, language_id, packing, quality_classifier, simhash, suffix_dedup
+from tessera.llm import cover_tree, divergence, language_id, license_scan, mixing, packing, quality_classifier, simhash, suffix_dedup, suffix_tree_lm
 from tessera.llm.common import fold, table
 
+MIX_WEIGHTS = {"domain": {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}, "lang": {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}}
+
+
+def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 7) == 2
+    return suffix_tree_lm.learn_and_score(docs, docs.where(~held_out), keep=[F.col("doc_id"), held_out.alias("held_out")])
+
 
 def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence_rules(table(spark, sf_dir, "documents"))
@@ -19,6 +27,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_classifier.fit(docs, labels.where(fold("doc_id", 5) != 0))
@@ -43,14 +55,47 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, net, keep=[F.col("doc_id"), (fold("doc_id", 4) == 2).alias("held_out")])
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_divergence_rules": op2_divergence_rules,
-    "op3_suffix_dedup": op3_suffix_dedup,
-    "op5_quality_classifier": op5_quality_classifier,
-    "op6_best_fit_packing": op6_best_fit_packing,
-    "op7_simhash": op7_simhash,
-    "op8_cover_tree": op8_cover_tree,
-    "op9_language_id": op9_language_id,
+    f.__name__: f
+    for f in (op1_suffix_tree_lm, op2_divergence_rules, op3_suffix_dedup, op4_mixing, op5_quality_classifier, op6_best_fit_packing, op7_simhash, op8_cover_tree, op9_language_id, op10_license_scan)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _filled(source: str, budget: str, parent: str, name: str, weight: str) -> str:
+    """The water-filling of one level, as in ``mixing.leaf_budgets``."""
+    over = f"partition by {parent} order by cap / w, {name}"
+    return f"""select *, greatest(0.0, least(cap, max(water) over (partition by {parent}) * w)) as given from (
+        select *, ({budget} - coalesce(sum(cap) over ({over} rows between unbounded preceding and 1 preceding), 0.0))
+            / sum(w) over ({over} rows between current row and unbounded following) as water
+        from (select *, {weight} as w from {source}))"""
+
+
+def _case(level: str) -> str:
+    return f"case {level} " + " ".join(f"when '{k}' then {w}::double" for k, w in MIX_WEIGHTS[level].items()) + " else 1.0::double end"
+
+
+MIXING_SQL = f"""
+with docs as (
+  select *, 'd' || (coalesce(try_cast(nullif(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') as bigint), 0) % 4) as domain from (
+    select doc_id, coalesce(lang, 'none') as lang, coalesce(source, 'none') as source, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::bigint as n_tokens from documents)
+  where n_tokens > 0),
+leaves as (select domain, lang, source, sum(n_tokens)::bigint as supply, sum(n_tokens)::double * 2 as cap from docs group by all),
+domains as (select domain, sum(cap) as cap from leaves group by all),
+d as ({_filled("(select *, sum(cap) over () / 2 * 0.8 as total from domains)", "total", "1", "domain", _case("domain"))}),
+languages as (select domain, lang, sum(cap) as cap from leaves group by all),
+l as ({_filled("(select domain, lang, languages.cap, d.given as above from languages join d using (domain))", "above", "domain", "lang", _case("lang"))}),
+s as ({_filled("(select leaves.domain, leaves.lang, source, supply, leaves.cap, l.given as above from leaves join l on leaves.domain = l.domain and leaves.lang = l.lang)", "above", "domain, lang", "source", "1.0::double")}),
+epochs as (select *, least(leaf_supply, leaf_budget - (epoch - 1) * leaf_supply) as room from (
+  select domain, lang, source, supply as leaf_supply, floor(round(given, 4))::bigint as leaf_budget, unnest([1, 2])::int as epoch from s)),
+placed as (
+  select *, sum(n_tokens) over (partition by domain, lang, source, epoch order by place, doc_id, n_tokens rows unbounded preceding) - n_tokens as start from (
+    select docs.*, epoch, leaf_supply, leaf_budget, room, md5('mix:' || epoch || ':' || coalesce(doc_id::varchar, '')) as place
+    from docs join epochs using (domain, lang, source) where room > 0))
+select doc_id, domain, lang, source, epoch, n_tokens, least(n_tokens, room - start)::bigint as take_tokens, leaf_supply, leaf_budget from placed where start < room
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_mixing": MIXING_SQL}
