@@ -160,28 +160,23 @@ def shard_links(fps: DataFrame, *, radius: int = 2, largest: int = 2000, depth:
         if rest and len(rest[0]):
             yield edges(rest)
 
-    def dealt(df: DataFrame, masks: list[int]) -> DataFrame:
-        pairs = F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for m in masks])
-        return df.select("fp", F.explode(pairs).alias("s")).select("fp", "s.mask", "s.key")
-
-    masks, ready, todo = _blocks(0, radius + 1), [], None
-    level = dealt(fps, masks)
+    spark = fps.sparkSession
+    steps = [(0, m) for m in _blocks(0, radius + 1)]
+    level, ready = fps.select("fp", F.lit(0).cast("long").alias("mask")), None
     for k in range(depth):
-        if k == depth - 1:
-            ready.append(level)
+        finer = spark.createDataFrame([(_signed(a), _signed(b)) for a, b in steps], "mask long, finer long")
+        level = level.join(F.broadcast(finer), "mask").select("fp", F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("key")).distinct()
+        large = None
+        if k < depth - 1:
+            large = written(level.groupBy("mask", "key").count().where(F.col("count") > largest).select("mask", "key"))
+        if large is None or large.isEmpty():
+            ready = level if ready is None else ready.unionAll(level)
             break
-        large = level.groupBy("mask", "key").count().where(F.col("count") > largest).select("mask", "key")
-        ready.append(level.join(large, ["mask", "key"], "left_anti").select("fp", "mask", "key"))
-        todo = level.join(large, ["mask", "key"], "left_semi")
-        level = None
-        for m in masks:
-            part = dealt(todo.where(F.col("mask") == _signed(m)).select("fp"), _blocks(m, radius + 1))
-            level = part if level is None else level.unionAll(part)
-        masks = [x for m in masks for x in _blocks(m, radius + 1)]
-    shards = ready[0]
-    for x in ready[1:]:
-        shards = shards.unionAll(x)
-    return shards.distinct().repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(trees, "a long, b long")
+        few = level.join(large, ["mask", "key"], "left_anti").select("fp", "mask", "key")
+        ready = few if ready is None else ready.unionAll(few)
+        level = level.join(large, ["mask", "key"], "left_semi").select("fp", "mask")
+        steps = [(m, x) for _, m in steps for x in _blocks(m, radius + 1)]
+    return ready.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(trees, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = 2, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
