@@ -75,7 +75,8 @@ def to_wkt(geom: dict) -> str:
         return " ".join(f"{x:.15g}" for x in c) if not isinstance(c[0], (list, tuple)) else ", ".join(f"({text(x)})" if isinstance(x[0], (list, tuple)) else text(x) for x in c)
 
     coords = _nested(geom)
-    return f"{geom['kind'].upper()} ({text([coords] if geom['kind'] == 'Point' else coords)})"
+    coords = [coords] if geom["kind"] == "Point" else [[c] for c in coords] if geom["kind"] == "MultiPoint" else coords
+    return f"{geom['kind'].upper()} ({text(coords)})"
 
 
 def from_wkb(data: bytes | str | None) -> tuple[dict | None, int | None]:

@@ -39,7 +39,7 @@ def number_of(c: Column, kind: str, blank: float | None = None) -> Column:
     if kind == "number":
         return finite(c.cast("double"))
     t = F.trim(c.cast("string"))
-    x = F.when(t.rlike(NUMERAL), finite(t.cast("double")))
+    x = F.when(t.rlike(NUMERAL), finite(t.try_cast("double")))
     return x if blank is None else F.when((t == "") & (c.cast("string") != ""), F.lit(blank)).otherwise(x)
 
 

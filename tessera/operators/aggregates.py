@@ -118,7 +118,9 @@ def inspect_fields(df: DataFrame, *, id_like: str = r"(?i)(^|_)(id|key|code|fid|
 
 
 def union_by_name(*frames: DataFrame) -> DataFrame:
-    """Rows of all frames under the union of their columns."""
+    """Rows of all frames under the union of their columns; a column that is text in one frame is text."""
+    text = {f.name for df in frames for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    frames = [df.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if c in text and kind != "string"}) for df in frames]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)

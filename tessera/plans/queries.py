@@ -586,3 +586,31 @@ def event_windows(spark, sf):
 
     out = windowed_metrics(read(spark, sf, "events"), ["event_type"], width="6 hours", value="value")
     return out.select("start", "event_type", "count", F.round("sum", 4).alias("sum"))
+
+
+@query()
+def local_moran(spark, sf):
+    from tessera.operators.permutation import local_moran_test
+
+    return local_moran_test(nation_values(spark, sf), "value", weights.rook_weights(nation_boxes(spark, sf)), permutations=199)
+
+
+@query()
+def moran_permutation(spark, sf):
+    from tessera.operators.permutation import moran_test
+
+    return moran_test(nation_values(spark, sf), "value", weights.rook_weights(nation_boxes(spark, sf)), permutations=199)
+
+
+@query()
+def jenks_breaks(spark, sf):
+    breaks = classify.jenks_breaks(read(spark, sf, "orders"), "o_totalprice")
+    return spark.createDataFrame([(i + 1, b) for i, b in enumerate(breaks)], "class int, upto double")
+
+
+@query()
+def stat_inspect(spark, sf):
+    from tessera.operators.indices import inspect
+
+    rows = inspect(customer_points(spark, sf), ["point"])
+    return spark.createDataFrame([(r["index"], r["feasible"], ", ".join(r["why"]), ", ".join(r["fields"])) for r in rows], "index string, feasible boolean, why string, fields string")

@@ -46,7 +46,7 @@ def with_geometry(df: DataFrame, *, coords: tuple[str, str] | None = None, wkt:
     """Rows with usable coordinates as ``lon`` and ``lat``, or with readable well-known text as ``geom``; coordinates win."""
     pair = None if wkt else coordinate_columns(df.columns, coords)
     if pair:
-        lon, lat = (F.when(F.trim(F.col(c).cast("string")).rlike(NUMERAL), F.trim(F.col(c).cast("string")).cast("double")) for c in pair)
+        lon, lat = (F.when(F.trim(F.col(c).cast("string")).rlike(NUMERAL), F.trim(F.col(c).cast("string")).try_cast("double")) for c in pair)
         return df.withColumn("lon", lon).withColumn("lat", lat).where(F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90))
     wkt = wkt or sniff_wkt(df)
     if not wkt:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def windowed_metrics(events: DataFrame, by: list[str], *, time: str = "ts", width: str = "1 hour", late: str = "10 minutes", value: str | None = None) -> DataFrame:
     """count, and sum and mean of ``value``, per window and group; rows later than the watermark are dropped by a stream."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
     metrics = [F.count(F.lit(1)).alias("count")] + ([F.sum(value).alias("sum"), F.avg(value).alias("avg")] if value else [])
     out = rows.groupBy(F.window(time, width).alias("w"), *by).agg(*metrics)
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, *[c for c in out.columns if c not in ("w", *by)])
