@@ -20,7 +20,8 @@ def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.divergence_rules(table(spark, sf_dir, "documents"))
+    verdicts = divergence.divergence_rules(table(spark, sf_dir, "documents"))
+    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +99,53 @@ placed as (
 select doc_id, domain, lang, source, epoch, n_tokens, least(n_tokens, room - start)::bigint as take_tokens, leaf_supply, leaf_budget from placed where start < room
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": MIXING_SQL}
+_CHARS = (r"[^a-z]", r"[^A-Z]", r"[^0-9]", r"[^\x20\x09-\x0D]", r"[^#*$%&|<>]", None, r"[\x00-\x7F]")
+
+
+def _half(p: str, q: str) -> str:
+    """One cell's share of twice the Jensen-Shannon divergence."""
+    return f"(case when {p} > 0 then {p} * log2(2 * {p} / ({p} + {q})) else 0 end + case when {q} > 0 then {q} * log2(2 * {q} / ({p} + {q})) else 0 end)"
+
+
+def _chars() -> str:
+    own = [f"length(regexp_replace(t, '{c}', '', 'g'))" if c else None for c in _CHARS]
+    own[5] = "length(t) - (" + " + ".join(x for x in own if x) + ")"
+    return "[" + ", ".join(f"({x})::double" for x in own) + "]"
+
+
+RULES_SQL = f"""
+with d as (select doc_id, lang, coalesce(text, '') as t, row_number() over () as rid from documents),
+pieces as (select rid, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as ws from d),
+w as (select rid, unnest(ws) as w, unnest(range(len(ws))) as i from pieces),
+g as (select rid, i, w, lead(w) over o as w1, lead(w, 2) over o as w2 from w window o as (partition by rid order by i)),
+again as (select rid, i from (select *, count(*) over (partition by rid, w, w1, w2) as n from g where w2 is not null) where n > 1),
+covered as (select rid, count(distinct j) as n from (select rid, unnest([i, i + 1, i + 2]) as j from again) group by rid),
+lines as (select rid, count(*) - count(distinct l) as n from (select rid, unnest(string_split(t, chr(10))) as l from d) where regexp_matches(l, '[^\\x20\\x09-\\x0D]') group by rid),
+stats as (
+  select d.*, len(ws) as n_words, length(t) - length(regexp_replace(t, '[^\\x20\\x09-\\x0D]', '', 'g')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+    coalesce(lines.n, 0) as n_dup_lines, coalesce(covered.n, 0) as n_repeat_words, {_chars()} as classes
+  from d join pieces using (rid) left join lines using (rid) left join covered using (rid)),
+base as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from stats),
+good as (select * from base where lang is not null and not base_failed),
+cells as (select rid, lang, unnest(classes) as c, unnest(range(7)) as k from base where not base_failed),
+char_refs as (select lang, k, sum(c) / sum(sum(c)) over (partition by lang) as q from cells where lang is not null group by lang, k),
+char_own as (select rid, k, c / sum(c) over (partition by rid) as p from cells),
+char_least as (select rid, min(v) as v from (select rid, r.lang, sum({_half("p", "q")}) / 2 as v from char_own join char_refs r using (k) group by rid, r.lang) group by rid),
+short as (
+  select rid, lw, count(*)::double as n from (select rid, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lw from w)
+  where regexp_full_match(lw, '[a-z\\x{{80}}-\\x{{10FFFF}}]{{1,4}}') group by rid, lw),
+top as (
+  select lang, lw, n / words as q from (
+    select lang, lw, sum(n) as n, row_number() over (partition by lang order by sum(n) desc, lw) as k from short join good using (rid) group by lang, lw)
+  join (select lang, sum(n_words) as words from good group by lang) using (lang) where k <= 40),
+pairs as (
+  select b.rid, top.lang, q, coalesce(n, 0) / n_words as p from base b cross join top left join short s on s.rid = b.rid and s.lw = top.lw where not base_failed and n_words >= 100),
+word_least as (
+  select rid, min(v) as v from (
+    select rid, lang, (sum({_half("p", "q")}) + {_half("(1 - sum(p))", "greatest(0.0, 1 - sum(q))")}) / 2 as v from pairs group by rid, lang) group by rid)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
+  not base_failed and coalesce(c.v <= 0.08, true) and coalesce(x.v <= 0.115, true) as kept
+from base left join char_least c using (rid) left join word_least x using (rid)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_divergence_rules": RULES_SQL, "op4_mixing": MIXING_SQL}

@@ -101,7 +101,7 @@ def test_repeated_words(words):
 
 
 def test_op2_rules(spark, sf, documents, texts):
-    rows = {r["doc_id"]: r for r in Q.op2_divergence_rules(spark, sf).collect()}
+    rows = {r["doc_id"]: r for r in divergence.divergence_rules(documents).collect()}
     lang = {r["doc_id"]: r["lang"] for r in documents.select("doc_id", "lang").collect()}
     classes, words = {}, {}
     for i, t in texts.items():
@@ -188,6 +188,11 @@ def test_op3_merged_transforms_group_equal_strings(words, length):
         assert least.tolist() == [min(i for i, x in enumerate(windows) if w[k : k + length] in x) for k in range(len(w) - length + 1)]
 
 
+def test_op2_equals_sql(spark, sf, duck):
+    ours = sorted(map(tuple, Q.op2_divergence_rules(spark, sf).collect()))
+    assert ours == sorted(tuple(r) for r in duck.execute(Q.RULES_SQL).fetchall())
+
+
 def test_op4_equals_sql(spark, sf, duck):
     ours = sorted(map(tuple, Q.op4_mixing(spark, sf).select("doc_id", "epoch", "n_tokens", "take_tokens", "leaf_budget").collect()))
     assert ours == sorted(duck.execute(f"select doc_id, epoch, n_tokens, take_tokens, leaf_budget from ({Q.MIXING_SQL})").fetchall())
