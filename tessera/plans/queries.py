@@ -614,3 +614,45 @@ def stat_inspect(spark, sf):
 
     rows = inspect(customer_points(spark, sf), ["point"])
     return spark.createDataFrame([(r["index"], r["feasible"], ", ".join(r["why"]), ", ".join(r["fields"])) for r in rows], "index string, feasible boolean, why string, fields string")
+
+
+# --- views ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"select id, lon, lat from {PTS} where lon between -22.5 and 22.5 and lat between -15 and 15")
+def viewport_rows(spark, sf):
+    from tessera.functions.view import viewport_rows as rows
+
+    return rows(order_points(spark, sf), (-15, -10, 15, 10), 12, key="id")
+
+
+@query(f"""select floor((lon+180)/360*(512*8/50.0::double))::bigint as tx, floor((0.5-ln(tan(pi()/4+radians(least(85.0, greatest(-85.0, lat)))/2))/(2*pi()))*(512*8/50.0::double))::bigint as ty,
+count(*) as n, round(avg(lon), 6) as lon, round(avg(lat), 6) as lat from {PTS} group by 1, 2""")
+def cluster_bubbles(spark, sf):
+    from tessera.functions.view import cluster_bubbles as bubbles
+
+    out = bubbles(order_points(spark, sf), 3)
+    return out.select("tx", "ty", "n", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+@query("select max(o_totalprice) as max_flow from orders")
+def max_flow(spark, sf):
+    from tessera.functions.view import max_flow as top
+
+    return top(order_points(spark, sf))
+
+
+@query(f"select id, round(600 + (lon - 10)/360*512*16, 4) as px, round(400 + (ln(tan(pi()/4 + radians(20.0)/2)) - ln(tan(pi()/4 + radians(lat)/2)))/(2*pi())*512*16, 4) as py from {CUST} where abs(lat) < 85")
+def project_pixels(spark, sf):
+    from tessera.functions.view import Camera
+
+    px, py = Camera(1200, 800, 4, 10.0, 20.0).project(F.col("lon"), F.col("lat"))
+    return customer_points(spark, sf).where(F.abs("lat") < 85).select("id", F.round(px, 4).alias("px"), F.round(py, 4).alias("py"))
+
+
+@query(f"select region, 5 as segments, min(west) as west, max(east) as east from {BOX} group by region")
+def merge_by_name(spark, sf):
+    from tessera.functions.view import merge_by_name as merge
+
+    b = shapes.bounds(F.col("geom"))
+    return merge(nation_boxes(spark, sf), ["region"]).select("region", "segments", b["xmin"].alias("west"), b["xmax"].alias("east"))
