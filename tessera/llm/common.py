@@ -39,8 +39,10 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def workers_can_import(spark: SparkSession) -> None:
-    """Let Python workers import this library in a local session whose driver was started elsewhere."""
+def workers_can_import(spark: SparkSession, batch: str = "4m") -> None:
+    """Let Python workers import this library in a local session whose driver was started elsewhere, and get texts in Arrow
+    batches of bounded bytes, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import written
 
 END = b"\n"  # no word has it, so it can stand for the end of a text and for what comes before its start
-SLAB = 4 << 20
+SLAB = 1 << 20
 
 
 def _slabs(texts: list[bytes | None], depth: int) -> Iterator[tuple[list[int], list[list[bytes]], np.ndarray, np.ndarray]]:
@@ -63,20 +63,37 @@ def _word_keys(words: list[list[bytes]]) -> np.ndarray:
     return (h ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def corpus_counts(docs: DataFrame, *, depth: int = 5, text: str = "text") -> DataFrame:
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of several tables of (keys, counts)."""
+    key, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(count[order], first)
+
+
+def corpus_counts(docs: DataFrame, *, depth: int = 5, text: str = "text", held: int = 1_500_000) -> DataFrame:
     """(kind, key, n) over all texts of ``docs``: kind 0 counts runs of ``depth`` + 1 bytes, kind 1 tokens."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: tuple[list, list] = ([], [])
+
+        def emptied() -> Iterator[pa.RecordBatch]:
+            for kind, parts in enumerate(found):
+                if parts:
+                    key, n = _added(parts)
+                    parts.clear()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n)], names=["kind", "key", "n"])
+
         for b in batches:
-            found: tuple[list, list] = ([], [])
             for _, words, data, spans in _slabs(b["data"].to_pylist(), depth):
                 for kind, keys in ((0, _grams(data, spans, depth).view(np.int64)), (1, _word_keys(words))):
                     found[kind].append(np.unique(keys, return_counts=True))
-            for kind, parts in enumerate(found):
-                if parts:
-                    key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-                    n = np.bincount(at, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n)], names=["kind", "key", "n"])
+                    if len(found[kind]) == 8:
+                        found[kind][:] = [_added(found[kind])]
+            if sum(len(k) for parts in found for k, _ in parts) > held:
+                yield from emptied()
+        yield from emptied()
 
     rows = docs.select(docs[text].cast("binary").alias("data")).mapInArrow(counted, "kind int, key long, n long")
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -196,16 +213,16 @@ def score(docs: DataFrame, counts: DataFrame, tree: SuffixTree, *, keep: list |
             for index, w, data, spans in _slabs(texts, tree.depth):
                 grams, of = np.unique(_grams(data, spans, tree.depth), return_inverse=True)
                 each = tree.log10(grams)[of]
-                starts = np.concatenate(([0], np.cumsum(spans[1] - spans[0])[:-1]))
                 i = np.array(index)
-                model[i] = np.add.reduceat(each, starts)
+                model[i] = np.add.reduceat(each, np.concatenate(([0], np.cumsum(spans[1] - spans[0])[:-1])))
                 h, size = _word_keys(w), np.array([len(x) + 1 for x in w])
                 distinct, of = np.unique(h, return_inverse=True)
                 at, found = SuffixTree._find(key, distinct)
                 starts = np.concatenate(([0], np.cumsum(size)[:-1]))
                 tokens[i] = size
                 known[i] = np.add.reduceat(found[of].astype(np.int64), starts)
-                base[i] = np.add.reduceat((logs[at] * found)[of] if len(key) else np.zeros(len(of)), starts)
+                whole = (np.where(found, logs[at], 0.0) if len(key) else np.zeros(len(distinct)))[of]
+                base[i] = np.add.reduceat(whole, starts)
                 text_of = np.repeat(np.arange(len(i)), size)[~found[of]]
                 pair, n = np.unique(text_of * len(distinct) + of[~found[of]], return_counts=True)
                 which, word = np.divmod(pair, len(distinct))
