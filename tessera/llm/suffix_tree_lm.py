@@ -185,9 +185,11 @@ def fit(counts: DataFrame, *, depth: int = 5, context_share: float = 1e-6, run_s
     return final
 
 
-def score(docs: DataFrame, counts: DataFrame, tree: SuffixTree, *, keep: list | None = None, common: int = 1_000_000, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, counts: DataFrame, tree: SuffixTree, *, keep: list | None = None, common: int = 1_000_000, tree_share: float = 0.5, text: str = "text") -> DataFrame:
     """``keep`` columns with n_tokens, n_known, train_tokens, base_score and score of each row's whole text; null is empty.
 
+    ``score`` mixes, token by token, the tree's probability of spelling the token (share ``tree_share``) with its add-one
+    frequency, for which tokens outside the broadcast table count as unseen; with a share of 1 it is the tree's alone.
     ``base_score`` is the text's log10 probability under add-one token frequencies.  Tokens whose share of the training
     tokens is at least 1 / ``common`` (so at most that many) are looked up in a broadcast table; each row's other tokens
     are joined with the counts.  Rows are told apart by a number of their own, so equal rows are scored each.
@@ -202,7 +204,7 @@ def score(docs: DataFrame, counts: DataFrame, tree: SuffixTree, *, keep: list |
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, key, c = shared.value
-        logs = np.log10((c + 1) / (n_train + vocabulary + 1))
+        logs, unseen = np.log10((c + 1) / (n_train + vocabulary + 1)), -np.log10(n_train + vocabulary + 1)
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for b in batches:
             texts = b["__data"].to_pylist()
@@ -214,7 +216,8 @@ def score(docs: DataFrame, counts: DataFrame, tree: SuffixTree, *, keep: list |
                 grams, of = np.unique(_grams(data, spans, tree.depth), return_inverse=True)
                 each = tree.log10(grams)[of]
                 i = np.array(index)
-                model[i] = np.add.reduceat(each, np.concatenate(([0], np.cumsum(spans[1] - spans[0])[:-1])))
+                symbols = np.array([len(x) + 1 for text in w for x in (*text, b"")])
+                spelled = np.add.reduceat(each, np.concatenate(([0], np.cumsum(symbols)[:-1])))
                 h, size = _word_keys(w), np.array([len(x) + 1 for x in w])
                 distinct, of = np.unique(h, return_inverse=True)
                 at, found = SuffixTree._find(key, distinct)
@@ -223,6 +226,9 @@ def score(docs: DataFrame, counts: DataFrame, tree: SuffixTree, *, keep: list |
                 known[i] = np.add.reduceat(found[of].astype(np.int64), starts)
                 whole = (np.where(found, logs[at], 0.0) if len(key) else np.zeros(len(distinct)))[of]
                 base[i] = np.add.reduceat(whole, starts)
+                whole = np.where(found[of], whole, unseen)
+                top = np.maximum(spelled, whole)
+                model[i] = np.add.reduceat(top + np.log10(tree_share * 10.0 ** (spelled - top) + (1 - tree_share) * 10.0 ** (whole - top)), starts)
                 text_of = np.repeat(np.arange(len(i)), size)[~found[of]]
                 pair, n = np.unique(text_of * len(distinct) + of[~found[of]], return_counts=True)
                 which, word = np.divmod(pair, len(distinct))

@@ -77,7 +77,7 @@ def test_op1_tree_is_a_distribution(spark, documents):
             grams = (np.uint64(context) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
             assert math.isclose((10.0 ** tree.log10(grams)).sum(), 1, rel_tol=1e-9)
     text = "the old house"
-    row = suffix_tree_lm.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), counts, tree, keep=[F.col("doc_id")]).first()
+    row = suffix_tree_lm.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), counts, tree, keep=[F.col("doc_id")], tree_share=1.0).first()
     data = b"\n\n\n" + text.encode() + b" \n"
     states = [set(c.tolist()) for c in tree.contexts]
     total = 0.0
