@@ -29,11 +29,13 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id stays; of rows with that id, one."""
+    """Of each SimHash component the document with the smallest id stays; of rows with that id, one.  Rows without an id,
+    which no component can name, stay."""
     workers_can_import(spark)
     groups = simhash.near_duplicates(docs)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi").select(*COLUMNS)
+    kept = docs.select(*COLUMNS).where("doc_id is not null").dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi")
+    return kept.select(*COLUMNS).unionAll(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
