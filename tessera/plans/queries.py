@@ -291,9 +291,16 @@ def distinct_families(spark, sf):
     return rows.groupBy(shapes.family(F.col("geom")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select o_orderpriority, count(*) as n from orders group by 1")
-def stratified_sizes(spark, sf):
-    return read(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+@query("select o_orderpriority as priority, least(count(*), 100) as n from orders group by 1")
+def stratified_sample(spark, sf):
+    picked = aggregates.stratified_sample(order_points(spark, sf), "priority", 500)
+    return picked.groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select o_orderkey from (select o_orderkey, row_number() over (order by o_orderkey) - 1 as rid, count(*) over () as n from orders) where rid % greatest(1, (n + 999) // 1000) = 0")
+def systematic_sample(spark, sf):
+    rows = edits.with_row_ids(read(spark, sf, "orders"), ["o_orderkey"])
+    return aggregates.systematic_sample(rows, 1000).select("o_orderkey")
 
 
 # --- statistics -----------------------------------------------------------------------------------------------------
