@@ -16,6 +16,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,7 +175,10 @@ def _by_bucket(hashes: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]
 
 
 def _first_stage(length: int, buckets: int) -> Callable:
-    """A block's distinct grams, dealt to buckets; ``many`` marks those in several of its documents."""
+    """A block's distinct grams, dealt to buckets; ``many`` marks those in several of its documents.
+
+    Half of a hash is sent: two grams of a bucket that agree in it only pass for repeated, and are told apart later.
+    """
 
     def run(docs: pa.Table) -> pa.Table:
         ids, texts = _texts(docs)
@@ -184,7 +188,7 @@ def _first_stage(length: int, buckets: int) -> Callable:
             g, owner = h[i], ids[row[i]]
             first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
             many = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
-            out.append({"bucket": bucket, "block": docs["block"][0].as_py(), "grams": (g[first] >> np.uint64(0)).tobytes(), "many": np.packbits(many).tobytes()})
+            out.append({"bucket": bucket, "block": docs["block"][0].as_py(), "grams": g[first].astype(np.uint32).tobytes(), "many": np.packbits(many).tobytes()})
         return pa.Table.from_pylist(out, schema=pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("grams", pa.binary()), ("many", pa.binary())]))
 
     return run
@@ -192,7 +196,7 @@ def _first_stage(length: int, buckets: int) -> Callable:
 
 def _repeated(messages: pa.Table) -> pa.Table:
     """For each block a bit for each of the grams it sent: is it in another document?"""
-    grams = [np.frombuffer(x, np.uint64) for x in messages["grams"].to_pylist()]
+    grams = [np.frombuffer(x, np.uint32) for x in messages["grams"].to_pylist()]
     many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(g)).astype(bool) for x, g in zip(messages["many"].to_pylist(), grams, strict=True)]
     every, index, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
     count[index[np.concatenate(many)]] = 2
@@ -220,8 +224,13 @@ def _second_stage(length: int, buckets: int) -> Callable:
                 size = np.array([len(t) for t in texts])[row[i]]
                 lo, hi = np.maximum(place[i] + GRAM - length, 0), np.minimum(place[i] + length, size)
                 which = np.array([known.setdefault(texts[r][a:b], len(known)) for r, a, b in zip(row[i].tolist(), lo.tolist(), hi.tolist(), strict=True)], np.uint32)
-                out.append({"bucket": bucket, "block": docs["block"][0].as_py(), "grams": h[i].tobytes(), "row": row[i].astype(np.uint32).tobytes(), "owner": ids[row[i]].tobytes(), "lo": lo.astype(np.int64).tobytes(), "which": which.tobytes(), "sizes": np.array([len(w) for w in known], np.uint8).tobytes(), "windows": b"".join(known)})
-        return pa.Table.from_pylist(out, schema=pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in ("grams", "row", "owner", "lo", "which", "sizes", "windows"))]))
+                rows, of = np.unique(row[i], return_inverse=True)
+                sizes = np.array([len(w) for w in known], np.uint8)
+                parts = [h[i], of.astype(np.uint32), lo.astype(np.uint32), which, rows.astype(np.int64), ids[rows], sizes]
+                head = np.array([len(i), len(rows), len(sizes)], np.int64).tobytes()
+                packed = zstandard.ZstdCompressor(level=3).compress(b"".join([head, *(x.tobytes() for x in parts), *known]))
+                out.append({"bucket": bucket, "block": docs["block"][0].as_py(), "packed": packed})
+        return pa.Table.from_pylist(out, schema=pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("packed", pa.binary())]))
 
     return run
 
@@ -232,13 +241,18 @@ def _third_stage(length: int, slab: int = 1 << 18) -> Callable:
     def run(messages: pa.Table) -> pa.Table:
         known: dict[bytes, int] = {}
         parts: dict[str, list[np.ndarray]] = {k: [] for k in ("grams", "row", "owner", "lo", "which", "block")}
-        for m in messages.to_pylist():
-            cuts = [0, *np.cumsum(np.frombuffer(m["sizes"], np.uint8), dtype=np.int64).tolist()]
-            own = np.array([known.setdefault(m["windows"][a:b], len(known)) for a, b in zip(cuts, cuts[1:], strict=False)], np.int64)
-            for k, t in (("grams", np.uint64), ("row", np.uint32), ("owner", np.int64), ("lo", np.int64)):
-                parts[k].append(np.frombuffer(m[k], t))
-            parts["which"].append(own[np.frombuffer(m["which"], np.uint32)])
-            parts["block"].append(np.full(len(parts["row"][-1]), m["block"], np.int64))
+        for source, packed in zip(messages["block"].to_pylist(), messages["packed"].to_pylist(), strict=True):
+            data = zstandard.ZstdDecompressor().decompress(packed)
+            n, n_rows, n_windows = np.frombuffer(data, np.int64, 3).tolist()
+            columns, at = [], 24
+            for t, size in ((np.uint64, n), (np.uint32, n), (np.uint32, n), (np.uint32, n), (np.int64, n_rows), (np.int64, n_rows), (np.uint8, n_windows)):
+                columns.append(np.frombuffer(data, t, size, at))
+                at += columns[-1].nbytes
+            h, of, start, window, rows, ids, lengths = columns
+            cuts = (at + np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))).tolist()
+            own = np.array([known.setdefault(data[a:b], len(known)) for a, b in zip(cuts, cuts[1:], strict=False)], np.int64)
+            for k, x in (("grams", h), ("row", rows[of]), ("owner", ids[of]), ("lo", start.astype(np.int64)), ("which", own[window]), ("block", np.full(n, source, np.int64))):
+                parts[k].append(x)
         grams, row, owner, lo, which, block = (np.concatenate(parts[k]) for k in ("grams", "row", "owner", "lo", "which", "block"))
         windows, sizes = list(known), np.array([len(w) for w in known])
         # The distinct (gram, window) pairs, in order of the gram.
@@ -314,7 +328,7 @@ def _last_stage(with_text: bool) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 50, keep: list[str] | None = None, with_text: bool = False, block_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 50, keep: list[str] | None = None, with_text: bool = False, block_bytes: int = 8 << 20) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) with n_bytes, n_removed, n_spans, kept_sha256[, kept_text].
 
     A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller doc_id; strings
@@ -329,7 +343,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, keep: list[str] | None
     slim = dealt.select("block", "doc_id", "key", "data") if not keep else dealt
     first = slim.groupBy("block").applyInArrow(_first_stage(length, blocks), "bucket long, block long, grams binary, many binary")
     again = first.groupBy("bucket").applyInArrow(_repeated, "block long, bucket long, again binary")
-    windows = slim.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_second_stage(length, blocks), "bucket long, block long, grams binary, row binary, owner binary, lo binary, which binary, sizes binary, windows binary")
+    windows = slim.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_second_stage(length, blocks), "bucket long, block long, packed binary")
     spans = windows.groupBy("bucket").applyInArrow(_third_stage(length), "block long, row binary, lo binary, size binary")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("data", "key"))
     schema = f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
