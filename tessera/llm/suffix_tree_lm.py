@@ -9,14 +9,15 @@ Scoring takes, at each symbol, the longest state that is a suffix of what came b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import written
@@ -132,23 +133,22 @@ class SuffixTree:
         return out
 
 
-def fit(counts: DataFrame, *, depth: int = 5, context_share: float = 1e-6, run_share: float = 2e-7, gain: float = 10.0) -> SuffixTree:
-    """Build the tree from ``corpus_counts``.
+def _levels(run: np.ndarray, n: np.ndarray, shortest: int, longest: int) -> tuple[np.ndarray, ...]:
+    """(context length, run, count, context's count, context's kinds of next symbols) from counts of the longest runs."""
+    out = []
+    for k in range(shortest, longest + 1):
+        r, c = _added([(run & np.uint64((1 << 8 * (k + 1)) - 1), n)]) if len(run) else (run, n)
+        new = np.concatenate(([True], r[1:] >> np.uint64(8) != r[:-1] >> np.uint64(8)))[: len(r)]
+        first, of = np.flatnonzero(new), np.cumsum(new) - 1
+        total = np.add.reduceat(c, first) if len(r) else c
+        out.append((np.full(len(r), k), r, c, total[of], np.diff(np.append(first, len(r)))[of]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else _levels(run[:0], n[:0], 0, 0)
 
-    A context can be a state if its share of all symbols is at least ``context_share``, so there are at most 1 /
-    ``context_share`` of each length; runs of a share below ``run_share`` are left to their context's suffix.  These two
-    parameters bound what is collected and broadcast at any size of corpus.  Each
-    context hands down mass for its number of different next symbols (Witten and Bell).  A state is kept if its count times its
-    divergence from its suffix, in nats, is at least ``gain``, or if it is the suffix of a kept one.
-    """
-    grams = counts.where("kind = 0")
-    total = int(grams.agg(F.sum("n")).first()[0] or 0)
-    level = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("run")) for k in range(depth + 1)]))
-    runs = grams.select(level.alias("x"), "n").groupBy(F.col("x.k").alias("k"), F.col("x.run").alias("run")).agg(F.sum("n").alias("n"))
-    runs = written(runs.withColumn("context", F.shiftrightunsigned("run", 8)))
-    contexts = runs.groupBy("k", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where(F.col("total") >= context_share * total)
-    got = runs.where(F.col("n") >= run_share * total).join(contexts, ["k", "context"]).select("k", "context", "run", "n", "total", "kinds").toArrow()
-    k_of, context, run, n, all_, kinds = (got[c].to_numpy() for c in ("k", "context", "run", "n", "total", "kinds"))
+
+def _grown(levels: tuple[np.ndarray, ...], total: int, depth: int, gain: float, always: int) -> SuffixTree:
+    """The tree of ``_levels``; contexts of up to ``always`` bytes are states whatever their divergence."""
+    k_of, run, n, all_, kinds = levels
+    context = run >> np.uint64(8)
     start = np.full(256, np.log10(1 / (total + 256)))
     zero = k_of == 0
     start[run[zero]] = np.log10((n[zero] + 1) / (total + 256))
@@ -166,7 +166,7 @@ def fit(counts: DataFrame, *, depth: int = 5, context_share: float = 1e-6, run_s
         # The tree so far keeps all candidates of each length; states are chosen below, longest first.
         tree = SuffixTree(depth, (*tree.contexts, c), (*tree.handed, hand), (*tree.runs, run[i].astype(np.uint64)), (*tree.logp, np.log10(p)))
         levels.append(of)
-        needed.append(np.bincount(of, weights=n[i] * (np.log(p) - below * np.log(10)), minlength=len(c)) >= gain)
+        needed.append(np.bincount(of, weights=n[i] * (np.log(p) - below * np.log(10)), minlength=len(c)) >= (gain if k > always else -np.inf))
     for k in range(depth, 1, -1):
         suffix = tree.contexts[k][needed[k - 1]] & np.uint64((1 << 8 * (k - 1)) - 1)
         at, there = SuffixTree._find(tree.contexts[k - 1], suffix)
@@ -185,14 +185,85 @@ def fit(counts: DataFrame, *, depth: int = 5, context_share: float = 1e-6, run_s
     return final
 
 
-def score(docs: DataFrame, counts: DataFrame, tree: SuffixTree, *, keep: list | None = None, common: int = 1_000_000, tree_share: float = 0.5, text: str = "text") -> DataFrame:
+#: Contexts of up to this many bytes are always states, so that the tree falls apart by the last bytes of its contexts.
+SHORT = 2
+
+
+def fit(counts: DataFrame, *, depth: int = 5, gain: float = 10.0) -> SuffixTree:
+    """Build the tree from ``corpus_counts`` in one place, for corpora whose runs fit there; ``score`` needs no such tree.
+
+    Each context hands down mass for its number of different next symbols (Witten and Bell).  A context is a state if its
+    count times its divergence from its suffix, in nats, is at least ``gain``, if it is the suffix of a state, or if it is
+    of at most ``SHORT`` bytes.  No test depends on the size of the corpus.
+    """
+    got = counts.where("kind = 0").select("key", "n").toArrow()
+    run, n = got["key"].to_numpy().astype(np.uint64), got["n"].to_numpy()
+    return _grown(_levels(run, n, 0, depth), int(n.sum()), depth, gain, min(SHORT, depth))
+
+
+def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """Runs whose contexts end in the same ``SHORT`` + 1 bytes meet; ``_bucket_of`` says the same of a column."""
+    return (((grams >> np.uint64(8)) & np.uint64((1 << 8 * (SHORT + 1)) - 1)) * np.uint64(2654435761) >> np.uint64(16)) % np.uint64(buckets)
+
+
+def _bucket_of(key: str, buckets: int) -> Column:
+    return F.shiftright(F.shiftrightunsigned(key, 8).bitwiseAND((1 << 8 * (SHORT + 1)) - 1) * F.lit(2654435761), 16) % buckets
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def _unpacked(data: list[bytes], kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind) for x in data]
+
+
+def run_scores(dealt: DataFrame, counts: DataFrame, *, blocks: int, depth: int = 5, gain: float = 10.0) -> DataFrame:
+    """(block, grams, logp): log10 P of each distinct run of the texts (block, __data), packed, by the tree of ``fit``.
+
+    The tree is never whole: contexts meet in buckets by their last bytes, with their suffixes down to ``SHORT`` bytes.
+    Counts of shorter contexts, of which there are as many at most as bytes can form, go to all buckets.
+    """
+    buckets, grams = max(16, blocks // 8), counts.where("kind = 0")
+    low = min(SHORT, depth)
+    short = grams.groupBy(F.col("key").bitwiseAND((1 << 8 * (low + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    key, n = short["key"].to_numpy().astype(np.uint64), short["n"].to_numpy()
+    base = dealt.sparkSession.sparkContext.broadcast((_levels(key, n, 0, low), int(n.sum())))
+
+    def asked(docs: pa.Table) -> pa.Table:
+        found: list[np.ndarray] = []
+        for _, _, data, spans in _slabs(docs["__data"].to_pylist(), depth):
+            found.append(np.unique(_grams(data, spans, depth)))
+        g = np.unique(np.concatenate(found))
+        of = _bucket(g, buckets).astype(np.int64)
+        order = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[order], np.arange(buckets + 1)).tolist()
+        rows = [{"bucket": k, "block": docs["block"][0].as_py(), "grams": _packed(g[order[a:b]])} for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+        return pa.Table.from_pylist(rows, schema=pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("grams", pa.binary())]))
+
+    def answered(runs: pa.Table, questions: pa.Table) -> pa.Table:
+        out: list[bytes] = []
+        if len(questions):
+            levels, total = base.value
+            longer = _levels(runs["key"].to_numpy().astype(np.uint64), runs["n"].to_numpy(), low + 1, depth)
+            tree = _grown(tuple(np.concatenate(x) for x in zip(levels, longer, strict=True)), total, depth, gain, low)
+            out = [_packed(tree.log10(g)) for g in _unpacked(questions["grams"].to_pylist(), np.uint64)]
+        return pa.table({"block": questions["block"], "grams": questions["grams"], "logp": pa.array(out, pa.binary())})
+
+    questions = dealt.select("block", "__data").groupBy("block").applyInArrow(asked, "bucket long, block long, grams binary")
+    runs = grams.select(_bucket_of("key", buckets).alias("bucket"), "key", "n")
+    return runs.groupBy("bucket").cogroup(questions.groupBy("bucket")).applyInArrow(answered, "block long, grams binary, logp binary")
+
+
+def score(docs: DataFrame, counts: DataFrame, tree: SuffixTree | None = None, *, keep: list | None = None, common: int = 1_000_000, tree_share: float = 0.5, text: str = "text", depth: int = 5, gain: float = 10.0, block_bytes: int = 8 << 20) -> DataFrame:
     """``keep`` columns with n_tokens, n_known, train_tokens, base_score and score of each row's whole text; null is empty.
 
     ``score`` mixes, token by token, the tree's probability of spelling the token (share ``tree_share``) with its add-one
-    frequency, for which tokens outside the broadcast table count as unseen; with a share of 1 it is the tree's alone.
-    ``base_score`` is the text's log10 probability under add-one token frequencies.  Tokens whose share of the training
-    tokens is at least 1 / ``common`` (so at most that many) are looked up in a broadcast table; each row's other tokens
-    are joined with the counts.  Rows are told apart by a number of their own, so equal rows are scored each.
+    frequency; with a share of 1 it is the tree's alone.  ``base_score`` is the text's log10 probability under add-one
+    token frequencies.  Tokens whose share of the training tokens is at least 1 / ``common`` (so at most that many) are
+    looked up in a broadcast table; all others are joined with the counts, for both scores.  Rows are told apart by a
+    number of their own, so equal rows are scored each.  Without a ``tree``, texts are dealt to blocks of about
+    ``block_bytes`` and their runs are looked up by ``run_scores``.
     """
     spark = docs.sparkSession
     words = counts.where("kind = 1").select("key", F.col("n").alias("c"))
@@ -200,56 +271,75 @@ def score(docs: DataFrame, counts: DataFrame, tree: SuffixTree, *, keep: list |
     n_train, vocabulary = int(n_train), int(vocabulary)
     often = words.where(F.col("c") * common >= n_train).toArrow().sort_by("key")
     shared = spark.sparkContext.broadcast((tree, often["key"].to_numpy(), often["c"].to_numpy()))
-    rows = docs.select(*(keep if keep is not None else docs.columns), docs[text].cast("binary").alias("__data"))
+    size = docs.select(F.sum(F.octet_length(text))).first()[0] if tree is None else 0
+    blocks = max(4, -(-int(size or 0) // block_bytes))
+    rows = docs.select(*(keep if keep is not None else docs.columns), docs[text].cast("binary").alias("__data"), F.pmod(F.xxhash64(*docs.columns), F.lit(blocks)).alias("block"))
+
+    def numbers(texts: list[bytes | None], depth: int, log10: Callable[[np.ndarray], np.ndarray]) -> list[pa.Array]:
+        """n_tokens, n_often, base_often, score_often, __rare, __spelled of texts."""
+        _, key, c = shared.value
+        logs = np.log10((c + 1) / (n_train + vocabulary + 1))
+        tokens, known = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        base, model = np.zeros(len(texts)), np.zeros(len(texts))
+        rare, by_tree = [], []
+        for index, w, data, spans in _slabs(texts, depth):
+            grams, of = np.unique(_grams(data, spans, depth), return_inverse=True)
+            each = log10(grams)[of]
+            i = np.array(index)
+            symbols = np.array([len(x) + 1 for text in w for x in (*text, b"")])
+            spelled = np.add.reduceat(each, np.concatenate(([0], np.cumsum(symbols)[:-1])))
+            h, size = _word_keys(w), np.array([len(x) + 1 for x in w])
+            distinct, of = np.unique(h, return_inverse=True)
+            at, found = SuffixTree._find(key, distinct)
+            starts = np.concatenate(([0], np.cumsum(size)[:-1]))
+            tokens[i] = size
+            known[i] = np.add.reduceat(found[of].astype(np.int64), starts)
+            whole = (np.where(found, logs[at], 0.0) if len(key) else np.zeros(len(distinct)))[of]
+            base[i] = np.add.reduceat(whole, starts)
+            top = np.maximum(spelled, whole)
+            both = spelled if tree_share == 1 else top + np.log10(tree_share * 10.0 ** (spelled - top) + (1 - tree_share) * 10.0 ** (whole - top))
+            model[i] = np.add.reduceat(np.where(found[of], both, 0.0), starts)
+            left = np.flatnonzero(~found[of])
+            cuts = np.searchsorted(left, np.concatenate((starts, [len(h)]))).tolist()
+            rare += [h[left[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+            by_tree += [spelled[left[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [pa.array(tokens), pa.array(known), pa.array(base), pa.array(model), pa.array(rare, pa.list_(pa.int64())), pa.array(by_tree, pa.list_(pa.float64()))]
+
+    names = ["__row", "n_tokens", "n_often", "base_often", "score_often", "__rare", "__spelled"]
+    carried = [x for x in rows.columns if x not in ("__data", "block")]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, key, c = shared.value
-        logs, unseen = np.log10((c + 1) / (n_train + vocabulary + 1)), -np.log10(n_train + vocabulary + 1)
+        tree = shared.value[0]
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for b in batches:
-            texts = b["__data"].to_pylist()
-            tokens, known = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            base, model = np.zeros(len(texts)), np.zeros(len(texts))
-            rare: list[list[int]] = [[] for _ in texts]
-            rare_n: list[list[int]] = [[] for _ in texts]
-            for index, w, data, spans in _slabs(texts, tree.depth):
-                grams, of = np.unique(_grams(data, spans, tree.depth), return_inverse=True)
-                each = tree.log10(grams)[of]
-                i = np.array(index)
-                symbols = np.array([len(x) + 1 for text in w for x in (*text, b"")])
-                spelled = np.add.reduceat(each, np.concatenate(([0], np.cumsum(symbols)[:-1])))
-                h, size = _word_keys(w), np.array([len(x) + 1 for x in w])
-                distinct, of = np.unique(h, return_inverse=True)
-                at, found = SuffixTree._find(key, distinct)
-                starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-                tokens[i] = size
-                known[i] = np.add.reduceat(found[of].astype(np.int64), starts)
-                whole = (np.where(found, logs[at], 0.0) if len(key) else np.zeros(len(distinct)))[of]
-                base[i] = np.add.reduceat(whole, starts)
-                whole = np.where(found[of], whole, unseen)
-                top = np.maximum(spelled, whole)
-                model[i] = np.add.reduceat(top + np.log10(tree_share * 10.0 ** (spelled - top) + (1 - tree_share) * 10.0 ** (whole - top)), starts)
-                text_of = np.repeat(np.arange(len(i)), size)[~found[of]]
-                pair, n = np.unique(text_of * len(distinct) + of[~found[of]], return_counts=True)
-                which, word = np.divmod(pair, len(distinct))
-                cuts = np.searchsorted(which, np.arange(len(i) + 1)).tolist()
-                for j, k in enumerate(index):
-                    rare[k], rare_n[k] = distinct[word[cuts[j] : cuts[j + 1]]], n[cuts[j] : cuts[j + 1]]
-            rest = [x for x in b.schema.names if x != "__data"]
-            ids = pa.array(np.arange(number, number + len(texts)))
-            number += len(texts)
-            yield pa.RecordBatch.from_arrays(
-                [*(b[x] for x in rest), ids, pa.array(tokens), pa.array(known), pa.array(base), pa.array(model), pa.array(rare, pa.list_(pa.int64())), pa.array(rare_n, pa.list_(pa.int64()))],
-                names=[*rest, "__row", "n_tokens", "n_often", "base_often", "score", "__rare", "__rare_n"],
-            )
-
-    fields = rows.drop("__data").schema.simpleString()[7:-1]
-    table = written(rows.mapInArrow(scored, f"{fields}{', ' if fields else ''}__row long, n_tokens long, n_often long, base_often double, score double, __rare array<long>, __rare_n array<long>"))
-    seldom = table.select("__row", F.explode(F.arrays_zip("__rare", "__rare_n")).alias("x")).select("__row", F.col("x.__rare").alias("key"), F.col("x.__rare_n").alias("n"))
-    seldom = seldom.join(words, "key", "left").groupBy("__row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n_train + vocabulary + 1)))).alias("less"))
-    out = table.drop("__rare", "__rare_n").join(seldom, "__row", "left")
-    own = [c for c in rows.columns if c != "__data"]
-    return out.select(*own, "n_tokens", (F.col("n_often") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base_often") + F.coalesce("less", F.lit(0.0))).alias("base_score"), "score")
+            ids = pa.array(np.arange(number, number + len(b)))
+            number += len(b)
+            yield pa.RecordBatch.from_arrays([*(b[x] for x in carried), ids, *numbers(b["__data"].to_pylist(), tree.depth, tree.log10)], names=[*carried, *names])
+
+    def scored_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        grams = np.concatenate(_unpacked(answers["grams"].to_pylist(), np.uint64))
+        order = np.argsort(grams)
+        grams, logp = grams[order], np.concatenate(_unpacked(answers["logp"].to_pylist(), np.float64))[order]
+        ids = pa.array((docs["block"][0].as_py() << 40) + np.arange(len(docs)))
+        return pa.Table.from_arrays([*(docs[x] for x in carried), ids, *numbers(docs["__data"].to_pylist(), depth, lambda g: logp[np.searchsorted(grams, g)])], names=[*carried, *names])
+
+    fields = rows.select(*carried).schema.simpleString()[7:-1]
+    schema = f"{fields}{', ' if fields else ''}__row long, n_tokens long, n_often long, base_often double, score_often double, __rare array<long>, __spelled array<double>"
+    if tree is None:
+        answers = run_scores(rows, counts, blocks=blocks, depth=depth, gain=gain)
+        table = written(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored_block, schema))
+    else:
+        table = written(rows.mapInArrow(scored, schema))
+    seldom = table.select("__row", F.explode(F.arrays_zip("__rare", "__spelled")).alias("x")).select("__row", F.col("x.__rare").alias("key"), F.col("x.__spelled").alias("spelled"))
+    seldom = seldom.join(words, "key", "left").withColumn("whole", F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n_train + vocabulary + 1))))
+    top = F.greatest("spelled", "whole")
+    both = F.col("spelled") if tree_share == 1 else top + F.log10(tree_share * F.pow(F.lit(10.0), F.col("spelled") - top) + (1 - tree_share) * F.pow(F.lit(10.0), F.col("whole") - top))
+    seldom = seldom.groupBy("__row").agg(F.count("c").alias("more"), F.sum("whole").alias("less"), F.sum(both).alias("rest"))
+    out = table.drop("__rare", "__spelled").join(seldom, "__row", "left")
+    return out.select(
+        *carried, "n_tokens", (F.col("n_often") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
+        (F.col("base_often") + F.coalesce("less", F.lit(0.0))).alias("base_score"), (F.col("score_often") + F.coalesce("rest", F.lit(0.0))).alias("score"),
+    )
 
 
 def learn_and_score(docs: DataFrame, training: DataFrame, *, depth: int = 5, keep: list | None = None) -> DataFrame:
@@ -257,5 +347,4 @@ def learn_and_score(docs: DataFrame, training: DataFrame, *, depth: int = 5, kee
 
     Null and empty texts consist of the end token alone.  Further columns are carried only as ``keep`` names them.
     """
-    counts = written(corpus_counts(training, depth=depth))
-    return score(docs, counts, fit(counts, depth=depth), keep=keep)
+    return score(docs, written(corpus_counts(training, depth=depth)), keep=keep, depth=depth)
