@@ -160,8 +160,9 @@ def benjamini_hochberg(df: DataFrame, p: str, *, key: str, alias: str = "q") ->
 
     The running minimum goes over ranges of ranks: within each by a window, and from the ranges above by the least of each.
     """
-    n = df.count()
-    ranked = with_row_ids(df, [p, key], "__rank", 1).withColumn("__v", F.col(p) * n / F.col("__rank")).withColumn("__range", F.floor((F.col("__rank") - 1) / 100_000))
+    ranked = with_row_ids(df, [p, key], "__rank", 1)
+    n = ranked.count()
+    ranked = ranked.withColumn("__v", F.col(p) * n / F.col("__rank")).withColumn("__range", F.floor((F.col("__rank") - 1) / 100_000))
     above = ranked.groupBy("__range").agg(F.min("__v").alias("__least"))
     above = above.select("__range", F.min("__least").over(W.orderBy(F.desc("__range")).rowsBetween(W.unboundedPreceding, -1)).alias("__above"))
     within = F.min("__v").over(W.partitionBy("__range").orderBy(F.desc("__rank")).rowsBetween(W.unboundedPreceding, 0))

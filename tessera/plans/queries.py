@@ -156,19 +156,25 @@ def edit_add(spark, sf):
     return edits.add_field(read(spark, sf, "part"), "note").select("p_partkey", "note")
 
 
-@query("select p_partkey, (row_number() over (order by p_retailprice, p_partkey) + 99)::bigint as seq from part")
+@query("select *, (row_number() over (order by p_retailprice, p_partkey) + 99)::bigint as seq from part")
 def edit_sequence(spark, sf):
-    return edits.number_field(read(spark, sf, "part"), ["p_retailprice", "p_partkey"], start=100).select("p_partkey", "seq")
+    return edits.number_field(read(spark, sf, "part"), ["p_retailprice", "p_partkey"], start=100)
 
 
-@query("select * from (select o_orderkey, (row_number() over (order by o_orderkey) - 1)::bigint as rid from orders) where rid < 50")
+@query("select * from (select o_orderkey, o_totalprice, o_orderstatus, (row_number() over (order by o_totalprice, o_orderkey) - 1)::bigint as rid, count(*) over () as n from orders) where rid between n // 2 - 25 and n // 2 + 24 or rid = n - 1")
 def rid_preview(spark, sf):
-    return edits.with_row_ids(read(spark, sf, "orders"), ["o_orderkey"], "rid").where("rid < 50").select("o_orderkey", "rid")
+    """Rows by their number, from the middle of the table and its end."""
+    orders = read(spark, sf, "orders")
+    n = orders.count()
+    rows = edits.with_row_ids(orders, ["o_totalprice", "o_orderkey"], "rid").where(F.col("rid").between(n // 2 - 25, n // 2 + 24) | (F.col("rid") == n - 1))
+    return rows.select("o_orderkey", "o_totalprice", "o_orderstatus", "rid", F.lit(n).cast("long").alias("n"))
 
 
-@query("select o_orderkey, o_totalprice from (select *, row_number() over (order by o_orderkey) - 1 as rid from orders) where rid between 100 and 149")
+@query("select * exclude (rid, n) from (select *, row_number() over (order by o_totalprice, o_orderkey) - 1 as rid, count(*) over () as n from orders) where rid between n // 3 and n // 3 + 499")
 def attribute_page(spark, sf):
-    return edits.with_row_ids(read(spark, sf, "orders"), ["o_orderkey"], "rid").where("rid between 100 and 149").select("o_orderkey", "o_totalprice")
+    orders = read(spark, sf, "orders")
+    at = orders.count() // 3
+    return edits.with_row_ids(orders, ["o_totalprice", "o_orderkey"], "__at").where(F.col("__at").between(at, at + 499)).drop("__at")
 
 
 @query(f"select id, lon, lat from {PTS} where abs(lon - 12.34) + abs(lat - 5.67) = (select min(abs(lon - 12.34) + abs(lat - 5.67)) from {PTS}) order by id limit 1")
