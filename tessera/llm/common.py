@@ -1,42 +1,18 @@
-"""What the operators of this subpackage share: shared-folder tables, word rules, seeded hashing, components."""
+"""What the operators of this subpackage share: word rules, seeded hashing, components; and the core's written tables."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a run of anything but the ASCII blanks; ``bytes.split()`` cuts UTF-8 text by the same rule.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests on one machine) a temporary folder is made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
+from tessera.storage import dropped, shared_folder, written
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as a table to the shared folder and read again: its lineage ends there, whichever executor goes.
+__all__ = ["WORD", "components", "dropped", "fold", "shared_folder", "table", "workers_can_import", "written"]
 
-    The table is deleted when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+#: A word is a run of anything but the ASCII blanks; ``bytes.split()`` cuts UTF-8 text by the same rule.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def workers_can_import(spark: SparkSession, batch: str = "4m") -> None:

@@ -1,12 +1,13 @@
-"""Removal of passages that repeat across documents, by merging Burrows-Wheeler transforms.
-
-Every string of ``length`` bytes contains one of the text's winnowed grams at a place that depends on the string alone.
-So grams found in one document only are left out first; around each other gram lies a window that holds all strings of
-``length`` bytes in which it is selected, and windows are dealt to buckets by their gram.  A bucket holds every
-occurrence of every such string.  Equal windows stand for one another.  Where the windows of a gram differ, they are split
-into shards; each shard's suffixes are sorted once for its Burrows-Wheeler transform, the transforms are merged by
-iterative interleave refinement, which sorts no suffixes again, and the refinement yields the common prefixes and so the
-intervals of repeated strings, from whose smallest document follows what the others lose.
+"""Removal of passages that repeat across documents, by merging shard Burrows-Wheeler transforms.
+
+Every string of ``length`` bytes contains one of the text's winnowed grams (an anchor) at a place that depends on the
+string alone.  Anchors of one document only are left out first.  Around each other anchor lies a window that holds all
+strings in which it is selected; written with one symbol for the anchor it is ``left # right``, and the strings are its
+substrings of ``length - gram + 1`` symbols.  Windows are dealt to buckets by their anchor, so a bucket holds every
+occurrence of every such string, and within a bucket to shards by the slice of the corpus they are from.  Each shard's
+suffixes are sorted once, in a task of its own, and only the shard's Burrows-Wheeler transform is sent on.  The transforms
+of a bucket are merged by iterative interleave refinement, which sorts no suffixes again; the refinement yields common
+prefixes, these the intervals of equal strings, and each interval the smallest document that has the string.
 """
 
 from __future__ import annotations
@@ -16,12 +17,25 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from tessera.llm.common import dropped, written
 
-GRAM = 25
 _BYTE = np.random.default_rng(1729).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Symbols of a window: 0 nothing before, 1 its end (twice), bytes from 2 on, 255 the anchor.  UTF-8 has no byte above 0xF4.
+ENDS, ANCHOR = b"\xfe\xfe", b"\xff"
+_SYMBOL = np.minimum(np.arange(256) + 2, 254).astype(np.uint8)
+_SYMBOL[0xFE], _SYMBOL[0xFF] = 1, 255
+LARGEST = np.iinfo(np.int64).max
+
+
+def gram_length(length: int) -> int:
+    """About half of ``length``, such that a string has an even number of symbols."""
+    return length // 2 + (length - length // 2 + 1) % 2
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -55,10 +69,11 @@ def _sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     return op(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
-def winnowed(data: np.ndarray, length: int, k: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+def winnowed(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of the grams that are smallest in some string of ``length`` bytes; equal smallest ones all count."""
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    k = gram_length(length)
     h = gram_hashes(data, k)
     w = length - k + 1
     low = _sliding(h, w, np.minimum)
@@ -67,80 +82,125 @@ def winnowed(data: np.ndarray, length: int, k: int = GRAM) -> tuple[np.ndarray,
     return at, h[at]
 
 
-def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The suffixes' places in order; ``text`` has strings of symbols from 1 on, each closed by a 0 at ``ends``, and earlier
-    strings' ends are smaller."""
+def transform(windows: list[bytes]) -> np.ndarray:
+    """The Burrows-Wheeler transform of windows ``left # right``: for all suffixes in order, the symbol before each.
+
+    Each window ends with two end symbols; windows' ends are told apart and ordered as the windows are.  Suffixes are
+    sorted by prefix doubling from seven symbols on.
+    """
+    sizes = np.array([len(w) for w in windows]) + 2
+    text = _SYMBOL[np.frombuffer(ENDS.join(windows) + ENDS, np.uint8)]
+    stops = np.cumsum(sizes)
+    last = np.repeat(stops - 1, sizes)
     n = len(text)
-    rank = text.astype(np.int64) + len(ends)
-    rank[ends] = np.arange(len(ends))
-    order, have = np.argsort(rank, kind="stable"), 1
+    key = np.zeros(n, np.int64)
+    left = last - np.arange(n)
+    padded = np.concatenate([text, np.zeros(7, np.uint8)])
+    for k in range(7):
+        key = (key << 8) | np.where(left >= k, padded[k : k + n], 0)
+    key[stops - 1] = np.arange(len(windows))
+    have = 7
     while True:
-        second = np.zeros(n, np.int64)
-        second[:-have] = rank[have:] + 1
-        key = rank * (int(rank.max()) + 2) + second
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
+        order = np.argsort(key)
+        sorted_ = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = new
+        rank[order] = np.cumsum(np.concatenate(([0], sorted_[1:] != sorted_[:-1])))
+        if rank[order[-1]] == n - 1:
+            break
+        key = rank * n + rank[np.minimum(np.arange(n) + have, last)]
         have *= 2
-        if new[-1] == n - 1 or have >= n:
-            return order
-
-
-def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(source, lcp): which transform each merged suffix is from, and the common prefix with its predecessor, up to ``depth``.
-
-    Each transform lists, for its suffixes in order, the symbol before (0 for a string's start).  The interleave starts as
-    one transform after another; a round reads the merged symbols and deals their sources out by symbol, after which
-    suffixes are in order by one more symbol.  Suffixes that are told apart for the first time in round r share r - 1
-    symbols.  Ends of strings are told apart from everything, and are kept in order of the transforms.
+    before = np.concatenate(([0], text[:-1])).astype(np.uint8)
+    before[np.concatenate(([0], stops[:-1]))] = 0
+    return before[order]
+
+
+def last_to_first(bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, jump) for each suffix in order: the two symbols before it as one number (0 if there are not two) and the place
+    of the suffix that starts with them."""
+    m = int((bwt == 0).sum())
+    move = np.argsort(bwt, kind="stable")[m:]
+    one = np.zeros(len(bwt), np.int32)
+    one[move] = m + np.arange(len(move), dtype=np.int32)
+    second = bwt[one]
+    pair = np.where((bwt > 0) & (second > 0), second.astype(np.uint16) << 8 | bwt, 0).astype(np.uint16)
+    return pair, one[one]
+
+
+def places(bwt: np.ndarray, pair: np.ndarray, jump: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, symbols up to its first end) of each suffix in order, read off the transform by walking back from the ends."""
+    m = int((bwt == 0).sum())
+    window, left = np.empty(len(bwt), np.int32), np.empty(len(bwt), np.int32)
+    for parity in (0, 1):
+        at, who, far = parity * m + np.arange(m), np.arange(m, dtype=np.int32), parity - 1
+        while len(at):
+            window[at], left[at] = who, far
+            on = pair[at] > 0
+            at, who, far = jump[at[on]], who[on], far + 2
+    return window, left
+
+
+def merge(pairs: list[np.ndarray], ends: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(source, lcp) of the merged suffixes: the transform each is from, and its common prefix with the one before, up to ``depth``.
+
+    The interleave starts as one transform after another.  A round reads each transform's symbol pairs in the order of the
+    interleave and deals the sources out by them, after which suffixes are in order by two more symbols; those told apart
+    for the first time in a round share the symbols of the rounds before.  The ends stay in front.
     """
-    counts = [len(t) for t in transforms]
-    ends = [int((t == 0).sum()) for t in transforms]
-    n, top = sum(counts), sum(ends)
-    source = np.repeat(np.arange(len(transforms), dtype=np.uint8), counts)
-    head = np.repeat(np.arange(len(transforms), dtype=np.uint8), ends)
-    lcp = np.full(n, depth, np.int32)
-    block = np.zeros(n, np.int32)
+    counts = [len(p) for p in pairs]
+    n, top = sum(counts), 2 * sum(ends)
+    kind = np.uint8 if len(pairs) < 256 else np.uint32
+    source = np.repeat(np.arange(len(pairs), dtype=kind), counts)
+    head = np.repeat(np.arange(len(pairs), dtype=kind), [2 * e for e in ends])
+    every = np.concatenate(pairs)
+    lcp, block = np.full(n, depth, np.int16), np.zeros(n, np.int32)
     symbols = np.empty(n, np.uint16)
-    for r in range(1, depth + 1):
-        for k, t in enumerate(transforms):
-            symbols[source == k] = t
+    for r in range(0, depth, 2):
+        if len(pairs) == 2:
+            second = source.astype(bool)
+            symbols[~second], symbols[second] = pairs
+        else:
+            symbols[np.argsort(source, kind="stable")] = every
         move = np.argsort(symbols, kind="stable")[top:]
         symbol, was = symbols[move], block[move]
         source = np.concatenate([head, source[move]])
         new = np.ones(n, bool)
         new[top + 1 :] = (symbol[1:] != symbol[:-1]) | (was[1:] != was[:-1])
-        np.minimum(lcp, r - 1, out=lcp, where=new)
+        np.minimum(lcp, r, out=lcp, where=new)
         block = np.cumsum(new, dtype=np.int32)
     return source, lcp
 
 
-def smallest_owner(windows: list[bytes], owner: np.ndarray, length: int, shards: int = 2) -> list[np.ndarray]:
-    """For each window and each place in it where ``length`` bytes start: the smallest owner of a window with that string."""
-    bounds = [round(k * len(windows) / shards) for k in range(shards + 1)]
-    transforms, places, base = [], [], 0
-    sizes = np.array([len(w) for w in windows]) + 1
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        if a == b:
-            continue
-        joined = np.frombuffer(b"\0".join(windows[a:b]) + b"\0", np.uint8).astype(np.uint16) + 1
-        ends = starts[a + 1 : b + 1] - 1 - starts[a]
-        joined[ends] = 0
-        order = suffix_order(joined, ends)
-        transforms.append(joined[order - 1])
-        places.append(order + starts[a])
-    source, lcp = merge_transforms(transforms, length)
-    place = np.empty(len(source), np.int64)
-    for k, p in enumerate(places):
-        place[source == k] = p
-    window_of = np.repeat(np.arange(len(windows)), sizes)
-    first = np.flatnonzero(lcp < length)
-    least = np.minimum.reduceat(owner[window_of[place]], first)
-    found = np.empty(starts[-1], owner.dtype)
-    found[place] = np.repeat(least, np.diff(np.append(first, len(lcp))))
-    return [found[s : s + max(0, n - length)] for s, n in zip(starts[:-1].tolist(), sizes.tolist(), strict=True)]
+def smallest_owners(transforms: list[np.ndarray], anchors: np.ndarray, owner: np.ndarray, depth: int) -> np.ndarray:
+    """For each window (all shards' in turn) and each of its starts the smallest owner of a window with that string.
+
+    A string is ``depth`` symbols; windows of different ``anchors`` have no string in common.  Starts that a window lacks
+    have the largest number.
+    """
+    walked = [(bwt, *last_to_first(bwt)) for bwt in transforms]
+    ends = [int((bwt == 0).sum()) for bwt in transforms]
+    source, lcp = merge([pair for _, pair, _ in walked], ends, depth)
+    window, left = np.empty(len(source), np.int32), np.empty(len(source), np.int32)
+    first = np.concatenate(([0], np.cumsum(ends)))
+    for k, (bwt, pair, jump) in enumerate(walked):
+        here = source == k if len(walked) > 1 else slice(None)
+        who, far = places(bwt, pair, jump)
+        window[here], left[here] = who + first[k], far
+    long = np.zeros(len(owner), np.int32)
+    np.maximum.at(long, window, left)
+    interval = np.cumsum(lcp < depth)
+    i = np.flatnonzero(left >= depth)
+    window, start, interval = window[i], long[window[i]] - left[i], interval[i]
+    out = np.full((len(owner), depth), LARGEST)
+    if not len(i):
+        return out
+    _, named = np.unique(anchors, return_inverse=True)
+    key = interval * (int(named.max()) + 1) + named[window]
+    order = np.argsort(key)
+    edge = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+    least = np.empty(len(i), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(owner[window[order]], edge), np.diff(np.append(edge, len(i))))
+    out[window, start] = least
+    return out
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -148,14 +208,9 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-LARGEST = np.iinfo(np.int64).max
-
-
-def _texts(docs: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    """Ids and texts of a block in an order that does not depend on how the rows arrived; null ids are the largest."""
-    docs = docs.sort_by([("doc_id", "ascending"), ("key", "ascending")])
-    ids = docs["doc_id"].to_numpy() if not docs["doc_id"].null_count else np.array([LARGEST if x is None else x for x in docs["doc_id"].to_pylist()], np.int64)
-    return ids, [x or b"" for x in docs["data"].to_pylist()]
+def _ids(column: pa.ChunkedArray) -> np.ndarray:
+    """Ids as numbers; null ids are the largest."""
+    return column.to_numpy() if not column.null_count else np.array([LARGEST if x is None else x for x in column.to_pylist()], np.int64)
 
 
 def _grams(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,151 +220,135 @@ def _grams(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.
     return row, *(np.concatenate([x[i] for x in found]) if found else np.zeros(0, t) for i, t in ((0, np.int64), (1, np.uint64)))
 
 
-def _by_bucket(hashes: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
-    """(bucket, indices) in ascending order of the hash within each bucket."""
-    order = np.argsort(hashes, kind="stable")
-    bucket = ((hashes[order] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-    order = order[np.argsort(bucket, kind="stable")]
-    cuts = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
-    return [(k, order[a:b]) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+def _block_grams(length: int) -> Callable:
+    """A block's distinct grams with the number of its texts that have each."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        texts = [x or b"" for x in docs["data"].to_pylist()]
+        row, _, h = _grams(texts, length)
+        order = np.lexsort((row, h))
+        h, row = h[order], row[order]
+        new = np.concatenate(([True], h[1:] != h[:-1]))[: len(h)]
+        other = new | np.concatenate(([True], row[1:] != row[:-1]))[: len(h)]
+        first = np.flatnonzero(new)
+        c = np.add.reduceat(other.astype(np.int64), first) if len(h) else np.zeros(0, np.int64)
+        return pa.table({"gram": pa.array(h[first].view(np.int64)), "block": pa.array(np.full(len(first), docs["block"][0].as_py(), np.int32)), "c": pa.array(c.astype(np.int32))})
+
+    return run
 
 
-def _first_stage(length: int, buckets: int) -> Callable:
-    """A block's distinct grams, dealt to buckets; ``many`` marks those in several of its documents.
+def _windows(length: int, hot: int, shards: int) -> Callable:
+    """The different windows around a block's repeated grams, each once with all its places in the block.
 
-    Half of a hash is sent: two grams of a bucket that agree in it only pass for repeated, and are told apart later.
+    A gram that over ``hot`` texts have may stand in any number of different surroundings, so each of its strings is a window
+    of its own, whose anchor is the hash of the whole string.
     """
+    k = gram_length(length)
+    side = length - k
 
-    def run(docs: pa.Table) -> pa.Table:
-        ids, texts = _texts(docs)
-        row, _, h = _grams(texts, length)
-        out = []
-        for bucket, i in _by_bucket(h, buckets):
-            g, owner = h[i], ids[row[i]]
-            first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-            many = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
-            out.append({"bucket": bucket, "block": docs["block"][0].as_py(), "grams": g[first].astype(np.uint32).tobytes(), "many": np.packbits(many).tobytes()})
-        return pa.Table.from_pylist(out, schema=pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("grams", pa.binary()), ("many", pa.binary())]))
+    def run(docs: pa.Table, again: pa.Table) -> pa.Table:
+        keys, owners = docs["key"].to_numpy(), _ids(docs["doc_id"])
+        known: dict[bytes, int] = {}
+        text_of, anchor_of, salts = [], [], []
+        which, rows, starts = [], [], []
+        if len(docs) and len(again):
+            repeated = again["gram"].to_numpy().view(np.uint64)
+            order = np.argsort(repeated)
+            repeated, times = repeated[order], again["n"].to_numpy()[order]
+            for r, t in enumerate(x or b"" for x in docs["data"].to_pylist()):
+                place, h = winnowed(np.frombuffer(t, np.uint8), length)
+                at = np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)
+                there = repeated[at] == h
+                for p, g, n in zip(place[there].tolist(), h[there].tolist(), times[at[there]].tolist(), strict=True):
+                    a, b = max(p - side, 0), min(p + length, len(t))
+                    spans = ((a, b),) if n <= hot else ((s, s + length) for s in range(a, b - length + 1))
+                    for a, b in spans:
+                        whole = t[a:p] + ANCHOR + t[p:b]
+                        w = known.setdefault(whole, len(known))
+                        if w == len(text_of):
+                            text_of.append(whole[: p - a + 1] + t[p + k : b])
+                            anchor_of.append(g if n <= hot else xxhash.xxh64_intdigest(whole))
+                            salts.append(shards * (1 if n <= hot else -(-n // hot)))
+                        which.append(w)
+                        rows.append(r)
+                        starts.append(a)
+        order = np.argsort(np.array(which, np.int64), kind="stable")
+        row = np.array(rows, np.int64)[order]
+        owner, of = owners[row], np.array(which, np.int64)[order]
+        cuts = np.searchsorted(of, np.arange(len(text_of) + 1)).astype(np.int32)
+        each = pa.StructArray.from_arrays([pa.array(owner), pa.array(keys[row]), pa.array(np.array(starts, np.int64)[order])], names=["owner", "key", "lo"])
+        block = docs["block"][0].as_py() if len(docs) else 0
+        least, most = (f.reduceat(owner, cuts[:-1]) if len(of) else owner[:0] for f in (np.minimum, np.maximum))
+        return pa.table({
+            "anchor": pa.array(np.array(anchor_of, np.uint64).view(np.int64)), "context": pa.array(text_of, pa.binary()), "shard": pa.array([block % s for s in salts], pa.int32()), "least": pa.array(least, pa.int64()), "most": pa.array(most, pa.int64()),
+            "block": pa.array(np.full(len(text_of), block, np.int32)), "places": pa.ListArray.from_arrays(pa.array(cuts), each),
+        })
 
     return run
 
 
-def _repeated(messages: pa.Table) -> pa.Table:
-    """For each block a bit for each of the grams it sent: is it in another document?"""
-    grams = [np.frombuffer(x, np.uint32) for x in messages["grams"].to_pylist()]
-    many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(g)).astype(bool) for x, g in zip(messages["many"].to_pylist(), grams, strict=True)]
-    every, index, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    count[index[np.concatenate(many)]] = 2
-    bits = np.split(count[index] > 1, np.cumsum([len(g) for g in grams])[:-1])
-    return pa.table({"block": messages["block"], "bucket": messages["bucket"], "again": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
-
-
-def _second_stage(length: int, buckets: int) -> Callable:
-    """The windows around a block's repeated grams, dealt to buckets; each different window's bytes go once."""
-
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        out = []
-        if len(docs) and len(answers):
-            ids, texts = _texts(docs)
-            row, place, h = _grams(texts, length)
-            again = dict(zip(answers["bucket"].to_pylist(), answers["again"].to_pylist(), strict=True))
-            for bucket, i in _by_bucket(h, buckets):
-                g = h[i]
-                new = np.concatenate(([True], g[1:] != g[:-1]))
-                bits = np.unpackbits(np.frombuffer(again[bucket], np.uint8), count=int(new.sum())).astype(bool)
-                i = i[bits[np.cumsum(new) - 1]]
-                if not len(i):
-                    continue
-                known: dict[bytes, int] = {}
-                size = np.array([len(t) for t in texts])[row[i]]
-                lo, hi = np.maximum(place[i] + GRAM - length, 0), np.minimum(place[i] + length, size)
-                which = np.array([known.setdefault(texts[r][a:b], len(known)) for r, a, b in zip(row[i].tolist(), lo.tolist(), hi.tolist(), strict=True)], np.uint32)
-                rows, of = np.unique(row[i], return_inverse=True)
-                sizes = np.array([len(w) for w in known], np.uint8)
-                parts = [h[i], of.astype(np.uint32), lo.astype(np.uint32), which, rows.astype(np.int64), ids[rows], sizes]
-                head = np.array([len(i), len(rows), len(sizes)], np.int64).tobytes()
-                packed = zstandard.ZstdCompressor(level=3).compress(b"".join([head, *(x.tobytes() for x in parts), *known]))
-                out.append({"bucket": bucket, "block": docs["block"][0].as_py(), "packed": packed})
-        return pa.Table.from_pylist(out, schema=pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("packed", pa.binary())]))
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
 
-    return run
 
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
-def _third_stage(length: int, slab: int = 1 << 18) -> Callable:
-    """From all windows of a bucket's grams, the spans that each block's texts lose."""
 
-    def run(messages: pa.Table) -> pa.Table:
-        known: dict[bytes, int] = {}
-        parts: dict[str, list[np.ndarray]] = {k: [] for k in ("grams", "row", "owner", "lo", "which", "block")}
-        for source, packed in zip(messages["block"].to_pylist(), messages["packed"].to_pylist(), strict=True):
-            data = zstandard.ZstdDecompressor().decompress(packed)
-            n, n_rows, n_windows = np.frombuffer(data, np.int64, 3).tolist()
-            columns, at = [], 24
-            for t, size in ((np.uint64, n), (np.uint32, n), (np.uint32, n), (np.uint32, n), (np.int64, n_rows), (np.int64, n_rows), (np.uint8, n_windows)):
-                columns.append(np.frombuffer(data, t, size, at))
-                at += columns[-1].nbytes
-            h, of, start, window, rows, ids, lengths = columns
-            cuts = (at + np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))).tolist()
-            own = np.array([known.setdefault(data[a:b], len(known)) for a, b in zip(cuts, cuts[1:], strict=False)], np.int64)
-            for k, x in (("grams", h), ("row", rows[of]), ("owner", ids[of]), ("lo", start.astype(np.int64)), ("which", own[window]), ("block", np.full(n, source, np.int64))):
-                parts[k].append(x)
-        grams, row, owner, lo, which, block = (np.concatenate(parts[k]) for k in ("grams", "row", "owner", "lo", "which", "block"))
-        windows, sizes = list(known), np.array([len(w) for w in known])
-        # The distinct (gram, window) pairs, in order of the gram.
-        order = np.lexsort((which, grams))
-        grams, row, owner, lo, which, block = (x[order] for x in (grams, row, owner, lo, which, block))
-        new_gram = np.concatenate(([True], grams[1:] != grams[:-1]))
-        new_pair = new_gram | np.concatenate(([True], which[1:] != which[:-1]))
-        pair = np.cumsum(new_pair) - 1
-        first = np.flatnonzero(new_pair)
-        least = np.minimum.reduceat(owner, first)
-        gram_of, window_of = (np.cumsum(new_gram) - 1)[first], which[first]
-        alone = np.bincount(gram_of)[gram_of] == 1
-        spans: list[tuple[int, int, int, int]] = []
-        keep = np.flatnonzero(owner > least[pair])
-        whole = [block[keep], row[keep], lo[keep], sizes[which[keep]]]
-        mixed = np.flatnonzero(~alone)
-        cuts, weight = [0], 0
-        for j in range(1, len(mixed) + 1):
-            weight += int(sizes[window_of[mixed[j - 1]]])
-            if j == len(mixed) or weight >= slab and gram_of[mixed[j]] != gram_of[mixed[j - 1]]:
-                cuts.append(j)
-                weight = 0
-        lost: dict[int, list[tuple[int, int]]] = {}
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            chunk = mixed[a:b]
-            # A gram's window is told from another gram's by the gram, so that only strings around the same gram meet.
-            for p, m in zip(chunk.tolist(), smallest_owner([windows[w] for w in window_of[chunk]], least[chunk], length), strict=True):
-                if (flags := m < least[p]).any():
-                    lost[p] = [(x, y - x + length - 1) for x, y in _runs(flags)]
-        if lost:
-            hit = np.zeros(len(first), bool)
-            hit[list(lost)] = True
-            for i in np.flatnonzero(hit[pair] & (owner == least[pair])).tolist():
-                spans += [(int(block[i]), int(row[i]), int(lo[i]) + x, n) for x, n in lost[int(pair[i])]]
-        cols = [np.concatenate([w, np.array([s[k] for s in spans], np.int64)]).astype(np.int64) for k, w in enumerate(whole)]
-        order = np.argsort(cols[0], kind="stable")
-        cols = [c[order] for c in cols]
-        edges = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1]))) if len(order) else np.zeros(0, np.int64)
-        pieces = [np.split(c, edges[1:]) if len(order) else [] for c in cols]
-        return pa.table({"block": pa.array([int(b[0]) for b in pieces[0]], pa.int64()), **{n: pa.array([x.tobytes() for x in p], pa.binary()) for n, p in zip(("row", "lo", "size"), pieces[1:], strict=True)}})
+TRANSFORMS = "bucket long, shard int, bwt binary, anchor binary, context binary, least binary, most binary"
+
+
+def _shard_transform(table: pa.Table) -> pa.Table:
+    """One shard of one bucket: its different windows' transform, with each window's names and smallest and largest owner."""
+    anchor = table["anchor"].to_numpy()
+    context = table["context_key"].to_numpy()
+    order = np.lexsort((context, anchor))
+    new = np.concatenate(([True], (anchor[order][1:] != anchor[order][:-1]) | (context[order][1:] != context[order][:-1])))
+    first = np.flatnonzero(new)
+    least = np.minimum.reduceat(table["least"].to_numpy()[order], first)
+    most = np.maximum.reduceat(table["most"].to_numpy()[order], first)
+    bwt = transform(table["context"].take(pa.array(order[first])).to_pylist())
+    row = {"bucket": table["bucket"][0], "shard": table["shard"][0], "bwt": _packed(bwt), "anchor": _packed(anchor[order[first]]), "context": _packed(context[order[first]]), "least": _packed(least), "most": _packed(most)}
+    return pa.Table.from_arrays([pa.array([v.as_py() if isinstance(v, pa.Scalar) else v], t) for v, t in zip(row.values(), (pa.int64(), pa.int32(), *[pa.binary()] * 5), strict=True)], names=list(row))
+
+
+def _merged(depth: int) -> Callable:
+    """From the transforms of a bucket's shards: for each window the runs of starts whose string an earlier document has."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("shard")
+        transforms = [_unpacked(x, np.uint8) for x in table["bwt"].to_pylist()]
+        anchor, context, least, most = (np.concatenate([_unpacked(x, np.int64) for x in table[c].to_pylist()]) for c in ("anchor", "context", "least", "most"))
+        first = smallest_owners(transforms, anchor, least, depth)
+        # Of equal windows of several shards one speaks for all.
+        order = np.lexsort((context, anchor))
+        new = np.flatnonzero(np.concatenate(([True], (anchor[order][1:] != anchor[order][:-1]) | (context[order][1:] != context[order][:-1]))))
+        last, speaks = np.maximum.reduceat(most[order], new), order[new]
+        first = first[speaks]
+        hit = first < last[:, None]
+        edge = hit.copy()
+        edge[:, 1:] &= ~hit[:, :-1] | (first[:, 1:] != first[:, :-1])
+        w, at = np.nonzero(edge)
+        stop = np.ones_like(hit)
+        stop[:, :-1] = ~hit[:, 1:] | (first[:, 1:] != first[:, :-1])
+        end = np.nonzero(hit & stop)[1]
+        return pa.table({"anchor": anchor[speaks[w]], "context_key": context[speaks[w]], "at": at.astype(np.int64), "n": (end - at + 1).astype(np.int64), "first": first[w, at]})
 
     return run
 
 
-def _last_stage(with_text: bool) -> Callable:
+def _cut(with_text: bool, length: int) -> Callable:
     """Each text of a block with what it loses and keeps."""
 
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
-        docs = docs.sort_by([("doc_id", "ascending"), ("key", "ascending")])
-        _, texts = _texts(docs)
-        row, lo, size = (np.concatenate([np.frombuffer(x, np.int64) for x in spans[c].to_pylist()] or [np.zeros(0, np.int64)]) for c in ("row", "lo", "size"))
-        order = np.argsort(row, kind="stable")
-        row, lo, size = row[order], lo[order], size[order]
-        cuts = np.searchsorted(row, np.arange(len(texts) + 1))
+        docs = docs.sort_by("key")
+        texts, keys = [x or b"" for x in docs["data"].to_pylist()], docs["key"].to_numpy()
+        key, lo, size = (spans[c].to_numpy() for c in ("key", "lo", "size"))
+        order = np.argsort(key, kind="stable")
+        key, lo, size = key[order], lo[order], size[order]
+        starts, stops = np.searchsorted(key, keys, "left"), np.searchsorted(key, keys, "right")
         out: list[list] = [[] for _ in range(5)]
-        for k, t in enumerate(texts):
-            a, b = cuts[k], cuts[k + 1]
+        for t, a, b in zip(texts, starts.tolist(), stops.tolist(), strict=True):
             runs: list[tuple[int, int]] = []
             if b > a:
                 step = np.bincount(lo[a:b], minlength=len(t) + 1) - np.bincount(lo[a:b] + size[a:b], minlength=len(t) + 1)
@@ -328,23 +367,41 @@ def _last_stage(with_text: bool) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 50, keep: list[str] | None = None, with_text: bool = False, block_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 50, keep: list[str] | None = None, with_text: bool = False, block_bytes: int = 16 << 20, bucket_windows: int = 6000, shards: int = 2, hot: int = 20_000) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) with n_bytes, n_removed, n_spans, kept_sha256[, kept_text].
 
-    A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller doc_id; strings
-    are judged on the input.  Null texts are empty; rows of one doc_id never take from each other; a null doc_id counts
-    as the largest.  ``keep`` names more columns to carry.  ``kept_text`` drops bytes of characters that were cut apart.
-    Texts are dealt evenly to blocks and grams to as many buckets, their number set by the size of the input.
+    A byte goes if a string of ``length`` bytes (3 at least) that covers it also starts in a document with a smaller doc_id;
+    strings are judged on the input.  Null texts are empty; rows of one doc_id never take from each other; a null doc_id
+    counts as the largest.  ``keep`` names more columns to carry.  ``kept_text`` drops bytes of characters that were cut
+    apart.
+
+    Texts are dealt to blocks of about ``block_bytes`` by hash.  A bucket has about ``bucket_windows`` windows of the blocks
+    and at least ``shards`` shards; anchors that over ``hot`` texts have go string by string, with more shards the more there
+    are, so that no task's rows grow with the number of texts that share a passage, nor with its different surroundings.
+    Everything moves as rows whose number follows the input.
     """
-    rows = docs.select("doc_id", *[c for c in keep or [] if c != "doc_id"], F.col("text").cast("binary").alias("data"), F.xxhash64("text").alias("key"))
-    stats = docs.select(F.sum(F.octet_length("text")).alias("n")).first()
-    blocks = max(4, -(-int(stats["n"] or 0) // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.lit(blocks)))
-    slim = dealt.select("block", "doc_id", "key", "data") if not keep else dealt
-    first = slim.groupBy("block").applyInArrow(_first_stage(length, blocks), "bucket long, block long, grams binary, many binary")
-    again = first.groupBy("bucket").applyInArrow(_repeated, "block long, bucket long, again binary")
-    windows = slim.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_second_stage(length, blocks), "bucket long, block long, packed binary")
-    spans = windows.groupBy("bucket").applyInArrow(_third_stage(length), "block long, row binary, lo binary, size binary")
+    if length < 3:
+        raise ValueError("strings of three bytes at least can be compared")
+    depth = length - gram_length(length) + 1
+    rows = docs.select("doc_id", *[c for c in keep or [] if c != "doc_id"], F.col("text").cast("binary").alias("data"), F.xxhash64("doc_id", "text").alias("key"))
+    size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"]
+    blocks = max(4, -(-int(size or 0) // block_bytes))
+    dealt = rows.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int"))
+    slim = dealt.select("block", F.col("doc_id").cast("long").alias("doc_id"), "key", "data")
+    grams = slim.groupBy("block").applyInArrow(_block_grams(length), "gram long, block int, c int")
+    again = written(grams.withColumn("n", F.sum("c").over(W.partitionBy("gram"))).where("n > 1").select("block", "gram", "n"))
+    buckets = max(4, -(-again.count() // bucket_windows))
+    found = slim.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_windows(length, hot, shards), "anchor long, context binary, shard int, least long, most long, block int, places array<struct<owner:long,key:long,lo:long>>")
+    windows = written(found)
+    dropped(again)
+    parts = windows.select(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"), "shard", "anchor", F.xxhash64("context").alias("context_key"), "context", "least", "most")
+    transforms = written(parts.groupBy("bucket", "shard").applyInArrow(_shard_transform, TRANSFORMS))
+    repeats = written(transforms.groupBy("bucket").applyInArrow(_merged(depth), "anchor long, context_key long, at long, n long, first long"))
+    dropped(transforms)
+    held = windows.select("anchor", F.xxhash64("context").alias("context_key"), "block", "places")
+    spans = held.join(repeats, ["anchor", "context_key"]).select("block", "at", "n", "first", F.explode("places").alias("p")).where("p.owner > first")
+    spans = written(spans.select("block", "p.key", (F.col("p.lo") + F.col("at")).alias("lo"), (F.col("n") + (length - 1)).alias("size")))
+    dropped(windows, repeats)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("data", "key"))
     schema = f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return slim.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_last_stage(with_text), schema)
+    return dealt.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut(with_text, length), schema)

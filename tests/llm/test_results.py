@@ -148,14 +148,14 @@ def test_op2_rules(spark, sf, documents, texts):
         assert r["kept"] == kept
 
 
-def cut_repeats(texts):
+def cut_repeats(texts, length=50):
     first, out = {}, {}
     for i in sorted(texts):
         b = texts[i].encode()
         lost = np.zeros(len(b), bool)
-        for k in range(len(b) - 49):
-            if first.setdefault(b[k : k + 50], i) < i:
-                lost[k : k + 50] = True
+        for k in range(len(b) - length + 1):
+            if first.setdefault(b[k : k + length], i) < i:
+                lost[k : k + length] = True
         left = bytes(np.frombuffer(b, np.uint8)[~lost])
         out[i] = (len(b), int(lost.sum()), int((np.diff(np.concatenate(([0], lost.astype(int)))) > 0).sum()), hashlib.sha256(left).hexdigest())
     return out
@@ -178,14 +178,49 @@ def test_op3_dense_repeats(spark):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == cut_repeats(texts)
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.text("ab", min_size=1, max_size=12), min_size=2, max_size=8), st.integers(1, 6))
-def test_op3_merged_transforms_group_equal_strings(words, length):
-    windows = [w.encode() for w in words]
-    owner = np.arange(len(windows))
-    got = suffix_dedup.smallest_owner(windows, owner, length)
-    for w, least in zip(windows, got, strict=True):
-        assert least.tolist() == [min(i for i, x in enumerate(windows) if w[k : k + length] in x) for k in range(len(w) - length + 1)]
+@pytest.mark.parametrize("hot", [1, 3, 20_000])
+def test_op3_hot_anchors_go_string_by_string(spark, hot):
+    """One passage in all texts, its edges in ever different surroundings."""
+    rng = np.random.default_rng(6)
+    passage = "".join(rng.choice(list("abcdefgh "), 120))
+    texts = {i: "".join(rng.choice(list("xyz"), rng.integers(0, 40))) + passage[: rng.integers(40, 121)] + "".join(rng.choice(list("xyz"), 30)) for i in range(60)}
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), block_bytes=600, hot=hot, bucket_windows=20).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == cut_repeats(texts)
+
+
+@pytest.mark.parametrize("length", [3, 10, 51, 200])
+def test_op3_other_lengths(spark, length):
+    rng = np.random.default_rng(7)
+    base = "".join(rng.choice(list("abcdé"), 600))
+    texts = {i: base[(a := rng.integers(300)) : a + rng.integers(300)] + "".join(rng.choice(list("xyz"), 8)) for i in range(20)}
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), length=length, block_bytes=600).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == cut_repeats(texts, length)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("ab", max_size=7), st.text("ab", max_size=7), st.integers(0, 2)), min_size=1, max_size=12), st.integers(1, 3), st.sampled_from([2, 4, 6, 8]))
+def test_op3_merged_transforms_group_equal_strings(windows, shards, depth):
+    windows = sorted({(a[:depth - 1], b[:depth - 1], g) for a, b, g in windows}, key=lambda w: w[2])
+    text = [a.encode() + b"\xff" + b.encode() for a, b, _ in windows]
+    anchors, owner = np.array([g for *_, g in windows]), np.arange(len(windows))[::-1].copy()
+    cuts = [round(k * len(windows) / shards) for k in range(shards + 1)]
+    transforms = [suffix_dedup.transform(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+    got = suffix_dedup.smallest_owners(transforms, anchors, owner, depth)
+    for w, g, row in zip(text, anchors, got, strict=True):
+        n = max(0, len(w) - depth + 1)
+        strings = {k: w[k : k + depth] for k in range(n)}
+        want = [min(owner[i] for i, x in enumerate(text) if anchors[i] == g and s in x) for s in strings.values()]
+        assert row[:n].tolist() == want and (row[n:] == suffix_dedup.LARGEST).all()
+
+
+def test_op3_a_transform_is_that_of_sorted_suffixes():
+    rng = np.random.default_rng(8)
+    windows = ["".join(rng.choice(list("ab"), rng.integers(1, 20))).encode() + b"\xff" for _ in range(30)]
+    suffixes = sorted((w[k:] + b"\x00" * (2 - max(0, k - len(w))), i, w[k - 1 : k] if k else b"", k) for i, w in enumerate(windows) for k in range(len(w) + 2))
+    suffixes.sort(key=lambda s: ([1 if c == 0 else 255 if c == 255 else c + 2 for c in s[0]], s[1]))
+    bwt = suffix_dedup.transform(windows)
+    window, left = suffix_dedup.places(bwt, *suffix_dedup.last_to_first(bwt))
+    assert window.tolist() == [s[1] for s in suffixes] and left.tolist() == [len(windows[s[1]]) - s[3] for s in suffixes]
 
 
 def test_op2_equals_sql(spark, sf, duck):
