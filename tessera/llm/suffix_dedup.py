@@ -13,7 +13,7 @@ prefixes, these the intervals of equal strings, and each interval the smallest d
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,45 +69,77 @@ def _sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     return op(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
-def winnowed(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the grams that are smallest in some string of ``length`` bytes; equal smallest ones all count."""
+def winnowed(data: np.ndarray, length: int, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the grams that are smallest in some string of ``length`` bytes; equal smallest ones all count.
+
+    ``ends``: where the texts end of which ``data`` is made; no string crosses them.
+    """
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     k = gram_length(length)
     h = gram_hashes(data, k)
     w = length - k + 1
     low = _sliding(h, w, np.minimum)
+    if ends is not None:
+        m = len(low)
+        across = np.bincount(np.clip(ends - length + 1, 0, m), minlength=m + 1) - np.bincount(np.minimum(ends, m), minlength=m + 1)
+        low[np.cumsum(across[:m]) > 0] = 0
     pad = np.zeros(w - 1, np.uint64)
     at = np.flatnonzero(_sliding(np.concatenate([pad, low, pad]), w, np.maximum) == h)
     return at, h[at]
 
 
+SLAB = 1 << 19
+
+
+def _slabs(texts: list[bytes]) -> Iterator[tuple[bytes, int, np.ndarray]]:
+    """(joined bytes, first text's number, where each text ends) of runs of texts."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= SLAB or i == len(texts) - 1:
+            yield b"".join(texts[at : i + 1]), at, np.cumsum([len(x) for x in texts[at : i + 1]])
+            at, size = i + 1, 0
+
+
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _spans(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of (starts, stops) that gives 64-bit hashes of stretches of ``data``, wherever they stand."""
+    powers, back = (np.cumprod(np.where(np.arange(len(data) + 1) > 0, np.uint64(x), np.uint64(1))) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers[:-1])))
+    return lambda a, b: _mixed((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64))
+
+
 def transform(windows: list[bytes]) -> np.ndarray:
     """The Burrows-Wheeler transform of windows ``left # right``: for all suffixes in order, the symbol before each.
 
     Each window ends with two end symbols; windows' ends are told apart and ordered as the windows are.  Suffixes are
-    sorted by prefix doubling from seven symbols on.
+    sorted by prefix doubling from five symbols on.
     """
     sizes = np.array([len(w) for w in windows]) + 2
     text = _SYMBOL[np.frombuffer(ENDS.join(windows) + ENDS, np.uint8)]
     stops = np.cumsum(sizes)
-    last = np.repeat(stops - 1, sizes)
     n = len(text)
-    key = np.zeros(n, np.int64)
-    left = last - np.arange(n)
-    padded = np.concatenate([text, np.zeros(7, np.uint8)])
-    for k in range(7):
-        key = (key << 8) | np.where(left >= k, padded[k : k + n], 0)
+    last, here = np.repeat(stops - 1, sizes), np.arange(n)
+    key, have = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.int64), 1
+    key = key[:-1] << 8 | key[1:]
+    key = key[:-2] << 16 | key[2:]
+    key = key[:-4] << 8 | (key[4:] >> 24)
+    have, bits = 5, n.bit_length()
+    key = key[:n] & np.array([~((1 << 8 * max(0, 4 - k)) - 1) for k in range(5)])[np.minimum(last - here, 4)]
     key[stops - 1] = np.arange(len(windows))
-    have = 7
     while True:
-        order = np.argsort(key)
-        sorted_ = key[order]
+        # The place is sorted along with the key.
+        packed = np.sort(key << bits | here)
+        order = packed & ((1 << bits) - 1)
+        packed >>= bits
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([0], sorted_[1:] != sorted_[:-1])))
+        rank[order] = np.cumsum(np.concatenate(([0], packed[1:] != packed[:-1])))
         if rank[order[-1]] == n - 1:
             break
-        key = rank * n + rank[np.minimum(np.arange(n) + have, last)]
+        key = rank * n + rank[np.minimum(here + have, last)]
         have *= 2
     before = np.concatenate(([0], text[:-1])).astype(np.uint8)
     before[np.concatenate(([0], stops[:-1]))] = 0
@@ -129,7 +161,7 @@ def last_to_first(bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def places(bwt: np.ndarray, pair: np.ndarray, jump: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(window, symbols up to its first end) of each suffix in order, read off the transform by walking back from the ends."""
     m = int((bwt == 0).sum())
-    window, left = np.empty(len(bwt), np.int32), np.empty(len(bwt), np.int32)
+    window, left = np.empty(len(bwt), np.int32), np.empty(len(bwt), np.int16)
     for parity in (0, 1):
         at, who, far = parity * m + np.arange(m), np.arange(m, dtype=np.int32), parity - 1
         while len(at):
@@ -139,35 +171,32 @@ def places(bwt: np.ndarray, pair: np.ndarray, jump: np.ndarray) -> tuple[np.ndar
     return window, left
 
 
-def merge(pairs: list[np.ndarray], ends: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(source, lcp) of the merged suffixes: the transform each is from, and its common prefix with the one before, up to ``depth``.
+def merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(source, interval) of the merged strings of ``depth`` symbols: the shard each is from, and the number of its interval
+    of equal strings.
 
-    The interleave starts as one transform after another.  A round reads each transform's symbol pairs in the order of the
-    interleave and deals the sources out by them, after which suffixes are in order by two more symbols; those told apart
-    for the first time in a round share the symbols of the rounds before.  The ends stay in front.
+    A shard is (pair, left, start) of its suffixes in order: the two symbols before each, the symbols up to its window's
+    end, and its place in the window.  The interleave starts as one shard after another.  A round reads each shard's symbol
+    pairs in the order of the interleave and deals the sources out by them, after which suffixes are in order by two more
+    symbols; neighbours have a common prefix of so many if their pairs are equal and the suffixes before had one of two
+    less.  Only suffixes on the way to a string take part: as many in each round as there are strings.
     """
-    counts = [len(p) for p in pairs]
-    n, top = sum(counts), 2 * sum(ends)
-    kind = np.uint8 if len(pairs) < 256 else np.uint32
-    source = np.repeat(np.arange(len(pairs), dtype=kind), counts)
-    head = np.repeat(np.arange(len(pairs), dtype=kind), [2 * e for e in ends])
-    every = np.concatenate(pairs)
-    lcp, block = np.full(n, depth, np.int16), np.zeros(n, np.int32)
-    symbols = np.empty(n, np.uint16)
+    ways = [(left >= 0) & (start >= depth) for _, left, start in shards]
+    source = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) < 256 else np.uint32), [int(w.sum()) for w in ways])
+    n = len(source)
+    common, symbols, new = np.zeros(n, np.int32), np.empty(n, np.uint16), np.ones(n, bool)
     for r in range(0, depth, 2):
+        pairs = [pair[(left >= r) & (start >= depth - r)] for pair, left, start in shards]
         if len(pairs) == 2:
             second = source.astype(bool)
             symbols[~second], symbols[second] = pairs
         else:
-            symbols[np.argsort(source, kind="stable")] = every
-        move = np.argsort(symbols, kind="stable")[top:]
-        symbol, was = symbols[move], block[move]
-        source = np.concatenate([head, source[move]])
-        new = np.ones(n, bool)
-        new[top + 1 :] = (symbol[1:] != symbol[:-1]) | (was[1:] != was[:-1])
-        np.minimum(lcp, r, out=lcp, where=new)
-        block = np.cumsum(new, dtype=np.int32)
-    return source, lcp
+            symbols[np.argsort(source, kind="stable")] = np.concatenate(pairs)
+        move = np.argsort(symbols, kind="stable")
+        symbol, was, source = symbols[move], common[move], source[move]
+        new[1:] = (symbol[1:] != symbol[:-1]) | (was[1:] != was[:-1])
+        common = np.cumsum(new, dtype=np.int32)
+    return source, common
 
 
 def smallest_owners(transforms: list[np.ndarray], anchors: np.ndarray, owner: np.ndarray, depth: int) -> np.ndarray:
@@ -176,30 +205,34 @@ def smallest_owners(transforms: list[np.ndarray], anchors: np.ndarray, owner: np
     A string is ``depth`` symbols; windows of different ``anchors`` have no string in common.  Starts that a window lacks
     have the largest number.
     """
-    walked = [(bwt, *last_to_first(bwt)) for bwt in transforms]
-    ends = [int((bwt == 0).sum()) for bwt in transforms]
-    source, lcp = merge([pair for _, pair, _ in walked], ends, depth)
-    window, left = np.empty(len(source), np.int32), np.empty(len(source), np.int32)
-    first = np.concatenate(([0], np.cumsum(ends)))
-    for k, (bwt, pair, jump) in enumerate(walked):
-        here = source == k if len(walked) > 1 else slice(None)
-        who, far = places(bwt, pair, jump)
-        window[here], left[here] = who + first[k], far
-    long = np.zeros(len(owner), np.int32)
-    np.maximum.at(long, window, left)
-    interval = np.cumsum(lcp < depth)
-    i = np.flatnonzero(left >= depth)
-    window, start, interval = window[i], long[window[i]] - left[i], interval[i]
+    shards, names, base = [], [], 0
+    for bwt in transforms:
+        pair, jump = last_to_first(bwt)
+        window, left = places(bwt, pair, jump)
+        long = np.zeros(int((bwt == 0).sum()), np.int16)
+        long[window[bwt == 0]] = left[bwt == 0]
+        start = long[window] - left
+        shards.append((pair, left, start))
+        whole = left >= depth
+        names.append((window[whole] + base, start[whole]))
+        base += len(long)
+    source, interval = merge(shards, depth)
     out = np.full((len(owner), depth), LARGEST)
-    if not len(i):
+    n = len(source)
+    if not n:
         return out
+    window, start = np.empty(n, np.int32), np.empty(n, np.int16)
+    for k, (who, at) in enumerate(names):
+        here = source == k if len(names) > 1 else slice(None)
+        window[here], start[here] = who, at
     _, named = np.unique(anchors, return_inverse=True)
-    key = interval * (int(named.max()) + 1) + named[window]
-    order = np.argsort(key)
-    edge = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-    least = np.empty(len(i), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(owner[window[order]], edge), np.diff(np.append(edge, len(i))))
-    out[window, start] = least
+    bits = n.bit_length()
+    packed = np.sort((interval.astype(np.int64) * (int(named.max()) + 1) + named[window]) << bits | np.arange(n))
+    order = packed & ((1 << bits) - 1)
+    packed >>= bits
+    edge = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
+    least = np.minimum.reduceat(owner[window[order]], edge)
+    out[window[order], start[order]] = np.repeat(least, np.diff(np.append(edge, n)))
     return out
 
 
@@ -213,25 +246,22 @@ def _ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy() if not column.null_count else np.array([LARGEST if x is None else x for x in column.to_pylist()], np.int64)
 
 
-def _grams(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, hash) of the winnowed grams of a block's texts."""
-    found = [winnowed(np.frombuffer(t, np.uint8), length) for t in texts]
-    row = np.repeat(np.arange(len(texts)), [len(p) for p, _ in found])
-    return row, *(np.concatenate([x[i] for x in found]) if found else np.zeros(0, t) for i, t in ((0, np.int64), (1, np.uint64)))
-
-
 def _block_grams(length: int) -> Callable:
-    """A block's distinct grams with the number of its texts that have each."""
+    """A block's distinct grams; ``c``: 1, or if several of its texts have the gram, its places in them."""
 
     def run(docs: pa.Table) -> pa.Table:
-        texts = [x or b"" for x in docs["data"].to_pylist()]
-        row, _, h = _grams(texts, length)
-        order = np.lexsort((row, h))
+        rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for data, at, ends in _slabs([x or b"" for x in docs["data"].to_pylist()]):
+            place, h = winnowed(np.frombuffer(data, np.uint8), length, ends)
+            rows.append(at + np.searchsorted(ends, place, "right"))
+            hashes.append(h)
+        row, h = np.concatenate(rows), np.concatenate(hashes)
+        order = np.argsort(h)
         h, row = h[order], row[order]
-        new = np.concatenate(([True], h[1:] != h[:-1]))[: len(h)]
-        other = new | np.concatenate(([True], row[1:] != row[:-1]))[: len(h)]
-        first = np.flatnonzero(new)
-        c = np.add.reduceat(other.astype(np.int64), first) if len(h) else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+        c = np.diff(np.append(first, len(h)))
+        if len(h):
+            c[np.minimum.reduceat(row, first) == np.maximum.reduceat(row, first)] = 1
         return pa.table({"gram": pa.array(h[first].view(np.int64)), "block": pa.array(np.full(len(first), docs["block"][0].as_py(), np.int32)), "c": pa.array(c.astype(np.int32))})
 
     return run
@@ -240,48 +270,50 @@ def _block_grams(length: int) -> Callable:
 def _windows(length: int, hot: int, shards: int) -> Callable:
     """The different windows around a block's repeated grams, each once with all its places in the block.
 
-    A gram that over ``hot`` texts have may stand in any number of different surroundings, so each of its strings is a window
-    of its own, whose anchor is the hash of the whole string.
+    A gram with over ``hot`` places may stand in any number of different surroundings, so each of its strings is a window of
+    its own, whose anchor is the hash of the whole string.
     """
     k = gram_length(length)
     side = length - k
 
     def run(docs: pa.Table, again: pa.Table) -> pa.Table:
-        keys, owners = docs["key"].to_numpy(), _ids(docs["doc_id"])
-        known: dict[bytes, int] = {}
-        text_of, anchor_of, salts = [], [], []
-        which, rows, starts = [], [], []
-        if len(docs) and len(again):
-            repeated = again["gram"].to_numpy().view(np.uint64)
-            order = np.argsort(repeated)
-            repeated, times = repeated[order], again["n"].to_numpy()[order]
-            for r, t in enumerate(x or b"" for x in docs["data"].to_pylist()):
-                place, h = winnowed(np.frombuffer(t, np.uint8), length)
-                at = np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)
-                there = repeated[at] == h
-                for p, g, n in zip(place[there].tolist(), h[there].tolist(), times[at[there]].tolist(), strict=True):
-                    a, b = max(p - side, 0), min(p + length, len(t))
-                    spans = ((a, b),) if n <= hot else ((s, s + length) for s in range(a, b - length + 1))
-                    for a, b in spans:
-                        whole = t[a:p] + ANCHOR + t[p:b]
-                        w = known.setdefault(whole, len(known))
-                        if w == len(text_of):
-                            text_of.append(whole[: p - a + 1] + t[p + k : b])
-                            anchor_of.append(g if n <= hot else xxhash.xxh64_intdigest(whole))
-                            salts.append(shards * (1 if n <= hot else -(-n // hot)))
-                        which.append(w)
-                        rows.append(r)
-                        starts.append(a)
-        order = np.argsort(np.array(which, np.int64), kind="stable")
-        row = np.array(rows, np.int64)[order]
-        owner, of = owners[row], np.array(which, np.int64)[order]
-        cuts = np.searchsorted(of, np.arange(len(text_of) + 1)).astype(np.int32)
-        each = pa.StructArray.from_arrays([pa.array(owner), pa.array(keys[row]), pa.array(np.array(starts, np.int64)[order])], names=["owner", "key", "lo"])
+        found: list[tuple] = []
+        slabs: list[bytes] = []
+        repeated, times = again["gram"].to_numpy().view(np.uint64), again["n"].to_numpy()
+        order = np.argsort(repeated)
+        repeated, times = repeated[order], times[order]
+        for data, at, ends in _slabs([x or b"" for x in docs["data"].to_pylist()] if len(again) else []):
+            array = np.frombuffer(data, np.uint8)
+            place, h = winnowed(array, length, ends)
+            i = np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)
+            there = repeated[i] == h
+            place, h, n = place[there], h[there], times[i[there]]
+            row = np.searchsorted(ends, place, "right")
+            begin = np.concatenate(([0], ends[:-1]))[row]
+            a, b = np.maximum(place - side, begin), np.minimum(place + length, ends[row])
+            many = np.where(n > hot, b - a - length + 1, 1)
+            if (n > hot).any():
+                of = np.repeat(np.arange(len(place)), many)
+                step = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+                place, h, n, row, begin = place[of], h[of], n[of], row[of], begin[of]
+                a = a[of] + np.where(n > hot, step, 0)
+                b = np.where(n > hot, a + length, b[of])
+            key = _mixed(_spans(array)(a, b) ^ h * np.uint64(3)) + (place - a).astype(np.uint64)
+            found.append((key, np.where(n > hot, _mixed(key), h), n, row + at, a - begin, a, place, b, np.full(len(a), len(slabs))))
+            slabs.append(data)
+        key, anchor, n, row, lo, a, p, b, slab = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 9
+        order = np.argsort(key)
+        new = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1]))) if len(key) else np.zeros(0, np.int64)
+        row, some = row[order], order[new]
+        owner = _ids(docs["doc_id"])[row]
+        contexts = [slabs[i][x:y] + ANCHOR + slabs[i][y + k : z] for i, x, y, z in zip(slab[some].tolist(), a[some].tolist(), p[some].tolist(), b[some].tolist(), strict=True)]
+        each = pa.StructArray.from_arrays([pa.array(owner), pa.array(docs["key"].to_numpy()[row]), pa.array(lo[order].astype(np.int64))], names=["owner", "key", "lo"])
         block = docs["block"][0].as_py() if len(docs) else 0
-        least, most = (f.reduceat(owner, cuts[:-1]) if len(of) else owner[:0] for f in (np.minimum, np.maximum))
+        least, most = (f.reduceat(owner, new) if len(key) else owner for f in (np.minimum, np.maximum))
+        salts = shards * np.where(n[some] > hot, -(-n[some] // hot), 1)
         return pa.table({
-            "anchor": pa.array(np.array(anchor_of, np.uint64).view(np.int64)), "context": pa.array(text_of, pa.binary()), "shard": pa.array([block % s for s in salts], pa.int32()), "least": pa.array(least, pa.int64()), "most": pa.array(most, pa.int64()),
-            "block": pa.array(np.full(len(text_of), block, np.int32)), "places": pa.ListArray.from_arrays(pa.array(cuts), each),
+            "anchor": pa.array(anchor[some].astype(np.uint64).view(np.int64)), "context": pa.array(contexts, pa.binary()), "shard": pa.array((block % salts).astype(np.int32)), "least": pa.array(least, pa.int64()), "most": pa.array(most, pa.int64()),
+            "block": pa.array(np.full(len(new), block, np.int32)), "places": pa.ListArray.from_arrays(pa.array(np.append(new, len(key)).astype(np.int32)), each),
         })
 
     return run
@@ -295,21 +327,22 @@ def _unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-TRANSFORMS = "bucket long, shard int, bwt binary, anchor binary, context binary, least binary, most binary"
+TRANSFORMS = "bucket int, shard int, bwt binary, anchor binary, context binary, least binary, most binary"
 
 
 def _shard_transform(table: pa.Table) -> pa.Table:
     """One shard of one bucket: its different windows' transform, with each window's names and smallest and largest owner."""
-    anchor = table["anchor"].to_numpy()
-    context = table["context_key"].to_numpy()
+    anchor, contexts = table["anchor"].to_numpy(), table["context"].to_pylist()
+    # As Spark's xxhash64 of the bytes.
+    context = np.fromiter((xxhash.xxh64_intdigest(c, 42) for c in contexts), np.uint64, len(contexts)).view(np.int64)
     order = np.lexsort((context, anchor))
     new = np.concatenate(([True], (anchor[order][1:] != anchor[order][:-1]) | (context[order][1:] != context[order][:-1])))
     first = np.flatnonzero(new)
     least = np.minimum.reduceat(table["least"].to_numpy()[order], first)
     most = np.maximum.reduceat(table["most"].to_numpy()[order], first)
-    bwt = transform(table["context"].take(pa.array(order[first])).to_pylist())
+    bwt = transform([contexts[i] for i in order[first].tolist()])
     row = {"bucket": table["bucket"][0], "shard": table["shard"][0], "bwt": _packed(bwt), "anchor": _packed(anchor[order[first]]), "context": _packed(context[order[first]]), "least": _packed(least), "most": _packed(most)}
-    return pa.Table.from_arrays([pa.array([v.as_py() if isinstance(v, pa.Scalar) else v], t) for v, t in zip(row.values(), (pa.int64(), pa.int32(), *[pa.binary()] * 5), strict=True)], names=list(row))
+    return pa.Table.from_arrays([pa.array([v.as_py() if isinstance(v, pa.Scalar) else v], t) for v, t in zip(row.values(), (pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True)], names=list(row))
 
 
 def _merged(depth: int) -> Callable:
@@ -376,8 +409,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, keep: list[str] | None
     apart.
 
     Texts are dealt to blocks of about ``block_bytes`` by hash.  A bucket has about ``bucket_windows`` windows of the blocks
-    and at least ``shards`` shards; anchors that over ``hot`` texts have go string by string, with more shards the more there
-    are, so that no task's rows grow with the number of texts that share a passage, nor with its different surroundings.
+    and at least ``shards`` shards; anchors with over ``hot`` places go string by string, with more shards the more there are, so that no task's rows grow with the number of texts that share a passage, nor with its different surroundings.
     Everything moves as rows whose number follows the input.
     """
     if length < 3:
@@ -385,7 +417,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, keep: list[str] | None
     depth = length - gram_length(length) + 1
     rows = docs.select("doc_id", *[c for c in keep or [] if c != "doc_id"], F.col("text").cast("binary").alias("data"), F.xxhash64("doc_id", "text").alias("key"))
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"]
-    blocks = max(4, -(-int(size or 0) // block_bytes))
+    blocks = max(16, -(-int(size or 0) // block_bytes))
     dealt = rows.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int"))
     slim = dealt.select("block", F.col("doc_id").cast("long").alias("doc_id"), "key", "data")
     grams = slim.groupBy("block").applyInArrow(_block_grams(length), "gram long, block int, c int")
@@ -394,7 +426,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, keep: list[str] | None
     found = slim.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_windows(length, hot, shards), "anchor long, context binary, shard int, least long, most long, block int, places array<struct<owner:long,key:long,lo:long>>")
     windows = written(found)
     dropped(again)
-    parts = windows.select(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket"), "shard", "anchor", F.xxhash64("context").alias("context_key"), "context", "least", "most")
+    parts = windows.select(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("int").alias("bucket"), "shard", "anchor", "context", "least", "most")
     transforms = written(parts.groupBy("bucket", "shard").applyInArrow(_shard_transform, TRANSFORMS))
     repeats = written(transforms.groupBy("bucket").applyInArrow(_merged(depth), "anchor long, context_key long, at long, n long, first long"))
     dropped(transforms)
