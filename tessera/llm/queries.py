@@ -16,7 +16,7 @@ MIX_WEIGHTS = {"domain": {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}, "lang": {
 def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 7) == 2
-    return suffix_tree_lm.learn_and_score(docs, docs.where(~held_out), keep=[F.col("doc_id"), held_out.alias("held_out")])
+    return suffix_tree_lm.learn_and_score(docs, ~held_out, keep=[F.col("doc_id"), held_out.alias("held_out")])
 
 
 def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,28 +2,32 @@
 
 A text is the bytes of its words, lower-cased, each word followed by a blank, and one end symbol.  Counts of all
 (depth + 1)-byte runs of the training texts give, by their suffixes, the counts of all shorter contexts.  A context of
-variable length is a state of the tree if it is frequent enough and its next-symbol distribution diverges from that of
-its own longest proper suffix; next-symbol distributions are smoothed by handing the rest of their mass to that suffix's.
-Scoring takes, at each symbol, the longest state that is a suffix of what came before.
+variable length is a state of the tree if its suffix is one and its next-symbol distribution diverges enough from the
+suffix's; next-symbol distributions are smoothed by handing the rest of their mass to that suffix's.  Scoring takes, at each
+symbol, the longest state that is a suffix of what came before.
+
+The tree is a table: runs, one level of context length after the other, each level joined with the one below.  Texts are
+dealt to blocks; a block asks for its distinct runs and tokens, gets their probabilities and counts by one join, and sums
+them up, so that neither a tree nor a vocabulary is ever in one place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from tessera.llm.common import written
+from tessera.llm.common import dropped, written
 
 END = b"\n"  # no word has it, so it can stand for the end of a text and for what comes before its start
 SLAB = 1 << 20
+#: Contexts of up to this many bytes are states whatever their divergence.
+SHORT = 2
 
 
 def _slabs(texts: list[bytes | None], depth: int) -> Iterator[tuple[list[int], list[list[bytes]], np.ndarray, np.ndarray]]:
@@ -44,24 +48,20 @@ def _slabs(texts: list[bytes | None], depth: int) -> Iterator[tuple[list[int], l
 
 def _grams(data: np.ndarray, spans: np.ndarray, depth: int) -> np.ndarray:
     """For every symbol of the texts: it and the ``depth`` bytes before, as one number."""
-    key = np.zeros(len(data) - depth, np.uint64)
+    key = np.zeros(len(data) - depth, np.int64)
     for k in range(depth + 1):
-        key = (key << np.uint64(8)) | data[k : len(data) - depth + k]
+        key <<= 8
+        key |= data[k : len(data) - depth + k]
     symbol = np.ones(len(data), bool)
     for k in range(depth):
         symbol[spans[0] - 1 - k] = False
     return key[symbol[depth:]]
 
 
-def word_key(word: bytes) -> int:
-    """A signed 64-bit hash of a word, or of ``END`` for the end token."""
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
-
-
 def _word_keys(words: list[list[bytes]]) -> np.ndarray:
+    """A signed 64-bit hash of each word, and of ``END`` for each text's end token."""
     digest = xxhash.xxh3_64_intdigest
-    h = np.fromiter([digest(w) for text in words for w in (*text, END)], np.uint64)
-    return (h ^ np.uint64(1 << 63)).view(np.int64)
+    return np.fromiter([digest(w) for text in words for w in (*text, END)], np.uint64).view(np.int64)
 
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,278 +73,114 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return key[first], np.add.reduceat(count[order], first)
 
 
-def corpus_counts(docs: DataFrame, *, depth: int = 5, text: str = "text", held: int = 1_500_000) -> DataFrame:
-    """(kind, key, n) over all texts of ``docs``: kind 0 counts runs of ``depth`` + 1 bytes, kind 1 tokens."""
+RUN, TOKEN = 0, 1
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: tuple[list, list] = ([], [])
 
-        def emptied() -> Iterator[pa.RecordBatch]:
-            for kind, parts in enumerate(found):
-                if parts:
-                    key, n = _added(parts)
-                    parts.clear()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n)], names=["kind", "key", "n"])
-
-        for b in batches:
-            for _, words, data, spans in _slabs(b["data"].to_pylist(), depth):
-                for kind, keys in ((0, _grams(data, spans, depth).view(np.int64)), (1, _word_keys(words))):
-                    found[kind].append(np.unique(keys, return_counts=True))
-                    if len(found[kind]) == 8:
-                        found[kind][:] = [_added(found[kind])]
-            if sum(len(k) for parts in found for k, _ in parts) > held:
-                yield from emptied()
-        yield from emptied()
-
-    rows = docs.select(docs[text].cast("binary").alias("data")).mapInArrow(counted, "kind int, key long, n long")
-    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-@dataclass(frozen=True)
-class SuffixTree:
-    """By context length: sorted contexts with the log10 of the mass they hand down; sorted runs with their log10 probability."""
-
-    depth: int
-    contexts: tuple[np.ndarray, ...]
-    handed: tuple[np.ndarray, ...]
-    runs: tuple[np.ndarray, ...]
-    logp: tuple[np.ndarray, ...]
-
-    @staticmethod
-    def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return at, table[at] == keys
-
-    def log10(self, grams: np.ndarray, deepest: int | None = None) -> np.ndarray:
-        """log10 P(last byte | longest state) of packed runs; states no longer than ``deepest``."""
-        out, open_ = np.zeros(len(grams)), np.ones(len(grams), bool)
-        for k in range(self.depth if deepest is None else deepest, -1, -1):
-            i = np.flatnonzero(open_)
-            low = grams[i] & np.uint64((1 << 8 * (k + 1)) - 1)
-            at, state = self._find(self.contexts[k], low >> np.uint64(8)) if k else (np.zeros(len(i), np.int64), np.ones(len(i), bool))
-            i, low, at = i[state], low[state], at[state]
-            run, stored = self._find(self.runs[k], low)
-            out[i[stored]] += self.logp[k][run[stored]]
-            open_[i[stored]] = False
-            if k:
-                out[i[~stored]] += self.handed[k][at[~stored]]
-        return out
-
-
-def _levels(run: np.ndarray, n: np.ndarray, shortest: int, longest: int) -> tuple[np.ndarray, ...]:
-    """(context length, run, count, context's count, context's kinds of next symbols) from counts of the longest runs."""
-    out = []
-    for k in range(shortest, longest + 1):
-        r, c = _added([(run & np.uint64((1 << 8 * (k + 1)) - 1), n)]) if len(run) else (run, n)
-        new = np.concatenate(([True], r[1:] >> np.uint64(8) != r[:-1] >> np.uint64(8)))[: len(r)]
-        first, of = np.flatnonzero(new), np.cumsum(new) - 1
-        total = np.add.reduceat(c, first) if len(r) else c
-        out.append((np.full(len(r), k), r, c, total[of], np.diff(np.append(first, len(r)))[of]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else _levels(run[:0], n[:0], 0, 0)
-
-
-def _grown(levels: tuple[np.ndarray, ...], total: int, depth: int, gain: float, always: int) -> SuffixTree:
-    """The tree of ``_levels``; contexts of up to ``always`` bytes are states whatever their divergence."""
-    k_of, run, n, all_, kinds = levels
-    context = run >> np.uint64(8)
-    start = np.full(256, np.log10(1 / (total + 256)))
-    zero = k_of == 0
-    start[run[zero]] = np.log10((n[zero] + 1) / (total + 256))
-    tree = SuffixTree(depth, (np.zeros(1, np.uint64),), (np.zeros(1),), (np.arange(256, dtype=np.uint64),), (start,))
-    levels, needed = [], []
-    for k in range(1, depth + 1):
-        i = np.flatnonzero(k_of == k)
-        i = i[np.argsort(run[i])]
-        c, first, of = np.unique(context[i].astype(np.uint64), return_index=True, return_inverse=True)
-        s = all_[i][first] + kinds[i][first]
-        stored = np.bincount(of, weights=n[i], minlength=len(c))
-        hand = np.log10((s - stored) / s)
-        below = tree.log10(run[i].astype(np.uint64), k - 1)
-        p = n[i] / s[of] + 10.0 ** (hand[of] + below)
-        # The tree so far keeps all candidates of each length; states are chosen below, longest first.
-        tree = SuffixTree(depth, (*tree.contexts, c), (*tree.handed, hand), (*tree.runs, run[i].astype(np.uint64)), (*tree.logp, np.log10(p)))
-        levels.append(of)
-        needed.append(np.bincount(of, weights=n[i] * (np.log(p) - below * np.log(10)), minlength=len(c)) >= (gain if k > always else -np.inf))
-    for k in range(depth, 1, -1):
-        suffix = tree.contexts[k][needed[k - 1]] & np.uint64((1 << 8 * (k - 1)) - 1)
-        at, there = SuffixTree._find(tree.contexts[k - 1], suffix)
-        needed[k - 2][at[there]] = True
-    # Without its pruned contexts a level hands down past them, so probabilities are taken again from the shortest on.
-    final = SuffixTree(depth, tree.contexts[:1], tree.handed[:1], tree.runs[:1], tree.logp[:1])
-    for k in range(1, depth + 1):
-        keep = needed[k - 1]
-        rows = keep[levels[k - 1]]
-        i = np.flatnonzero(k_of == k)
-        i = i[np.argsort(run[i])][rows]
-        of = (np.cumsum(keep) - 1)[levels[k - 1][rows]]
-        hand, s = tree.handed[k][keep], (all_[i] + kinds[i])
-        p = n[i] / s + 10.0 ** (hand[of] + final.log10(run[i].astype(np.uint64), k - 1))
-        final = SuffixTree(depth, (*final.contexts, tree.contexts[k][keep]), (*final.handed, hand), (*final.runs, run[i].astype(np.uint64)), (*final.logp, np.log10(p)))
-    return final
-
-
-#: Contexts of up to this many bytes are always states, so that the tree falls apart by the last bytes of its contexts.
-SHORT = 2
-
-
-def fit(counts: DataFrame, *, depth: int = 5, gain: float = 10.0) -> SuffixTree:
-    """Build the tree from ``corpus_counts`` in one place, for corpora whose runs fit there; ``score`` needs no such tree.
+def _asked(depth: int):
+    """The distinct runs and tokens of a block's texts, with their counts in those texts that teach."""
 
-    Each context hands down mass for its number of different next symbols (Witten and Bell).  A context is a state if its
-    count times its divergence from its suffix, in nats, is at least ``gain``, if it is the suffix of a state, or if it is
-    of at most ``SHORT`` bytes.  No test depends on the size of the corpus.
+    def run(docs: pa.Table) -> pa.Table:
+        found: tuple[list, list] = ([], [])
+        teach, texts = docs["__teach"].to_pylist(), docs["__data"].to_pylist()
+        for teaches in (True, False):
+            for _, words, data, spans in _slabs([t for t, x in zip(texts, teach, strict=True) if x == teaches], depth):
+                for parts, keys in zip(found, (_grams(data, spans, depth), _word_keys(words)), strict=True):
+                    distinct, n = np.unique(keys, return_counts=True)
+                    parts.append((distinct, n if teaches else np.zeros_like(n)))
+                    if len(parts) == 8:
+                        parts[:] = [_added(parts)]
+        (runs, r), (tokens, t) = map(_added, found)
+        kind = np.repeat(np.array([RUN, TOKEN], np.int8), [len(runs), len(tokens)])
+        return pa.table({"block": pa.array(np.full(len(kind), docs["__block"][0].as_py(), np.int32)), "kind": kind, "key": np.concatenate([runs, tokens]), "n": np.concatenate([r, t])})
+
+    return run
+
+
+def suffix_tree(runs: DataFrame, *, depth: int = 5, gain: float = 6.0) -> DataFrame:
+    """(key, p, state) of each run of ``runs`` (key, n): the last byte's probability after the longest state that is a suffix
+    of the ``depth`` bytes before, and whether all these bytes are a state.
+
+    ``n`` may be 0 for runs that are only asked for.  A context hands down mass for its number of different next symbols
+    (Witten and Bell).  It is a state if it occurs, its suffix is a state, and its count times its divergence from the
+    suffix, in nats, is at least ``gain``, or if it has at most ``SHORT`` bytes.  No test depends on the size of the corpus.
+    Without any count every byte is equally likely.
     """
-    got = counts.where("kind = 0").select("key", "n").toArrow()
-    run, n = got["key"].to_numpy().astype(np.uint64), got["n"].to_numpy()
-    return _grown(_levels(run, n, 0, depth), int(n.sum()), depth, gain, min(SHORT, depth))
-
-
-def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
-    """Runs whose contexts end in the same ``SHORT`` + 1 bytes meet; ``_bucket_of`` says the same of a column."""
-    return (((grams >> np.uint64(8)) & np.uint64((1 << 8 * (SHORT + 1)) - 1)) * np.uint64(2654435761) >> np.uint64(16)) % np.uint64(buckets)
+    total = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
+    def level(k: int) -> DataFrame:
+        if k == depth:
+            return runs.select("key", "n")
+        return runs.groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n"))
 
-def _bucket_of(key: str, buckets: int) -> Column:
-    return F.shiftright(F.shiftrightunsigned(key, 8).bitwiseAND((1 << 8 * (SHORT + 1)) - 1) * F.lit(2654435761), 16) % buckets
-
-
-def _packed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
-
+    below = level(0).select("key", ((F.col("n") + 1) / F.lit(float(total + 256))).alias("p"), F.lit(True).alias("state"))
+    for k in range(1, depth + 1):
+        under = below.select(F.col("key").alias("suffix"), F.col("p").alias("q"), F.col("state").alias("above"))
+        rows = level(k).withColumn("suffix", F.col("key").bitwiseAND((1 << 8 * k) - 1)).join(under, "suffix")
+        context = W.partitionBy("context")
+        rows = rows.withColumn("context", F.shiftright("key", 8)).withColumn("all", F.sum("n").over(context)).withColumn("kinds", F.count(F.when(F.col("n") > 0, 1)).over(context))
+        own = (F.col("n") + F.col("kinds") * F.col("q")) / (F.col("all") + F.col("kinds"))
+        rows = rows.withColumn("own", F.when(F.col("all") > 0, own).otherwise(F.col("q")))
+        test = F.lit(True) if k <= SHORT else F.sum(F.when(F.col("n") > 0, F.col("n") * F.ln(F.col("own") / F.col("q"))).otherwise(0.0)).over(context) >= gain
+        rows = rows.withColumn("state", F.col("above") & (F.col("all") > 0) & test)
+        below = rows.select("key", F.when(F.col("state"), F.col("own")).otherwise(F.col("q")).alias("p"), "state")
+    return below
+
+
+def _scored(depth: int, carried: list[str], train_tokens: int, unseen: float):
+    """The texts of a block with their scores, from the block's (kind, key, value)."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        kind, key, value = (answers[c].to_numpy() for c in ("kind", "key", "value"))
+        tables = []
+        for k in (RUN, TOKEN):
+            own = np.flatnonzero(kind == k)
+            own = own[np.argsort(key[own])]
+            tables.append((key[own], value[own]))
+        (runs, logp), (known, count) = tables
+        n = len(docs)
+        tokens, seen, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        for index, words, data, spans in _slabs(docs["__data"].to_pylist(), depth):
+            i = np.array(index)
+            symbols = spans[1] - spans[0]
+            grams, of = np.unique(_grams(data, spans, depth), return_inverse=True)
+            score[i] = np.add.reduceat(logp[np.searchsorted(runs, grams)][of], np.cumsum(symbols) - symbols)
+            size = np.array([len(w) + 1 for w in words])
+            starts = np.cumsum(size) - size
+            distinct, of = np.unique(_word_keys(words), return_inverse=True)
+            c = count[np.searchsorted(known, distinct)]
+            tokens[i] = size
+            seen[i] = np.add.reduceat((c > 0).astype(np.int64)[of], starts)
+            base[i] = np.add.reduceat((np.log10(c + 1) + unseen)[of], starts)
+        new = {"n_tokens": tokens, "n_known": seen, "train_tokens": np.full(n, train_tokens), "base_score": base, "score": score}
+        return pa.Table.from_arrays([*(docs[c] for c in carried), *map(pa.array, new.values())], names=[*carried, *new])
 
-def _unpacked(data: list[bytes], kind: type) -> list[np.ndarray]:
-    return [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind) for x in data]
+    return run
 
 
-def run_scores(dealt: DataFrame, counts: DataFrame, *, blocks: int, depth: int = 5, gain: float = 10.0) -> DataFrame:
-    """(block, grams, logp): log10 P of each distinct run of the texts (block, __data), packed, by the tree of ``fit``.
+def learn_and_score(docs: DataFrame, teaches: Column | bool, *, keep: list[Column] | None = None, depth: int = 5, gain: float = 6.0, text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+    """``keep`` columns with n_tokens, n_known, train_tokens, base_score and score of each row's whole text.
 
-    The tree is never whole: contexts meet in buckets by their last bytes, with their suffixes down to ``SHORT`` bytes.
-    Counts of shorter contexts, of which there are as many at most as bytes can form, go to all buckets.
+    ``score`` is the log10 probability that the suffix tree gives the text's bytes, from the rows of ``docs`` where
+    ``teaches`` holds (null: it does not); the probabilities of all texts add up to one.  ``base_score`` is the text's log10
+    probability under add-one frequencies of tokens.  Null and empty texts consist of the end token alone; equal rows are
+    scored each; without a teaching row every byte is equally likely; no rows: an empty result.  Other columns are carried
+    only as ``keep`` names them.
     """
-    buckets, grams = max(16, blocks // 8), counts.where("kind = 0")
-    low = min(SHORT, depth)
-    short = grams.groupBy(F.col("key").bitwiseAND((1 << 8 * (low + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    key, n = short["key"].to_numpy().astype(np.uint64), short["n"].to_numpy()
-    base = dealt.sparkSession.sparkContext.broadcast((_levels(key, n, 0, low), int(n.sum())))
-
-    def asked(docs: pa.Table) -> pa.Table:
-        found: list[np.ndarray] = []
-        for _, _, data, spans in _slabs(docs["__data"].to_pylist(), depth):
-            found.append(np.unique(_grams(data, spans, depth)))
-        g = np.unique(np.concatenate(found))
-        of = _bucket(g, buckets).astype(np.int64)
-        order = np.argsort(of, kind="stable")
-        cuts = np.searchsorted(of[order], np.arange(buckets + 1)).tolist()
-        rows = [{"bucket": k, "block": docs["block"][0].as_py(), "grams": _packed(g[order[a:b]])} for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-        return pa.Table.from_pylist(rows, schema=pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("grams", pa.binary())]))
-
-    def answered(runs: pa.Table, questions: pa.Table) -> pa.Table:
-        out: list[bytes] = []
-        if len(questions):
-            levels, total = base.value
-            longer = _levels(runs["key"].to_numpy().astype(np.uint64), runs["n"].to_numpy(), low + 1, depth)
-            tree = _grown(tuple(np.concatenate(x) for x in zip(levels, longer, strict=True)), total, depth, gain, low)
-            out = [_packed(tree.log10(g)) for g in _unpacked(questions["grams"].to_pylist(), np.uint64)]
-        return pa.table({"block": questions["block"], "grams": questions["grams"], "logp": pa.array(out, pa.binary())})
-
-    questions = dealt.select("block", "__data").groupBy("block").applyInArrow(asked, "bucket long, block long, grams binary")
-    runs = grams.select(_bucket_of("key", buckets).alias("bucket"), "key", "n")
-    return runs.groupBy("bucket").cogroup(questions.groupBy("bucket")).applyInArrow(answered, "block long, grams binary, logp binary")
-
-
-def score(docs: DataFrame, counts: DataFrame, tree: SuffixTree | None = None, *, keep: list | None = None, common: int = 1_000_000, tree_share: float = 0.5, text: str = "text", depth: int = 5, gain: float = 10.0, block_bytes: int = 8 << 20) -> DataFrame:
-    """``keep`` columns with n_tokens, n_known, train_tokens, base_score and score of each row's whole text; null is empty.
-
-    ``score`` mixes, token by token, the tree's probability of spelling the token (share ``tree_share``) with its add-one
-    frequency; with a share of 1 it is the tree's alone.  ``base_score`` is the text's log10 probability under add-one
-    token frequencies.  Tokens whose share of the training tokens is at least 1 / ``common`` (so at most that many) are
-    looked up in a broadcast table; all others are joined with the counts, for both scores.  Rows are told apart by a
-    number of their own, so equal rows are scored each.  Without a ``tree``, texts are dealt to blocks of about
-    ``block_bytes`` and their runs are looked up by ``run_scores``.
-    """
-    spark = docs.sparkSession
-    words = counts.where("kind = 1").select("key", F.col("n").alias("c"))
-    n_train, vocabulary = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    n_train, vocabulary = int(n_train), int(vocabulary)
-    often = words.where(F.col("c") * common >= n_train).toArrow().sort_by("key")
-    shared = spark.sparkContext.broadcast((tree, often["key"].to_numpy(), often["c"].to_numpy()))
-    size = docs.select(F.sum(F.octet_length(text))).first()[0] if tree is None else 0
-    blocks = max(4, -(-int(size or 0) // block_bytes))
-    rows = docs.select(*(keep if keep is not None else docs.columns), docs[text].cast("binary").alias("__data"), F.pmod(F.xxhash64(*docs.columns), F.lit(blocks)).alias("block"))
-
-    def numbers(texts: list[bytes | None], depth: int, log10: Callable[[np.ndarray], np.ndarray]) -> list[pa.Array]:
-        """n_tokens, n_often, base_often, score_often, __rare, __spelled of texts."""
-        _, key, c = shared.value
-        logs = np.log10((c + 1) / (n_train + vocabulary + 1))
-        tokens, known = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        base, model = np.zeros(len(texts)), np.zeros(len(texts))
-        rare, by_tree = [], []
-        for index, w, data, spans in _slabs(texts, depth):
-            grams, of = np.unique(_grams(data, spans, depth), return_inverse=True)
-            each = log10(grams)[of]
-            i = np.array(index)
-            symbols = np.array([len(x) + 1 for text in w for x in (*text, b"")])
-            spelled = np.add.reduceat(each, np.concatenate(([0], np.cumsum(symbols)[:-1])))
-            h, size = _word_keys(w), np.array([len(x) + 1 for x in w])
-            distinct, of = np.unique(h, return_inverse=True)
-            at, found = SuffixTree._find(key, distinct)
-            starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-            tokens[i] = size
-            known[i] = np.add.reduceat(found[of].astype(np.int64), starts)
-            whole = (np.where(found, logs[at], 0.0) if len(key) else np.zeros(len(distinct)))[of]
-            base[i] = np.add.reduceat(whole, starts)
-            top = np.maximum(spelled, whole)
-            both = spelled if tree_share == 1 else top + np.log10(tree_share * 10.0 ** (spelled - top) + (1 - tree_share) * 10.0 ** (whole - top))
-            model[i] = np.add.reduceat(np.where(found[of], both, 0.0), starts)
-            left = np.flatnonzero(~found[of])
-            cuts = np.searchsorted(left, np.concatenate((starts, [len(h)]))).tolist()
-            rare += [h[left[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
-            by_tree += [spelled[left[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
-        return [pa.array(tokens), pa.array(known), pa.array(base), pa.array(model), pa.array(rare, pa.list_(pa.int64())), pa.array(by_tree, pa.list_(pa.float64()))]
-
-    names = ["__row", "n_tokens", "n_often", "base_often", "score_often", "__rare", "__spelled"]
-    carried = [x for x in rows.columns if x not in ("__data", "block")]
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value[0]
-        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        for b in batches:
-            ids = pa.array(np.arange(number, number + len(b)))
-            number += len(b)
-            yield pa.RecordBatch.from_arrays([*(b[x] for x in carried), ids, *numbers(b["__data"].to_pylist(), tree.depth, tree.log10)], names=[*carried, *names])
-
-    def scored_block(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        grams = np.concatenate(_unpacked(answers["grams"].to_pylist(), np.uint64))
-        order = np.argsort(grams)
-        grams, logp = grams[order], np.concatenate(_unpacked(answers["logp"].to_pylist(), np.float64))[order]
-        ids = pa.array((docs["block"][0].as_py() << 40) + np.arange(len(docs)))
-        return pa.Table.from_arrays([*(docs[x] for x in carried), ids, *numbers(docs["__data"].to_pylist(), depth, lambda g: logp[np.searchsorted(grams, g)])], names=[*carried, *names])
-
+    size = docs.select(F.sum(F.octet_length(docs[text]))).first()[0]
+    blocks = max(16, -(-int(size or 0) // block_bytes))
+    teaches = F.coalesce(teaches if isinstance(teaches, Column) else F.lit(teaches), F.lit(False))
+    rows = docs.select(*(keep if keep is not None else [docs[c] for c in docs.columns]), docs[text].cast("binary").alias("__data"), teaches.alias("__teach"), F.pmod(F.xxhash64(*docs.columns), F.lit(blocks)).cast("int").alias("__block"))
+    carried = [c for c in rows.columns if c not in ("__data", "__teach", "__block")]
+    asked = written(rows.select("__block", "__data", "__teach").groupBy("__block").applyInArrow(_asked(depth), "block int, kind byte, key long, n long"))
+    counts = written(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    tokens = counts.where(F.col("kind") == TOKEN)
+    train_tokens, vocabulary = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
+    tree = suffix_tree(counts.where(F.col("kind") == RUN).select("key", "n"), depth=depth, gain=gain)
+    # A float has the digits that a text's score can tell; its double travels in fewer bytes.
+    known = written(tree.select(F.lit(RUN).cast("byte").alias("kind"), "key", F.log10("p").cast("float").cast("double").alias("value")).unionAll(tokens.select("kind", "key", F.col("n").cast("double"))))
+    answers = written(asked.select("block", "kind", "key").join(known, ["kind", "key"]).select(F.col("block").alias("__block"), "kind", "key", "value"))
+    dropped(asked, counts, known)
     fields = rows.select(*carried).schema.simpleString()[7:-1]
-    schema = f"{fields}{', ' if fields else ''}__row long, n_tokens long, n_often long, base_often double, score_often double, __rare array<long>, __spelled array<double>"
-    if tree is None:
-        answers = run_scores(rows, counts, blocks=blocks, depth=depth, gain=gain)
-        table = written(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored_block, schema))
-    else:
-        table = written(rows.mapInArrow(scored, schema))
-    seldom = table.select("__row", F.explode(F.arrays_zip("__rare", "__spelled")).alias("x")).select("__row", F.col("x.__rare").alias("key"), F.col("x.__spelled").alias("spelled"))
-    seldom = seldom.join(words, "key", "left").withColumn("whole", F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n_train + vocabulary + 1))))
-    top = F.greatest("spelled", "whole")
-    both = F.col("spelled") if tree_share == 1 else top + F.log10(tree_share * F.pow(F.lit(10.0), F.col("spelled") - top) + (1 - tree_share) * F.pow(F.lit(10.0), F.col("whole") - top))
-    seldom = seldom.groupBy("__row").agg(F.count("c").alias("more"), F.sum("whole").alias("less"), F.sum(both).alias("rest"))
-    out = table.drop("__rare", "__spelled").join(seldom, "__row", "left")
-    return out.select(
-        *carried, "n_tokens", (F.col("n_often") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base_often") + F.coalesce("less", F.lit(0.0))).alias("base_score"), (F.col("score_often") + F.coalesce("rest", F.lit(0.0))).alias("score"),
-    )
-
-
-def learn_and_score(docs: DataFrame, training: DataFrame, *, depth: int = 5, keep: list | None = None) -> DataFrame:
-    """Scores of ``docs`` under a tree learned from ``training``; without training texts every symbol is equally likely.
-
-    Null and empty texts consist of the end token alone.  Further columns are carried only as ``keep`` names them.
-    """
-    return score(docs, written(corpus_counts(training, depth=depth)), keep=keep, depth=depth)
+    schema = f"{fields}{', ' if fields else ''}n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    unseen = -float(np.log10(train_tokens + vocabulary + 1))
+    return rows.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(_scored(depth, carried, int(train_tokens), unseen), schema)

@@ -11,7 +11,7 @@ from tessera.llm import cover_tree, divergence, language_id, license_scan, mixin
 def run(name, docs, labels=None):
     keep = [F.col("doc_id")]
     return {
-        "lm": lambda: suffix_tree_lm.learn_and_score(docs, docs, keep=keep),
+        "lm": lambda: suffix_tree_lm.learn_and_score(docs, True, keep=keep),
         "rules": lambda: divergence.divergence_rules(docs),
         "dedup": lambda: suffix_dedup.remove_repeats(docs),
         "mix": lambda: mixing.mix(docs),

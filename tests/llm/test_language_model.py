@@ -1,37 +1,21 @@
 """What a score uses does not depend on the share that a word or a run has of the corpus."""
 
 import math
-from collections import Counter
 
 from pyspark.sql import functions as F
 
 from tessera.llm import suffix_tree_lm
 
 
-def test_rare_words_count_in_the_score(spark):
-    docs = spark.createDataFrame([(1, "mill mill mill river stone"), (2, "stone otter"), (3, None)], "doc_id long, text string")
-    counts = suffix_tree_lm.corpus_counts(docs)
-    seen = Counter("mill mill mill river stone stone otter".split()) + Counter({"\n": 3})
-    for common in (1_000_000, 4, 1):
-        got = {r["doc_id"]: r for r in suffix_tree_lm.score(docs, counts, common=common, tree_share=0.0, keep=[F.col("doc_id")]).collect()}
-        want = sum(math.log10((seen[w] + 1) / (sum(seen.values()) + len(seen) + 1)) for w in ("stone", "otter", "\n"))
-        assert math.isclose(got[2]["score"], want) and math.isclose(got[2]["base_score"], want) and got[2]["n_known"] == 3
-
-
-def test_the_tree_in_buckets_is_the_tree_in_one_place(spark, documents):
-    docs = documents.limit(60)
-    counts = suffix_tree_lm.corpus_counts(docs.where("doc_id % 3 > 0")).cache()
-    tree = suffix_tree_lm.fit(counts, gain=3.0)
-    assert len(tree.contexts[5]) > 10
-    for common in (1_000_000, 100):
-        one = {r["doc_id"]: r for r in suffix_tree_lm.score(docs, counts, tree, common=common, keep=[F.col("doc_id")]).collect()}
-        many = {r["doc_id"]: r for r in suffix_tree_lm.score(docs, counts, common=common, gain=3.0, block_bytes=20_000, keep=[F.col("doc_id")]).collect()}
-        assert one.keys() == many.keys() and len(one) == 60
-        assert all(math.isclose(one[k][c], many[k][c], rel_tol=1e-9) for k in one for c in ("n_tokens", "n_known", "base_score", "score"))
-
-
 def test_a_context_of_tiny_share_is_a_state(spark):
     """After "xjk" comes "v", after "yjk" comes "w", 40 times each: below a millionth of what surrounds them."""
     rare, rest = [("xjkv yjkw " * 40,)], [("the river runs by the mill and " * 40_000,)] * 50
-    counts = suffix_tree_lm.corpus_counts(spark.createDataFrame(rare + rest, "text string").repartition(4))
-    assert {int.from_bytes(c, "big") for c in (b"xjk", b"yjk")} <= set(suffix_tree_lm.fit(counts).contexts[3].tolist())
+    docs = spark.createDataFrame(rare + rest, "text string").repartition(4)
+    out = suffix_tree_lm.learn_and_score(docs.unionAll(spark.createDataFrame([("xjkv",), ("yjkv",)], "text string")), F.length("text") > 5, depth=3)
+    got = {r["text"]: r["score"] for r in out.where("length(text) < 5").collect()}
+    assert got["xjkv"] - got["yjkv"] > 1
+
+
+def test_rows_that_teach_nothing(spark):
+    rows = suffix_tree_lm.learn_and_score(spark.createDataFrame([("ab",), (None,), ("ab",)], "text string"), False).collect()
+    assert sorted(round(r["score"] / math.log10(256), 6) for r in rows) == [-4.0, -4.0, -1.0] and all(r["train_tokens"] == 0 == r["base_score"] for r in rows)

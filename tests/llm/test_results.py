@@ -66,25 +66,60 @@ def test_op1_base_scores_and_model(spark, sf, texts):
         assert r["score"] < 0
 
 
-def test_op1_tree_is_a_distribution(spark, documents):
-    """Next-symbol probabilities of every state add up to one, and a text scores the sum of its longest states'."""
-    counts = suffix_tree_lm.corpus_counts(documents.limit(40), depth=3)
-    tree = suffix_tree_lm.fit(counts, depth=3, gain=4.0)
-    assert sum(len(c) for c in tree.contexts) > 100
-    rng = np.random.default_rng(0)
-    for k in range(4):
-        for context in rng.choice(tree.contexts[k], min(8, len(tree.contexts[k])), replace=False):
-            grams = (np.uint64(context) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-            assert math.isclose((10.0 ** tree.log10(grams)).sum(), 1, rel_tol=1e-9)
-    text = "the old house"
-    row = suffix_tree_lm.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), counts, tree, keep=[F.col("doc_id")], tree_share=1.0).first()
-    data = b"\n\n\n" + text.encode() + b" \n"
-    states = [set(c.tolist()) for c in tree.contexts]
-    total = 0.0
-    for i in range(3, len(data)):
-        deep = max(k for k in range(4) if k == 0 or int.from_bytes(data[i - k : i], "big") in states[k])
-        total += tree.log10(np.array([int.from_bytes(data[i - 3 : i + 1], "big")], np.uint64), deep)[0]
-    assert math.isclose(row["score"], total, rel_tol=1e-9)
+def plain_tree(texts, depth, gain):
+    """log10 P(symbol | the ``depth`` bytes before) by the rules, from dictionaries."""
+    after = defaultdict(Counter)
+    for t in texts:
+        data = b"\n" * depth + symbols(t)
+        for i in range(depth, len(data)):
+            for k in range(depth + 1):
+                after[data[i - k : i]][data[i]] += 1
+    total, states = sum(after[b""].values()), {b""}
+
+    def p(context, c):
+        while context not in states:
+            context = context[1:]
+        n = after[context]
+        if not context:
+            return (n[c] + 1) / (total + 256)
+        return (n[c] + len(n) * p(context[1:], c)) / (sum(n.values()) + len(n))
+
+    for k in range(1, depth + 1):
+        for context in sorted(x for x in after if len(x) == k and x[1:] in states):
+            n, rest = after[context], {c: p(context[1:], c) for c in after[context]}
+            own = {c: (n[c] + len(n) * q) / (sum(n.values()) + len(n)) for c, q in rest.items()}
+            if k <= 2 or sum(n[c] * math.log(own[c] / rest[c]) for c in n) >= gain:
+                states.add(context)
+    return p, states
+
+
+def symbols(t):
+    w = t.encode().lower().split()
+    return b" ".join([*w, b"\n"]) if w else b"\n"
+
+
+@pytest.mark.parametrize("depth, gain", [(5, 6.0), (3, 1.0)])
+def test_op1_score_is_the_trees(spark, texts, depth, gain):
+    some = dict(sorted(texts.items())[:60]) | {-1: None, -2: "", -3: "zzqx ∆ unseen"}
+    teach = {i for i in some if i >= 0 and i % 3}
+    p, states = plain_tree([some[i] for i in sorted(teach)], depth, gain)
+    assert len({len(s) for s in states}) == depth + 1
+    docs = spark.createDataFrame([(i, t, i in teach) for i, t in some.items()], "doc_id long, text string, t boolean")
+    rows = suffix_tree_lm.learn_and_score(docs, F.col("t"), keep=[F.col("doc_id")], depth=depth, gain=gain, block_bytes=20_000).collect()
+    assert len(rows) == len(some)
+    for r in rows:
+        data = b"\n" * depth + symbols(some[r["doc_id"]] or "")
+        assert math.isclose(r["score"], sum(math.log10(p(data[i - depth : i], data[i])) for i in range(depth, len(data))), rel_tol=1e-5)
+    for context in (b"\n" * depth, b"the r"[:depth], b"zzzzz"[:depth]):
+        assert math.isclose(sum(p(context, c) for c in range(256)), 1, rel_tol=1e-9)
+
+
+def test_op1_tree_alone_beats_token_frequencies(spark, sf):
+    """On held-out texts, from some MB of training texts on."""
+    big = spark.read.parquet("/root/testdata/check_s/documents.parquet").where("doc_id % 9 = 0")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    out = suffix_tree_lm.learn_and_score(big, ~held, keep=[held.alias("held_out")]).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert out[0] > out[1]
 
 
 def windows_repeated(words, n=3):
