@@ -4,9 +4,9 @@ Every string of ``length`` bytes contains one of the text's winnowed grams (an a
 string alone.  Anchors of one document only are left out first.  Around each other anchor lies a window that holds all
 strings in which it is selected; written with one symbol for the anchor it is ``left # right``, and the strings are its
 substrings of ``length - gram + 1`` symbols.  Windows are dealt to buckets by their anchor, so a bucket holds every
-occurrence of every such string, and within a bucket to shards by the slice of the corpus they are from.  Each shard's
-suffixes are sorted once, in a task of its own, and only the shard's Burrows-Wheeler transform is sent on.  The transforms
-of a bucket are merged by iterative interleave refinement, which sorts no suffixes again; the refinement yields common
+occurrence of every such string, and within a bucket to shards by a hash; equal windows are one string of their shard.  Each
+shard's suffixes are sorted once, in a task of its own, and only the shard's Burrows-Wheeler transform is sent on.  The
+transforms of a bucket are merged by iterative interleave refinement, which sorts no suffixes again; the refinement yields common
 prefixes, these the intervals of equal strings, and each interval the smallest document that has the string.
 """
 
@@ -279,7 +279,8 @@ def _windows(length: int, hot: int, shards: int) -> Callable:
     def run(docs: pa.Table, again: pa.Table) -> pa.Table:
         found: list[tuple] = []
         slabs: list[bytes] = []
-        repeated, times = again["gram"].to_numpy().view(np.uint64), again["n"].to_numpy()
+        got = np.frombuffer(b"".join(again["grams"].to_pylist()), np.int64).reshape(-1, 2)
+        repeated, times = np.ascontiguousarray(got[:, 0]).view(np.uint64), got[:, 1]
         order = np.argsort(repeated)
         repeated, times = repeated[order], times[order]
         for data, at, ends in _slabs([x or b"" for x in docs["data"].to_pylist()] if len(again) else []):
@@ -302,18 +303,28 @@ def _windows(length: int, hot: int, shards: int) -> Callable:
             found.append((key, np.where(n > hot, _mixed(key), h), n, row + at, a - begin, a, place, b, np.full(len(a), len(slabs))))
             slabs.append(data)
         key, anchor, n, row, lo, a, p, b, slab = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 9
+        block, m = docs["block"][0].as_py() if len(docs) else 0, len(key)
         order = np.argsort(key)
-        new = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1]))) if len(key) else np.zeros(0, np.int64)
-        row, some = row[order], order[new]
+        new = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1]))) if m else np.zeros(0, np.int64)
+        # Windows in the order of the text, in which neighbours compress best.
+        rank = np.empty(len(new), np.int64)
+        rank[np.argsort(np.minimum.reduceat(order, new) if m else new)] = np.arange(len(new))
+        group = np.empty(m, np.int64)
+        group[order] = np.repeat(rank, np.diff(np.append(new, m)))
+        order = np.argsort(group, kind="stable")
+        stops = np.cumsum(np.bincount(group, minlength=len(new)))
+        first = np.concatenate(([0], stops[:-1]))[: len(new)].astype(np.int64)
+        row, some = row[order], order[first]
         owner = _ids(docs["doc_id"])[row]
         contexts = [slabs[i][x:y] + ANCHOR + slabs[i][y + k : z] for i, x, y, z in zip(slab[some].tolist(), a[some].tolist(), p[some].tolist(), b[some].tolist(), strict=True)]
-        each = pa.StructArray.from_arrays([pa.array(owner), pa.array(docs["key"].to_numpy()[row]), pa.array(lo[order].astype(np.int64))], names=["owner", "key", "lo"])
-        block = docs["block"][0].as_py() if len(docs) else 0
-        least, most = (f.reduceat(owner, new) if len(key) else owner for f in (np.minimum, np.maximum))
-        salts = shards * np.where(n[some] > hot, -(-n[some] // hot), 1)
+        each = np.stack([owner, docs["key"].to_numpy()[row], lo[order].astype(np.int64)], axis=1)
+        least, most = (f.reduceat(owner, first) if m else owner for f in (np.minimum, np.maximum))
+        # Equal windows meet in one shard, unless there are too many.
+        shard = np.where(n[some] > hot, block % (shards * -(-n[some] // hot)), (key[some] % np.uint64(shards)).astype(np.int64) if m else 0)
+        places = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((np.append(first, m) * 24).astype(np.int32)), pa.py_buffer(each)])
         return pa.table({
-            "anchor": pa.array(anchor[some].astype(np.uint64).view(np.int64)), "context": pa.array(contexts, pa.binary()), "shard": pa.array((block % salts).astype(np.int32)), "least": pa.array(least, pa.int64()), "most": pa.array(most, pa.int64()),
-            "block": pa.array(np.full(len(new), block, np.int32)), "places": pa.ListArray.from_arrays(pa.array(np.append(new, len(key)).astype(np.int32)), each),
+            "anchor": pa.array(anchor[some].astype(np.uint64).view(np.int64)), "context": pa.array(contexts, pa.binary()), "shard": pa.array(shard.astype(np.int32)), "least": pa.array(least, pa.int64()), "most": pa.array(most, pa.int64()),
+            "block": pa.array(np.full(len(first), block, np.int32)), "places": places,
         })
 
     return run
@@ -370,6 +381,31 @@ def _merged(depth: int) -> Callable:
     return run
 
 
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The grams of a batch and their places in all, packed for each block."""
+    for b in batches:
+        block = b["block"].to_numpy()
+        order = np.argsort(block, kind="stable")
+        pairs = np.stack([b["gram"].to_numpy()[order], b["n"].to_numpy()[order]], axis=1)
+        first = np.flatnonzero(np.concatenate(([True], block[order][1:] != block[order][:-1])))[: len(block)]
+        yield pa.RecordBatch.from_arrays([pa.array(block[order][first]), pa.array([x.tobytes() for x in np.split(pairs, first[1:])] if len(first) else [], pa.binary())], names=["block", "grams"])
+
+
+def _lost(length: int) -> Callable:
+    """The places that lose a run of starts, of (block, at, n, first, places)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places = b["places"].to_pylist()
+            of = np.repeat(np.arange(len(places)), np.fromiter(map(len, places), np.int64, len(places)) // 24)
+            owner, key, lo = np.frombuffer(b"".join(places), np.int64).reshape(-1, 3).T
+            lost = owner > b["first"].to_numpy()[of]
+            of = of[lost]
+            yield pa.RecordBatch.from_arrays([b["block"].take(pa.array(of)), pa.array(key[lost]), pa.array(lo[lost] + b["at"].to_numpy()[of]), pa.array(b["n"].to_numpy()[of] + (length - 1))], names=["block", "key", "lo", "size"])
+
+    return run
+
+
 def _cut(with_text: bool, length: int) -> Callable:
     """Each text of a block with what it loses and keeps."""
 
@@ -400,7 +436,7 @@ def _cut(with_text: bool, length: int) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 50, keep: list[str] | None = None, with_text: bool = False, block_bytes: int = 16 << 20, bucket_windows: int = 6000, shards: int = 2, hot: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 50, keep: list[str] | None = None, with_text: bool = False, block_bytes: int = 16 << 20, bucket_windows: int = 6000, shards: int = 2, hot: int = 60_000) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) with n_bytes, n_removed, n_spans, kept_sha256[, kept_text].
 
     A byte goes if a string of ``length`` bytes (3 at least) that covers it also starts in a document with a smaller doc_id;
@@ -421,9 +457,11 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, keep: list[str] | None
     dealt = rows.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int"))
     slim = dealt.select("block", F.col("doc_id").cast("long").alias("doc_id"), "key", "data")
     grams = slim.groupBy("block").applyInArrow(_block_grams(length), "gram long, block int, c int")
-    again = written(grams.withColumn("n", F.sum("c").over(W.partitionBy("gram"))).where("n > 1").select("block", "gram", "n"))
-    buckets = max(4, -(-again.count() // bucket_windows))
-    found = slim.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_windows(length, hot, shards), "anchor long, context binary, shard int, least long, most long, block int, places array<struct<owner:long,key:long,lo:long>>")
+    repeated = grams.withColumn("n", F.sum("c").over(W.partitionBy("gram"))).where("n > 1").select("block", "gram", "n")
+    again = written(repeated.mapInArrow(_by_block, "block int, grams binary"))
+    several = again.agg(F.coalesce(F.sum(F.octet_length("grams")), F.lit(0))).first()[0] // 16
+    buckets = max(4, -(-int(several) // bucket_windows))
+    found = slim.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_windows(length, hot, shards), "anchor long, context binary, shard int, least long, most long, block int, places binary")
     windows = written(found)
     dropped(again)
     parts = windows.select(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("int").alias("bucket"), "shard", "anchor", "context", "least", "most")
@@ -431,8 +469,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, keep: list[str] | None
     repeats = written(transforms.groupBy("bucket").applyInArrow(_merged(depth), "anchor long, context_key long, at long, n long, first long"))
     dropped(transforms)
     held = windows.select("anchor", F.xxhash64("context").alias("context_key"), "block", "places")
-    spans = held.join(repeats, ["anchor", "context_key"]).select("block", "at", "n", "first", F.explode("places").alias("p")).where("p.owner > first")
-    spans = written(spans.select("block", "p.key", (F.col("p.lo") + F.col("at")).alias("lo"), (F.col("n") + (length - 1)).alias("size")))
+    hits = held.join(repeats, ["anchor", "context_key"]).select("block", "at", "n", "first", "places")
+    spans = written(hits.mapInArrow(_lost(length), "block int, key long, lo long, size long"))
     dropped(windows, repeats)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("data", "key"))
     schema = f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text

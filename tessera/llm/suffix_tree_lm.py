@@ -157,7 +157,7 @@ def _scored(depth: int, carried: list[str], train_tokens: int, unseen: float):
     return run
 
 
-def learn_and_score(docs: DataFrame, teaches: Column | bool, *, keep: list[Column] | None = None, depth: int = 5, gain: float = 6.0, text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+def learn_and_score(docs: DataFrame, teaches: Column | bool, *, keep: list[Column] | None = None, depth: int = 5, gain: float = 6.0, text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
     """``keep`` columns with n_tokens, n_known, train_tokens, base_score and score of each row's whole text.
 
     ``score`` is the log10 probability that the suffix tree gives the text's bytes, from the rows of ``docs`` where
