@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tessera.llm.common import components, written
 
@@ -113,13 +114,16 @@ def embedding_links(vectors: DataFrame, *, cosine: float = 0.98, ball: int = 204
     sizes = {(r["label"], r["dim"]): r["n"] for r in classes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(max_centres).collect()}
     total = sum(sizes.values())
     wanted = {k: max(1, min(-(-n // ball), max_centres * n // max(1, total))) for k, n in sizes.items()}
-    # A bounded sample of centres; labels beyond the bound have one ball each, around the origin.
+    # A bounded sample of centres, of all labels at once; labels beyond the bound have one ball each, around the origin.
     centres: dict[tuple, np.ndarray] = {}
-    for k, n in wanted.items():
-        if n > 1:
-            got = classes.where((F.col("label") == F.lit(k[0])) & (F.size("v") == k[1])).orderBy(F.xxhash64("rep", F.lit(seed)), "rep").limit(n).select("v").toArrow()
-            c = np.array(got["v"].to_pylist())
-            centres[k] = c / np.linalg.norm(c, axis=1, keepdims=True)
+    if any(n > 1 for n in wanted.values()):
+        spark = vectors.sparkSession
+        many = spark.createDataFrame([(*k, n) for k, n in wanted.items() if n > 1], f"label {classes.schema['label'].dataType.simpleString()}, dim int, wanted int")
+        place = F.row_number().over(W.partitionBy("label", "dim").orderBy(F.xxhash64("rep", F.lit(seed)), "rep"))
+        got = classes.withColumn("dim", F.size("v")).join(F.broadcast(many), ["label", "dim"]).withColumn("place", place).where("place <= wanted").orderBy("label", "dim", "place").select("label", "dim", "v").toArrow()
+        for k, x in zip(zip(got["label"].to_pylist(), got["dim"].to_pylist(), strict=True), got["v"].to_pylist(), strict=True):
+            centres.setdefault(k, []).append(x)
+        centres = {k: (c := np.array(v)) / np.linalg.norm(c, axis=1, keepdims=True) for k, v in centres.items()}
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,11 +148,13 @@ def embedding_links(vectors: DataFrame, *, cosine: float = 0.98, ball: int = 204
     # A ball above the size is split evenly into parts around the same centre.
     balls = balls.withColumn("parts", F.ceil(F.col("n") / ball).cast("long"))
     reach = float(np.sqrt(2 - 2 * cosine)) + SLACK
-    shards = balls.select("label", "dim", "centre", "radius", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).withColumn("shard", F.col("centre") * (1 << 24) + F.col("part"))
-    left, right = (shards.select("label", "dim", F.col("shard").alias(s), F.col("centre").alias(f"c{s}"), F.col("radius").alias(f"r{s}")) for s in "ij")
+    near = vectors.sparkSession.createDataFrame([(*k, i, x.tolist()) for k, c in centres.items() for i, x in enumerate(c)], f"label {types['label']}, dim int, centre long, at array<double>")
+    shards = balls.join(F.broadcast(near), ["label", "dim", "centre"], "left").select("label", "dim", "centre", "radius", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).withColumn("shard", F.col("centre") * (1 << 24) + F.col("part"))
+    left, right = (shards.select("label", "dim", F.col("shard").alias(s), F.col("centre").alias(f"c{s}"), F.col("radius").alias(f"r{s}"), F.col("at").alias(f"x{s}")) for s in "ij")
 
-    apart = F.udf(lambda label, dim, p, q: 0.0 if p == q or (label, dim) not in shared.value else float(np.linalg.norm(shared.value[label, dim][p] - shared.value[label, dim][q])), "double")
-    pairs = left.join(right, ["label", "dim"]).where("i <= j").where(apart("label", "dim", "ci", "cj") <= F.col("ri") + F.col("rj") + reach).select("label", "dim", "i", "j")
+    squares = F.aggregate(F.zip_with("xi", "xj", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda a, x: a + x)
+    apart = F.when(F.col("ci") == F.col("cj"), 0.0).otherwise(F.coalesce(F.sqrt(squares), F.lit(0.0)))
+    pairs = left.join(right, ["label", "dim"]).where("i <= j").where(apart <= F.col("ri") + F.col("rj") + reach).select("label", "dim", "i", "j")
     each = pairs.withColumn("shard", F.explode(F.array_distinct(F.array("i", "j"))))
     placed = placed.join(balls.select("label", "dim", "centre", "parts"), ["label", "dim", "centre"]).withColumn("shard", F.col("centre") * (1 << 24) + F.pmod(F.xxhash64("rep", F.lit(seed + 1)), F.col("parts")))
     tasks = placed.join(each, ["label", "dim", "shard"]).select("label", "dim", "i", "j", "shard", "rep", "m", "unit")

@@ -7,17 +7,17 @@ sample of labelled documents; all windows of every text are scored, in batches,
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -113,17 +113,19 @@ def train(texts: list[tuple[str, bytes]], *, widths=(2, 3, 4), per_width: int =
     return ByteConvNet(languages, p["embed"], p["filters"], p["bias"], p["out"], p["out_bias"], widest, window)
 
 
-def fit(docs: DataFrame, *, per_language: int = 1500, max_languages: int = 200, windows_per_text: int = 4, window: int = 128, seed: int = 7) -> ByteConvNet | None:
-    """Train on at most ``per_language`` rows of each of the ``max_languages`` commonest values of ``lang``, by seeded hash of the text.
+def fit(docs: DataFrame, *, per_language: int = 1500, sample: int = 60_000, windows_per_text: int = 4, window: int = 128, seed: int = 7) -> ByteConvNet | None:
+    """Train on at most ``per_language`` rows of each value of ``lang``, and on fewer of each if they are over ``sample`` in all
+    (but one), by seeded hash of the text.
 
     ``docs`` has ``text`` and ``lang``; rows without either teach nothing.  Of each sampled text up to
     ``windows_per_text`` windows at seeded places are used, some of them shortened, so what reaches the driver is bounded
     by the parameters.  No such rows: None.
     """
     rows = docs.where("text is not null and lang is not null").select("lang", "text")
-    common = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    if not common:
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
         return None
+    per_language = max(1, min(per_language, sample // len(counts)))
 
     def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,9 +139,8 @@ def fit(docs: DataFrame, *, per_language: int = 1500, max_languages: int = 200,
                     out.append((h, lang, k, data[at : at + n]))
             yield pa.RecordBatch.from_pylist([dict(zip(("h", "lang", "k", "piece"), x, strict=True)) for x in out], schema=pa.schema([("h", pa.int64()), ("lang", pa.string()), ("k", pa.int32()), ("piece", pa.binary())]))
 
-    small = rows.where(F.col("lang").isin(common)).select("lang", "text", F.xxhash64("text", F.lit(seed)).alias("h"))
+    small = rows.select("lang", "text", F.xxhash64("text", F.lit(seed)).alias("h"))
     # A hash bound that keeps a few times the sample, so that only those texts go on to be cut and ranked.
-    counts = {r[0]: r[1] for r in small.groupBy("lang").count().collect()}
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 3.0 * per_language / n))])
     low = small.where((F.pmod(F.col("h"), F.lit(1 << 20)) / float(1 << 20)) < share[F.col("lang")])
     pieces = low.mapInArrow(excerpts, "h long, lang string, k int, piece binary")

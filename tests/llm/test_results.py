@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import cover_tree, divergence, language_id, license_scan, packing, simhash, suffix_dedup, suffix_tree_lm
+from tessera.llm import cover_tree, divergence, language_id, license_scan, packing, quality_classifier, simhash, suffix_dedup, suffix_tree_lm
 from tessera.llm import queries as Q
 from tessera.llm.common import components
 from tessera.llm.text_stats import repeated_words
@@ -277,6 +277,27 @@ def test_op4_budgets_meet_weights_and_supply(spark):
     assert out == {"a": 100, "b": 1000, "c": 10, "d": 1334}
 
 
+def test_op5_trees_equal_a_walk():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 6))
+    model = quality_classifier.train(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float), trees=12)
+    for row, got in zip(x, model.scores(x), strict=True):
+        raw = model.start
+        for f, t, leaf in zip(model.feature, model.threshold, model.leaf, strict=True):
+            at = 0
+            while at < len(f):
+                at = 2 * at + 1 + int(row[f[at]] > t[at])
+            raw += leaf[at - len(f)]
+        assert math.isclose(got, 1 / (1 + math.exp(-raw)), rel_tol=1e-9)
+
+
+def test_op5_ranks_held_out_labels(spark, sf):
+    sf = sf.replace("0.001", "0.01")
+    rows = Q.op5_quality_classifier(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == k] for k in (1, 0))
+    assert np.mean([g > b for g in good for b in bad]) > 0.95
+
+
 def test_op5_held_out(spark, sf):
     sf = sf.replace("0.001", "0.01")  # 87 labels are too few to learn from
     rows = Q.op5_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
@@ -397,6 +418,13 @@ def test_op9_held_out(spark, sf, documents, texts):
     assert np.mean([r["lang_pred"] == r["lang"] for r in held]) > 0.9
 
 
+def test_op9_only_letters_make_a_language(spark):
+    docs = spark.createDataFrame([(1, "der Fluss und die alte Muehle " * 9, "de"), (2, "the river and the old mill " * 9, "en"), (3, "\u00b2 \u00bd \u2460 \u2167 12 _", None), (4, "\u00e9", None)], "doc_id long, text string, lang string")
+    net = language_id.fit(docs)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, net).collect()}
+    assert got[1] == "de" and got[2] == "en" and got[3] == "und" and got[4] in ("de", "en")
+
+
 def test_op9_windows_cover_every_byte():
     for n in (0, 1, 5, 127, 128, 129, 1000):
         data = bytes(97 + i % 26 for i in range(n))
