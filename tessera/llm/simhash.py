@@ -41,16 +41,17 @@ def fingerprint(data: bytes, words: int = 3, seed: int = 42, slab: int = 1 << 16
     return int(bits.view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, *, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row's whole text as a signed long; null text counts as empty."""
+def fingerprints(docs: DataFrame, *, words: int = 3, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, fp) and the ``keep`` columns: the fingerprint of each row's whole text as a signed long; null text counts as empty."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, words) if t else 0 for t in b["data"].to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(fp.view(np.int64))], names=[*names, "fp"])
 
-    kind = docs.select(docs[doc_id].alias("d")).schema["d"].dataType.simpleString()
-    return docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("binary").alias("data")).mapInArrow(hashed, f"doc_id {kind}, fp long")
+    rows = docs.select(docs[doc_id].alias("doc_id"), *[docs[c] for c in keep or []], docs[text].cast("binary").alias("data"))
+    names = rows.columns[:-1]
+    return rows.mapInArrow(hashed, f"{rows.select(*names).schema.simpleString()[7:-1]}, fp long")
 
 
 class BKTree:
@@ -179,16 +180,16 @@ def shard_links(fps: DataFrame, *, radius: int = 2, largest: int = 2000, depth:
     return ready.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(trees, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, radius: int = 2, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) of each row: the smallest doc_id reachable by links between fingerprints.
+def near_duplicates(docs: DataFrame, *, radius: int = 2, words: int = 3, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of each row, and the ``keep`` columns: the smallest doc_id reachable by links between fingerprints.
 
     Null and blank texts have fingerprint zero and link like any other; repeated rows each give a row; a null doc_id
     gives a row but never names a component; other columns are ignored.  An empty table: an empty result.
     """
-    own = written(fingerprints(docs, words=words, doc_id=doc_id, text=text))
+    own = written(fingerprints(docs, words=words, doc_id=doc_id, text=text, keep=keep))
     fps = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     groups = components(shard_links(fps.select("fp"), radius=radius))
     named = fps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
     named = written(named.select("fp", "group", "least"))
     smallest = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    return own.join(named.join(smallest, "group").select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(named.join(smallest, "group").select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(keep or []))
