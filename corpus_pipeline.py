@@ -29,13 +29,17 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id stays; of rows with that id, one.  Rows without an id,
-    which no component can name, stay."""
+    """Of each SimHash component one row stays: that of the smallest id, of several such rows that of the smallest hash.
+
+    Rows without an id stay if none of their component has one, as no component can be told apart then.
+    """
     workers_can_import(spark)
-    groups = simhash.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).where("doc_id is not null").dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi")
-    return kept.select(*COLUMNS).unionAll(docs.where("doc_id is null").select(*COLUMNS))
+    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row_key"))
+    groups = simhash.near_duplicates(rows, keep=["row_key"])
+    first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.min("row_key").alias("row_key"))
+    nameless = groups.where("component_id is null").select("row_key").distinct()
+    kept = rows.join(first, ["doc_id", "row_key"], "left_semi").dropDuplicates(["doc_id", "row_key"])
+    return kept.select(*COLUMNS).unionAll(rows.where("doc_id is null").join(nameless, "row_key", "left_semi").select(*COLUMNS))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +71,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The network, the tokenizer and the packing have no SQL twin; tests hold each stage against a brute-force version.
+#: The network, the tokenizer and the packing have no SQL twin; tests hold the stages against plain versions and round trips.
 ORACLE_SQL = None
 
 
