@@ -181,7 +181,8 @@ def shard_links(fps: DataFrame, *, radius: int = 2, largest: int = 2000, depth:
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = 2, words: int = 3, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of each row, and the ``keep`` columns: the smallest doc_id reachable by links between fingerprints.
+    """(doc_id, fingerprint, component_id) of each row, and with ``keep`` those columns and ``component_fp``, which differs
+    between components that share their smallest doc_id: the smallest doc_id reachable by links between fingerprints.
 
     Null and blank texts have fingerprint zero and link like any other; repeated rows each give a row; a null doc_id
     gives a row but never names a component; other columns are ignored.  An empty table: an empty result.
@@ -192,4 +193,4 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, words: int = 3, doc_id:
     named = fps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
     named = written(named.select("fp", "group", "least"))
     smallest = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    return own.join(named.join(smallest, "group").select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(keep or []))
+    return own.join(named.join(smallest, "group").select("fp", "group", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *([*keep, F.col("group").alias("component_fp")] if keep else []))
