@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     workers_can_import(spark)
     rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row_key"))
     groups = simhash.near_duplicates(rows, keep=["row_key"])
-    first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.min("row_key").alias("row_key"))
+    first = groups.where("doc_id = component_id").groupBy("doc_id", "component_fp").agg(F.min("row_key").alias("row_key"))
     nameless = groups.where("component_id is null").select("row_key").distinct()
     kept = rows.join(first, ["doc_id", "row_key"], "left_semi").dropDuplicates(["doc_id", "row_key"])
     return kept.select(*COLUMNS).unionAll(rows.where("doc_id is null").join(nameless, "row_key", "left_semi").select(*COLUMNS))
