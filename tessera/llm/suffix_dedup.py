@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,7 +90,7 @@ def winnowed(data: np.ndarray, length: int, ends: np.ndarray | None = None) -> t
     return at, h[at]
 
 
-SLAB = 1 << 19
+SLAB = 1 << 16
 
 
 def _slabs(texts: list[bytes]) -> Iterator[tuple[bytes, int, np.ndarray]]:
@@ -105,10 +106,16 @@ def _slabs(texts: list[bytes]) -> Iterator[tuple[bytes, int, np.ndarray]]:
 _ODD = 0x9E3779B97F4A7C15
 
 
+@lru_cache(maxsize=4)
+def _powers(n: int) -> list[np.ndarray]:
+    """The powers of an odd number and of its inverse, from 0 to n."""
+    return [np.cumprod(np.where(np.arange(n + 1) > 0, np.uint64(x), np.uint64(1))) for x in (_ODD, pow(_ODD, -1, 1 << 64))]
+
+
 def _spans(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """A function of (starts, stops) that gives 64-bit hashes of stretches of ``data``, wherever they stand."""
-    powers, back = (np.cumprod(np.where(np.arange(len(data) + 1) > 0, np.uint64(x), np.uint64(1))) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers[:-1])))
+    powers, back = _powers(1 << len(data).bit_length())
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers[: len(data)])))
     return lambda a, b: _mixed((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64))
 
 
@@ -436,7 +443,7 @@ def _cut(with_text: bool, length: int) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 50, keep: list[str] | None = None, with_text: bool = False, block_bytes: int = 16 << 20, bucket_windows: int = 6000, shards: int = 2, hot: int = 60_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 50, keep: list[str] | None = None, with_text: bool = False, block_bytes: int = 28 << 20, bucket_windows: int = 9000, shards: int = 2, hot: int = 60_000) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) with n_bytes, n_removed, n_spans, kept_sha256[, kept_text].
 
     A byte goes if a string of ``length`` bytes (3 at least) that covers it also starts in a document with a smaller doc_id;
