@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.shapes import bounds, family
 
-#: Pairs of coordinate columns, in order of preference; after them any lon... with any lat...
+#: Names of coordinate columns, in order of preference; after them any lon... with any lat...
 COORDINATES = (("lon", "lat"), ("longitude", "latitude"), ("lng", "lat"), ("lon_wgs84", "lat_wgs84"), ("lon_gcj02", "lat_gcj02"), ("lon_bd09", "lat_bd09"))
 PLAIN_ROWS, ASK_ROWS, CLUSTER_ROWS = 50_000, 100_000, 200_000
 MAX_SQL_ROWS = 50_000
@@ -29,22 +29,27 @@ def coordinate_columns(columns: list[str], explicit: tuple[str, str] | None = No
     return (lon[0], lat[0]) if lon and lat else None
 
 
+def _geometry_format(f: T.StructField) -> str | None:
+    if isinstance(f.dataType, T.StructType):
+        return "struct" if f.dataType.names == ["kind", "parts"] else None
+    if isinstance(f.dataType, T.BinaryType):
+        return "wkb"
+    return "wkt" if isinstance(f.dataType, T.StringType) and re.search("wkt|geom", f.name, re.IGNORECASE) else None
+
+
 def geometry_column(schema: T.StructType) -> tuple[str, str] | None:
-    """(column, format) of the likeliest geometry column: by type, then by name; format: struct, wkb or wkt."""
-    best, score = None, 0
-    for f in schema.fields:
-        name, kind = f.name.lower(), None
-        if isinstance(f.dataType, T.StructType) and f.dataType.names == ["kind", "parts"]:
-            kind, n = "struct", 105
-        elif isinstance(f.dataType, T.BinaryType):
-            kind, n = "wkb", 25
-        elif isinstance(f.dataType, T.StringType) and re.search("wkt|geom|geometry", name):
-            kind, n = "wkt", 15
-        if kind:
-            n += 60 if name in ("geom", "geometry") else 50 if re.search("wkb|wkt", name) else 0
-            if n > score:
-                best, score = (f.name, kind), n
-    return best
+    """(column, format) of the geometry column; format: struct, wkb or wkt.
+
+    A struct is taken before bytes and bytes before text; within a format a column called geom or geometry before one whose
+    name has wkb or wkt, that before any other, and the first of equals.
+    """
+    found = [(f.name, form) for f in schema.fields if (form := _geometry_format(f))]
+
+    def preference(one: tuple[str, str]) -> tuple[int, int]:
+        name = one[0].lower()
+        return ("struct", "wkb", "wkt").index(one[1]), 0 if name in ("geom", "geometry") else 1 if re.search("wkb|wkt", name) else 2
+
+    return min(found, key=preference, default=None)
 
 
 def admission(rows: int, clustered: bool = False) -> str:
