@@ -10,7 +10,7 @@ def schema(text):
     return T._parse_datatype_string(text)
 
 
-def test_geometry_column():
+def test_geometry_column(spark):
     assert geometry_column(schema("id int, name string")) is None
     assert geometry_column(schema("id int, shape binary, geom string")) == ("shape", "wkb")
     assert geometry_column(schema(f"geometry string, raw binary, place {GEOM}")) == ("place", "struct")
