@@ -232,12 +232,13 @@ def buffer(geom: dict, metres: float, steps: int = 8) -> dict:
     """All places within a distance, in the local equirectangular plane around the geometry's middle, as a polygon."""
     rings = rings_of(geom)
     middle = np.concatenate(rings).mean(axis=0)
-    scale = np.array([111_194.92664 * max(1e-6, math.cos(math.radians(middle[1]))), 111_194.92664])
+    # In degrees of latitude, so that the overlay's tolerances fit the coordinates.
+    scale = np.array([max(1e-6, math.cos(math.radians(middle[1]))), 1.0])
     plane = [(r - middle) * scale for r in rings]
-    regions = [[capsule(r[max(0, i - 1)], r[i], metres, steps)] for r in plane for i in range(1 if len(r) > 1 else 0, len(r))]
+    regions = [[capsule(r[max(0, i - 1)], r[i], metres / 111_194.92664, steps)] for r in plane for i in range(1 if len(r) > 1 else 0, len(r))]
     if geom["kind"].endswith("Polygon"):
         regions.append(plane)
-    out = union([[np.round(x, 4) for x in r] for r in regions]) if len(regions) > 1 else [regions[0]]
+    out = union([[np.round(x, 9) for x in r] for r in regions]) if len(regions) > 1 else [regions[0]]
     return geom_of("Polygon", [[r / scale + middle for r in p] for p in out])
 
 

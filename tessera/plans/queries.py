@@ -211,9 +211,9 @@ def attribute_join_first_match(spark, sf):
     return joins.attribute_join(read(spark, sf, "nation"), read(spark, sf, "supplier"), "n_nationkey", "s_nationkey", order="s_suppkey").select("n_nationkey", "n_name", "s_suppkey")
 
 
-@query(f"""select p.id, count(b.id) as "_joinCount", min_by(b.name, b.id) as "_joinName" from {PTS} p left join {BOX} b on lon between west and east and lat between south and north and region <= 3 group by p.id""")
+@query(f"""select p.id, count(b.id) as "_joinCount", min_by(b.name, b.id) as "_joinName" from {PTS} p left join {BOX} b on lon between west and east and lat between south and north group by p.id""")
 def spatial_join_count(spark, sf):
-    boxes = nation_boxes(spark, sf).where("region <= 3")
+    boxes = nation_boxes(spark, sf)
     return joins.spatial_join_count(order_points(spark, sf), boxes, key="id", name="name", order="id").select("id", "_joinCount", "_joinName")
 
 
@@ -224,11 +224,11 @@ def semi_join_location(spark, sf):
 
 @query(f"""select i, j, rank, round(d, 4) as d, round(d, 2) as flow from (
   select a.id as i, b.id as j, {hav("a", "b")} as d, row_number() over (partition by a.id order by {hav("a", "b")}, b.id) as rank
-  from (select * from {CUST} where id < 400) a, (select * from {CUST} where c_nationkey < 5) b where not (a.lon = b.lon and a.lat = b.lat))
+  from {CUST} a, {CUST} b where not (a.lon = b.lon and a.lat = b.lat))
 where rank <= 10 order by i, rank limit 2000""")
 def od_matrix(spark, sf):
     c = customer_points(spark, sf)
-    return joins.od_matrix(c.where("id < 400"), c.where("c_nationkey < 5"), top=10).select("i", "j", "rank", F.round("d", 4).alias("d"), "flow")
+    return joins.od_matrix(c, c, top=10).select("i", "j", "rank", F.round("d", 4).alias("d"), "flow")
 
 
 # --- aggregates -----------------------------------------------------------------------------------------------------
@@ -564,9 +564,9 @@ def convex_hull(spark, sf):
     return out.select(F.lit(1).alias("hulls"), b["xmin"].alias("xmin"), b["xmax"].alias("xmax"), b["ymin"].alias("ymin"), b["ymax"].alias("ymax"))
 
 
-@query(f"select id, 65 as vertices from {CUST} where abs(lat) < 80")
+@query(f"select id, 65 as vertices from {CUST}")
 def buffer_points(spark, sf):
-    rows = construct.buffer_points(customer_points(spark, sf).where(F.abs("lat") < 80), 25.0)
+    rows = construct.buffer_points(customer_points(spark, sf), 25.0)
     return rows.select("id", F.size(shapes.vertices(F.col("geom"))).alias("vertices"))
 
 
@@ -582,14 +582,13 @@ def smooth(spark, sf):
 
 @query()
 def voronoi(spark, sf):
-    points = customer_points(spark, sf).where("id < 300")
-    return _extent(construct.voronoi(points), "id")
+    return _extent(construct.voronoi(customer_points(spark, sf)), "id")
 
 
-@query(f"select id, round((west+east)/2, 6) as x, round((south+north)/2, 6) as y from {BOX} where id < 5")
+@query(f"select id, round((west+east)/2, 6) as x, round((south+north)/2, 6) as y from {BOX}")
 def buffer_polygons(spark, sf):
     b = shapes.bounds(F.col("geom"))
-    out = construct.buffer(nation_boxes(spark, sf).where("id < 5"), 100.0)
+    out = construct.buffer(nation_boxes(spark, sf), 100.0)
     return out.select("id", F.round((b["xmin"] + b["xmax"]) / 2, 6).alias("x"), F.round((b["ymin"] + b["ymax"]) / 2, 6).alias("y"))
 
 
