@@ -10,6 +10,9 @@ import numpy as np
 EPS = 1e-12
 
 
+KINDS = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon")
+
+
 def rings_of(geom: dict) -> list[np.ndarray]:
     return [np.array([(p["x"], p["y"]) for p in part["pts"]], float).reshape(-1, 2) for part in geom["parts"]]
 
@@ -208,16 +211,109 @@ def _touch(a: np.ndarray, b: np.ndarray) -> bool:
     return bool((box & (d1 * d2 <= EPS) & (d3 * d4 <= EPS)).any())
 
 
+def _segments(rings: list[np.ndarray]) -> np.ndarray:
+    """All segments; a lone point is a segment without length."""
+    return np.concatenate([np.concatenate([r[:-1], r[1:]], axis=1) if len(r) > 1 else np.concatenate([r, r], axis=1) for r in rings])
+
+
+def _near(segments: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
+    """The segments whose bounds meet those of the rings."""
+    pts = np.concatenate(rings)
+    low, high = pts.min(axis=0) - EPS, pts.max(axis=0) + EPS
+    return segments[(np.minimum(segments[:, :2], segments[:, 2:]) <= high).all(axis=1) & (np.maximum(segments[:, :2], segments[:, 2:]) >= low).all(axis=1)]
+
+
 def intersects(a: str | dict, b: str | dict) -> bool:
     """Do two geometries (structs, or their JSON) share a point?"""
     a, b = (json.loads(g) if isinstance(g, str) else g for g in (a, b))
-    segments, areas, places = [], [], []
-    for g in (a, b):
-        rings = rings_of(g)
-        segments.append(np.concatenate([np.concatenate([r[:-1], r[1:]], axis=1) if len(r) > 1 else np.concatenate([r, r], axis=1) for r in rings]))
-        areas.append(_edges(rings) if g["kind"].endswith("Polygon") else np.zeros((0, 4)))
-        places.append(rings[0][:1])
-    return _touch(*segments) or bool(inside(places[0], areas[1])[0]) or bool(inside(places[1], areas[0])[0])
+    p, q = rings_of(a), rings_of(b)
+    s, t = _near(_segments(p), q), _near(_segments(q), p)
+    if len(s) and any(_touch(s[at : at + 512], t[to : to + 512]) for at in range(0, len(s), 512) for to in range(0, len(t), 512)):
+        return True
+    # Without a shared boundary point, a part lies inside the other geometry as a whole or not at all.
+    return any(g["kind"].endswith("Polygon") and bool(inside(np.array([r[0] for r in other]), _edges(rings)).any()) for g, rings, other in ((a, p, q), (b, q, p)))
+
+
+def _on(points: np.ndarray, segments: np.ndarray) -> np.ndarray:
+    """Which points lie on some segment, to ``EPS``?"""
+    out = np.zeros(len(points), bool)
+    start, d = segments[:, :2], segments[:, 2:] - segments[:, :2]
+    n2 = (d * d).sum(axis=1)
+    for at in range(0, len(points), 256):
+        gap = points[at : at + 256, None] - start
+        share = np.clip((gap * d).sum(axis=2) / np.where(n2 > 0, n2, 1.0), 0.0, 1.0)
+        out[at : at + 256] = (np.abs(gap - share[..., None] * d).max(axis=2) <= EPS).any(axis=1)
+    return out
+
+
+def _middles(segments: np.ndarray, cutters: np.ndarray) -> np.ndarray:
+    """Middles of the pieces into which the cutters divide the segments."""
+    out = []
+    for e in segments:
+        p, d = e[:2], e[2:] - e[:2]
+        n2 = float(d @ d)
+        if not n2:
+            out.append(p[None])
+            continue
+        q = cutters[:, 2:] - cutters[:, :2]
+        cross, gap = d[0] * q[:, 1] - d[1] * q[:, 0], cutters[:, :2] - p
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = (gap[:, 0] * q[:, 1] - gap[:, 1] * q[:, 0]) / cross
+        # Ends of cutters along the segment count as cuts too, for those that run along it.
+        ts = np.concatenate([[0.0, 1.0], t[np.abs(cross) > EPS], gap @ d / n2, (gap + q) @ d / n2])
+        ts = np.unique(ts[(ts >= 0) & (ts <= 1)])
+        out.append(p + ((ts[:-1] + ts[1:]) / 2)[:, None] * d)
+    return np.concatenate(out)
+
+
+def contains(a: dict, b: dict) -> bool:
+    """Does no point of ``b`` lie outside ``a``, and do their interiors meet?"""
+    p, q = rings_of(a), rings_of(b)
+    dims = [("Point", "LineString", "Polygon").index(g["kind"].removeprefix("Multi")) for g in (a, b)]
+    if dims[0] < dims[1]:
+        return False
+    edges, segments = _segments(p), _segments(q)
+    if dims[0] == 0:
+        return bool(_on(segments[:, :2], edges).all())
+    if dims[1] == 2:
+        # No part of b's boundary is outside a and none of a's (its holes) inside b; where b's whole boundary is a's too,
+        # a place just inside b tells whether b is a part of a or fills its hole.
+        mine, theirs = _edges(p), _edges(q)
+        if not len(mine) or not len(theirs):
+            return False
+        outline = _middles(theirs, mine)
+        on = _on(outline, mine)
+        if not (inside(outline, mine) | on).all():
+            return False
+        own = _middles(mine, theirs)
+        if (inside(own, theirs) & ~_on(own, theirs)).any():
+            return False
+        if not on.all():
+            return True
+        d = theirs[:, 2:] - theirs[:, :2]
+        off = d[:, ::-1] * np.array([1e-6, -1e-6])
+        beside = np.concatenate([(theirs[:, :2] + theirs[:, 2:]) / 2 + off, (theirs[:, :2] + theirs[:, 2:]) / 2 - off])
+        return bool(inside(beside[inside(beside, theirs)], mine).any())
+    middles = segments[:, :2] if dims[1] == 0 else _middles(segments, edges)
+    on = _on(middles, edges)
+    if dims[0] == 2:
+        within = inside(middles, _edges(p))
+        return bool((within | on).all() and (within & ~on).any())
+    if not on.all():
+        return False
+    if dims[1] == 1:
+        return True
+    # A point is in a line's interior unless it is an end of it that no other part shares.
+    ends, times = np.unique(np.array([r[k] for r in p for k in (0, -1)]), axis=0, return_counts=True)
+    free = ends[times % 2 == 1]
+    return not all((np.abs(free - m).max(axis=1) <= EPS).any() if len(free) else False for m in middles)
+
+
+def relate(a: dict | None, b: dict | None, relation: str) -> bool:
+    """``a`` intersects, contains or is within ``b``; geometries without a part, and collections, are related to none."""
+    if not a or not b or not a["parts"] or not b["parts"] or any(g["kind"] not in KINDS for g in (a, b)):
+        return False
+    return intersects(a, b) if relation == "intersects" else contains(a, b) if relation == "contains" else contains(b, a)
 
 
 def capsule(a: np.ndarray, b: np.ndarray, radius: float, steps: int) -> np.ndarray:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,6 +15,10 @@ from tessera.functions.geodesy import EARTH, haversine
 from tessera.functions.shapes import bounds, contains_point
 from tessera.functions.values import kind_of, missing, text_of
 
+RELATIONS = ("intersects", "contains", "within")
+#: Tiles have sides of 2^-16 to 2^20 units.
+FINEST, COARSEST = -16, 20
+
 
 def attribute_join(target: DataFrame, other: DataFrame, field: str, other_field: str | None = None, *, order: str) -> DataFrame:
     """Inner join on the key as text: missing keys match nothing, the first match by ``order`` counts, the target's columns win."""
@@ -23,24 +30,42 @@ def attribute_join(target: DataFrame, other: DataFrame, field: str, other_field:
     return left.join(first.select("__key", *new), "__key").drop("__key")
 
 
-def _tiles(low: Column, high: Column, size: float) -> Column:
+def _tiles(low: Column, high: Column, size: Column) -> Column:
     return F.explode(F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long")))
 
 
-def candidates(left: DataFrame, right: DataFrame, *, tile: float) -> DataFrame:
+def _leveled(df: DataFrame, name: str) -> DataFrame:
+    """Columns named after their side, with the level of the bounds: tiles of side 2^level, of which they span five at most."""
+    extent = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    one = df.where("xmin is not null and ymin is not null")
+    return one.select(*[F.col(c).alias(f"{name}__{c}") for c in df.columns], F.greatest(F.lit(FINEST), F.least(F.lit(COARSEST), F.ceil(F.log2(extent / 4)).cast("int"))).alias(f"{name}_level"))
+
+
+def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs (l, r structs) whose bounds overlap, from an equi-join on tiles; a pair is kept in one of its tiles only.
 
-    Both sides have xmin, ymin, xmax, ymax.  The tile that holds the lower left corner of the bounds' intersection keeps it.
+    Both sides have xmin, ymin, xmax, ymax.  Tiles follow the shapes: a row is dealt to tiles of its own size, and to the
+    larger ones that the other side's rows have, so that a pair meets in tiles of its larger member and small shapes that
+    lie close together share no tile with all their town.  The tile that holds the lower left corner of the bounds'
+    intersection keeps the pair.  Of either side only its distinct levels, 37 numbers at most, come to the driver.
     """
-    sides = []
-    for name, df in (("l", left), ("r", right)):
-        one = df.select(F.struct(*df.columns).alias(name))
-        one = one.withColumn("tx", _tiles(F.col(f"{name}.xmin"), F.col(f"{name}.xmax"), tile))
-        sides.append(one.withColumn("ty", _tiles(F.col(f"{name}.ymin"), F.col(f"{name}.ymax"), tile)))
-    pairs = sides[0].join(sides[1], ["tx", "ty"])
-    overlap = (F.col("l.xmin") <= F.col("r.xmax")) & (F.col("l.xmax") >= F.col("r.xmin")) & (F.col("l.ymin") <= F.col("r.ymax")) & (F.col("l.ymax") >= F.col("r.ymin"))
-    own = (F.floor(F.greatest("l.xmin", "r.xmin") / tile) == F.col("tx")) & (F.floor(F.greatest("l.ymin", "r.ymin") / tile) == F.col("ty"))
-    return pairs.where(overlap & own).select("l", "r")
+    sides = {"l": _leveled(left, "l"), "r": _leveled(right, "r")}
+    levels = {n: sorted(v for (v,) in df.select(f"{n}_level").distinct().collect()) for n, df in sides.items()}
+    dealt = []
+    for name, other in (("l", "r"), ("r", "l")):
+        b, own = f"{name}__", F.col(f"{name}_level")
+        # Its own level, for the other side's smaller rows, and the other side's larger ones.
+        above = [F.when(F.lit(v) > own, F.lit(v)) for v in levels[other]]
+        one = sides[name].withColumn("level", F.explode(F.array_compact(F.array(own, *above)))).withColumn("side", F.pow(F.lit(2.0), F.col("level")))
+        one = one.withColumn("tx", _tiles(F.col(b + "xmin"), F.col(b + "xmax"), F.col("side")))
+        one = one.withColumn("ty", _tiles(F.col(b + "ymin"), F.col(b + "ymax"), F.col("side")))
+        dealt.append(one if name == "l" else one.drop("side"))
+    pairs = dealt[0].join(dealt[1], ["level", "tx", "ty"]).where(F.col("level") == F.greatest("l_level", "r_level"))
+    at = lambda c: F.col(c.replace(".", "__"))
+    overlap = (at("l.xmin") <= at("r.xmax")) & (at("l.xmax") >= at("r.xmin")) & (at("l.ymin") <= at("r.ymax")) & (at("l.ymax") >= at("r.ymin"))
+    own = (F.floor(F.greatest(at("l.xmin"), at("r.xmin")) / F.col("side")) == F.col("tx")) & (F.floor(F.greatest(at("l.ymin"), at("r.ymin")) / F.col("side")) == F.col("ty"))
+    # Structs only after the join: below it the columns that nobody asks for are pruned one by one.
+    return pairs.where(overlap & own).select(*[F.struct(*[at(f"{n}.{c}").alias(c) for c in df.columns]).alias(n) for n, df in (("l", left), ("r", right))])
 
 
 def with_bounds(df: DataFrame, geom: str | None = None, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -49,21 +74,96 @@ def with_bounds(df: DataFrame, geom: str | None = None, lon: str = "lon", lat: s
     return df.withColumns({"xmin": F.col(lon), "xmax": F.col(lon), "ymin": F.col(lat), "ymax": F.col(lat)})
 
 
-def spatial_join_count(points: DataFrame, polygons: DataFrame, *, key: str, name: str, order: str, tile: float = 10.0) -> DataFrame:
-    """Every point with ``_joinCount``, the polygons that hold it (edges count), and ``_joinName``, the first name by ``order``."""
-    pairs = candidates(with_bounds(points), with_bounds(polygons, "geom"), tile=tile)
-    hits = pairs.where(contains_point(F.col("r.geom"), F.col("l.lon"), F.col("l.lat"), boundary=True))
-    found = hits.groupBy(F.col(f"l.{key}").alias(key)).agg(F.count(F.lit(1)).alias("n"), F.min_by(f"r.{name}", F.when(F.col(f"r.{name}").isNotNull(), F.col(f"r.{order}"))).alias("_joinName"))
-    return points.join(found, key, "left").withColumn("_joinCount", F.coalesce("n", F.lit(0))).drop("n")
+def _holders(points: DataFrame, polygons: DataFrame, key: str, *more: str) -> DataFrame:
+    """Pairs (l, r) of points and the polygons that hold them (edges count); only the columns asked for are shuffled."""
+    pairs = candidates(with_bounds(points.select(key, "lon", "lat")), with_bounds(polygons.select("geom", *more), "geom"))
+    return pairs.where(contains_point(F.col("r.geom"), F.col("l.lon"), F.col("l.lat"), boundary=True))
+
+
+def _counted(target: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``found``: (key, name, order) of each match."""
+    per = found.groupBy(key).agg(F.count(F.lit(1)).alias("_joinCount"), F.min_by("__name", F.when(F.col("__name").isNotNull(), F.col("__order"))).alias("_joinName"))
+    return target.join(per, key, "left").withColumn("_joinCount", F.coalesce("_joinCount", F.lit(0)))
+
+
+def spatial_join_count(points: DataFrame, polygons: DataFrame, *, key: str, name: str, order: str) -> DataFrame:
+    """Every point with ``_joinCount``, the polygons that hold it (edges count), and ``_joinName``, the first name by ``order``.
+
+    ``key`` is unique among the points.
+    """
+    hits = _holders(points, polygons, key, *dict.fromkeys((name, order)))
+    return _counted(points, hits.select(F.col(f"l.{key}").alias(key), F.col(f"r.{name}").alias("__name"), F.col(f"r.{order}").alias("__order")), key)
 
 
-def select_by_location(points: DataFrame, polygons: DataFrame, *, key: str, tile: float = 10.0) -> DataFrame:
+def select_by_location(points: DataFrame, polygons: DataFrame, *, key: str) -> DataFrame:
     """The points that some polygon holds (edges count)."""
-    pairs = candidates(with_bounds(points), with_bounds(polygons, "geom"), tile=tile)
-    hits = pairs.where(contains_point(F.col("r.geom"), F.col("l.lon"), F.col("l.lat"), boundary=True)).select(F.col(f"l.{key}").alias(key)).distinct()
+    hits = _holders(points, polygons, key).select(F.col(f"l.{key}").alias(key)).distinct()
     return points.join(hits, key, "left_semi")
 
 
+def related(left: DataFrame, right: DataFrame, relation: str, *, key: str = "id", other_key: str = "id", geom: str = "geom") -> DataFrame:
+    """Keys (i, j) of geometries of any kinds where the left one intersects, contains or is within the right one.
+
+    Touching intersects; containing needs interiors that meet, so that a point on an edge is not contained.  Null
+    geometries are related to none.  Bounds decide first, on Spark's side; the exact test runs over batches of pairs.
+    """
+    if relation not in RELATIONS:
+        raise ValueError(f"a relation is one of {', '.join(RELATIONS)}")
+    a = with_bounds(left.select(F.col(key).alias("k"), F.col(geom).alias("g")), "g")
+    b = with_bounds(right.select(F.col(other_key).alias("k"), F.col(geom).alias("g")), "g")
+    pairs = candidates(a, b)
+    inner, outer = {"contains": ("r", "l"), "within": ("l", "r")}.get(relation, (None, None))
+    if inner:
+        pairs = pairs.where(reduce(Column.__and__, [F.col(f"{inner}.{c}min") >= F.col(f"{outer}.{c}min") - 1e-9 for c in "xy"] + [F.col(f"{inner}.{c}max") <= F.col(f"{outer}.{c}max") + 1e-9 for c in "xy"]))
+    pairs = pairs.select(F.col("l.k").alias("i"), F.col("r.k").alias("j"), F.col("l.g").alias("a"), F.col("r.g").alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tessera.functions.kernels import relate
+
+        for t in batches:
+            hit = [relate(p, q, relation) for p, q in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)]
+            yield t.select(["i", "j"]).filter(pa.array(hit, pa.bool_()))
+
+    return pairs.mapInArrow(run, pairs.select("i", "j").schema)
+
+
+def spatial_join(target: DataFrame, other: DataFrame, relation: str, *, key: str, other_key: str, name: str, order: str, geom: str = "geom") -> DataFrame:
+    """``target`` with ``_joinCount`` and ``_joinName`` of the related rows of ``other``; rows without a geometry go.
+
+    ``key`` and ``other_key`` are unique.
+    """
+    named = other.select(F.col(other_key).alias("j"), F.col(name).alias("__name"), F.col(order).alias("__order"))
+    pairs = related(target, other, relation, key=key, other_key=other_key, geom=geom)
+    found = pairs.join(named, "j").select(F.col("i").alias(key), "__name", "__order")
+    return _counted(target.where(F.col(geom).isNotNull()), found, key)
+
+
+def select_related(target: DataFrame, other: DataFrame, relation: str, *, key: str, other_key: str, geom: str = "geom") -> DataFrame:
+    """The rows of ``target`` that are related to some row of ``other``."""
+    pairs = related(target, other, relation, key=key, other_key=other_key, geom=geom)
+    return target.join(pairs.select(F.col("i").alias(key)).distinct(), key, "left_semi")
+
+
+def select_in_box(df: DataFrame, relation: str, box: tuple[float, float, float, float], *, geom: str = "geom") -> DataFrame:
+    """The rows whose geometry intersects, contains or is within a box; bounds decide first, then the exact test."""
+    if relation not in RELATIONS:
+        raise ValueError(f"a relation is one of {', '.join(RELATIONS)}")
+    west, south, east, north = box
+    if west > east or south > north:
+        raise ValueError("a box needs west <= east and south <= north")
+    b = bounds(F.col(geom))
+    near = df.where((b["xmin"] <= east) & (b["xmax"] >= west) & (b["ymin"] <= north) & (b["ymax"] >= south))
+    frame = {"kind": "Polygon", "parts": [{"part": 0, "ring": 0, "pts": [{"x": x, "y": y} for x, y in ((west, south), (east, south), (east, north), (west, north), (west, south))]}]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tessera.functions.kernels import relate
+
+        for t in batches:
+            yield t.filter(pa.array([relate(g, frame, relation) for g in t[geom].to_pylist()], pa.bool_()))
+
+    return near.mapInArrow(run, df.schema)
+
+
 def _on_sphere(df: DataFrame, side: float, spread: bool) -> DataFrame:
     """Cells of a cube grid of the given side over the unit sphere; ``spread``: also the 26 around a point's own."""
     lon, lat = F.radians("lon"), F.radians("lat")

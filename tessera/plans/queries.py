@@ -51,6 +51,22 @@ def customer_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("id"), _degrees("c_custkey", 7919, 360).alias("lon"), _degrees("c_custkey", 104729, 180).alias("lat"), F.col("c_acctbal").alias("value"), F.col("c_mktsegment").alias("segment"), "c_nationkey")
 
 
+def _quarters(key: str, factor: int, span: int) -> F.Column:
+    """Places on a lattice of quarter degrees, so that sums of them are exact."""
+    return ((F.col(key).cast("long") * factor) % (span * 4)).cast("double") / 4.0 - span / 2
+
+
+def customer_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), _quarters("c_custkey", 7919, 320).alias("x"), _quarters("c_custkey", 5441, 140).alias("y"), (F.col("c_custkey") % 23 + 1).cast("double").alias("h"))
+    return c.select("id", shapes.box(F.col("x") - F.col("h") / 4, F.col("y") - F.col("h") / 4, F.col("x") + F.col("h") / 4, F.col("y") + F.col("h") / 4).alias("geom"))
+
+
+def supplier_diamonds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), _quarters("s_suppkey", 7907, 320).alias("x"), _quarters("s_suppkey", 5419, 140).alias("y"), (F.col("s_suppkey") % 17 + 1).cast("double").alias("r"))
+    x, y, r = F.col("x"), F.col("y"), F.col("r") / 2
+    return s.select("id", "name", shapes.geometry("Polygon", shapes.points((x + r, y), (x, y + r), (x - r, y), (x, y - r), (x + r, y))).alias("geom"))
+
+
 def nation_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "nation")
     k = F.col("n_nationkey").cast("long")
@@ -60,6 +76,12 @@ def nation_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PTS = "(select o_orderkey as id, ((o_orderkey::bigint*7919)%36000)::double/100 - 180 as lon, ((o_custkey::bigint*104729)%18000)::double/100 - 90 as lat, o_totalprice as value, o_orderstatus as status, o_orderpriority as priority, o_custkey from orders)"
 CUST = "(select c_custkey as id, ((c_custkey::bigint*7919)%36000)::double/100 - 180 as lon, ((c_custkey::bigint*104729)%18000)::double/100 - 90 as lat, c_acctbal as value, c_mktsegment as segment, c_nationkey from customer)"
+CBOX = "(select id, x - h as west, x + h as east, y - h as south, y + h as north from (select c_custkey as id, ((c_custkey::bigint*7919)%1280)::double/4 - 160 as x, ((c_custkey::bigint*5441)%560)::double/4 - 70 as y, (c_custkey%23+1)::double/4 as h from customer))"
+LOZENGE = "(select s_suppkey as id, s_name as name, ((s_suppkey::bigint*7907)%1280)::double/4 - 160 as x, ((s_suppkey::bigint*5419)%560)::double/4 - 70 as y, (s_suppkey%17+1)::double/2 as r from supplier)"
+#: A box b and a diamond d: they meet; the box holds the diamond; the diamond holds the box.
+MEETS = "greatest(b.west - d.x, d.x - b.east, 0) + greatest(b.south - d.y, d.y - b.north, 0) <= d.r"
+HOLDS = "d.x - d.r >= b.west and d.x + d.r <= b.east and d.y - d.r >= b.south and d.y + d.r <= b.north"
+IS_HELD = "greatest(abs(b.west - d.x), abs(b.east - d.x)) + greatest(abs(b.south - d.y), abs(b.north - d.y)) <= d.r"
 BOX = "(select n_nationkey::bigint as id, n_name as name, n_regionkey as region, -180.0::double + 72*(n_nationkey%5) as west, -90.0::double + 36*(n_nationkey//5) as south, -108.0::double + 72*(n_nationkey%5) as east, -54.0::double + 36*(n_nationkey//5) as north from nation)"
 R = geodesy.EARTH
 
@@ -222,6 +244,40 @@ def semi_join_location(spark, sf):
     return joins.select_by_location(order_points(spark, sf), nation_boxes(spark, sf).where("region = 1"), key="id").select("id")
 
 
+def _join_sql(test: str) -> str:
+    return f"""select b.id, count(d.id) as "_joinCount", min_by(d.name, d.id) as "_joinName" from {CBOX} b left join {LOZENGE} d on {test} group by b.id"""
+
+
+def _polygon_join(spark: SparkSession, sf: str, relation: str) -> DataFrame:
+    out = joins.spatial_join(customer_boxes(spark, sf), supplier_diamonds(spark, sf), relation, key="id", other_key="id", name="name", order="id")
+    return out.select("id", "_joinCount", "_joinName")
+
+
+@query(_join_sql(MEETS))
+def polygon_join_intersects(spark, sf):
+    return _polygon_join(spark, sf, "intersects")
+
+
+@query(_join_sql(HOLDS))
+def polygon_join_contains(spark, sf):
+    return _polygon_join(spark, sf, "contains")
+
+
+@query(_join_sql(IS_HELD))
+def polygon_join_within(spark, sf):
+    return _polygon_join(spark, sf, "within")
+
+
+@query(f"select b.id from {CBOX} b where exists (select 1 from {LOZENGE} d where {MEETS})")
+def select_related_polygons(spark, sf):
+    return joins.select_related(customer_boxes(spark, sf), supplier_diamonds(spark, sf), "intersects", key="id", other_key="id").select("id")
+
+
+@query(f"select d.id from {LOZENGE} d, (select -60.0::double as west, 40.0::double as east, -35.0::double as south, 30.0::double as north) b where {MEETS}")
+def geometry_in_box(spark, sf):
+    return joins.select_in_box(supplier_diamonds(spark, sf), "intersects", (-60.0, -35.0, 40.0, 30.0)).select("id")
+
+
 @query(f"""select i, j, rank, round(d, 4) as d, round(d, 2) as flow from (
   select a.id as i, b.id as j, {hav("a", "b")} as d, row_number() over (partition by a.id order by {hav("a", "b")}, b.id) as rank
   from {CUST} a, {CUST} b where not (a.lon = b.lon and a.lat = b.lat))
