@@ -37,15 +37,22 @@ def fold(doc_id: Column | str, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, hub: int = 1 << 20) -> DataFrame:
     """Connected components of an undirected graph: (node, component), the component named by its smallest node.
 
     ``edges`` has two columns ``a`` and ``b`` of one orderable type; nodes without an edge are absent from the
-    result.  Rounds of large-star and small-star contraction, each an aggregate and an equi-join, so that neither a
-    component nor its edges ever have to meet in one task.  The edges are written to the shared folder after each
-    round, and the loop ends when a round leaves them as they were.  No edges: an empty result.
+    result.  Rounds of large-star and small-star contraction, each an aggregate and an equi-join.  The edges of a node
+    that has more than ``hub`` of them do not meet in one task: they get its row by broadcast, and there are at most as
+    many such nodes as edges by half of ``hub``.  The edges are written to the shared folder after each round, and the
+    loop ends when a round leaves them as they were.  No edges: an empty result.
     """
 
+    def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+        hubs = least.where(F.col("n") > hub).select("a", F.col("m").alias("of_hub"))
+        rows = rows.select("a", "b").join(F.broadcast(hubs), "a", "left")
+        others = rows.where("of_hub is null").select("a", "b").join(least.where(F.col("n") <= hub).select("a", "m"), "a")
+        return others.unionAll(rows.where("of_hub is not null").select("a", "b", F.col("of_hub").alias("m")))
+
     def digest(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -55,11 +62,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = with_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = large.where("a <> b")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = with_least(large, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = written(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct())
         was, seen, now = seen, digest(after), after
         if was == seen:

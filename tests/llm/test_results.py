@@ -35,9 +35,10 @@ def small(t):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
 
 
-def test_components_by_union_find(spark):
+@pytest.mark.parametrize("hub", [1, 3, 1 << 20])
+def test_components_by_union_find(spark, hub):
     rng = np.random.default_rng(0)
-    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(1000, 1100)]
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(1000, 1100)] + [(2000, k) for k in range(2001, 2300)]
     parent = {x: x for e in edges for x in e}
 
     def find(x):
@@ -48,7 +49,7 @@ def test_components_by_union_find(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), hub=hub).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
 
