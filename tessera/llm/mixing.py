@@ -68,7 +68,7 @@ def mix(docs: DataFrame, *, share: float = 0.8, max_epochs: int = 2, weights: di
     own = docs.columns if with_text else ["doc_id", "lang", "source"]
     rows = docs.select(*[docs[c] for c in own], F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_tokens"), F.coalesce(docs["lang"].cast("string"), F.lit("none")).alias("__lang"), F.coalesce(docs["source"].cast("string"), F.lit("none")).alias("__source"))
     rows = rows.withColumn("__domain", domain_of(F.col("__source"))).where("n_tokens > 0")
-    rows = rows if with_text else written(rows)
+    rows = written(rows)
     leaf = ["__domain", "__lang", "__source"]
     supply = rows.groupBy(*[F.col(c).alias(c[2:]) for c in leaf]).agg(F.sum("n_tokens").alias("supply"))
     budgets = leaf_budgets(supply, share=share, max_epochs=max_epochs, weights=weights or {})

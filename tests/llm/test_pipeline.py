@@ -7,6 +7,8 @@ import pytest
 from test_results import WORD, linked, plain_fingerprint
 
 import corpus_pipeline
+from tessera.llm import mixing
+from tessera.llm.queries import MIX_WEIGHTS
 
 STAGES = dict(corpus_pipeline.STAGES)
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -48,3 +50,16 @@ def test_suffix_dedup_cuts_what_an_earlier_document_has(spark, docs):
 def test_language_id_rejects_texts_without_letters_only(spark, docs):
     kept = {r["doc_id"] for r in STAGES["language_id"](spark, docs, None).collect()}
     assert kept == {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+
+
+def test_mixing_cuts_texts_after_the_taken_words(spark, docs):
+    """What is taken is what the operator without texts takes, which has a SQL twin; texts are cut there."""
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    want = Counter()
+    for r in mixing.mix(docs, weights=MIX_WEIGHTS).collect():
+        ends = [m.end() for m in WORD.finditer(texts[r["doc_id"]])]
+        assert len(ends) == r["n_tokens"]
+        text = texts[r["doc_id"]] if r["take_tokens"] == len(ends) else texts[r["doc_id"]][: ends[r["take_tokens"] - 1]]
+        want[r["doc_id"], text, len(text)] += 1
+    got = Counter((r["doc_id"], r["text"], r["n_chars"]) for r in STAGES["mixing"](spark, docs, None).collect())
+    assert got == want
