@@ -399,7 +399,7 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lost(length: int) -> Callable:
-    """The places that lose a run of starts, of (block, at, n, first, places)."""
+    """What the texts lose, of (block, at, n, first, places); the overlapping spans of a text in a batch are joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -407,8 +407,17 @@ def _lost(length: int) -> Callable:
             of = np.repeat(np.arange(len(places)), np.fromiter(map(len, places), np.int64, len(places)) // 24)
             owner, key, lo = np.frombuffer(b"".join(places), np.int64).reshape(-1, 3).T
             lost = owner > b["first"].to_numpy()[of]
-            of = of[lost]
-            yield pa.RecordBatch.from_arrays([b["block"].take(pa.array(of)), pa.array(key[lost]), pa.array(lo[lost] + b["at"].to_numpy()[of]), pa.array(b["n"].to_numpy()[of] + (length - 1))], names=["block", "key", "lo", "size"])
+            of, key, lo = of[lost], key[lost], lo[lost]
+            lo = lo + b["at"].to_numpy()[of]
+            stop = lo + b["n"].to_numpy()[of] + (length - 1)
+            order = np.lexsort((lo, key))
+            of, key, lo, stop = of[order], key[order], lo[order], stop[order]
+            # Spans of one text that overlap or touch become one; texts are set apart on one scale.
+            apart = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))[: len(key)] * (int(stop.max(initial=0)) + 1)
+            reached = np.maximum.accumulate(apart + stop)
+            first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | ((apart + lo)[1:] > reached[:-1])))[: len(key)])
+            stop = np.maximum.reduceat(stop, first) if len(first) else stop
+            yield pa.RecordBatch.from_arrays([b["block"].take(pa.array(of[first])), pa.array(key[first]), pa.array(lo[first]), pa.array(stop - lo[first])], names=["block", "key", "lo", "size"])
 
     return run
 
