@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import cover_tree, divergence, language_id, license_scan, mixing, packing, quality_classifier, simhash, suffix_dedup, suffix_tree_lm
+from tessera.llm import alignment, collocations, cover_tree, divergence, language_id, license_scan, mixing, packing, quality_classifier, simhash, suffix_dedup, suffix_tree_lm, token_transducer
 from tessera.llm.common import fold, table
 
 MIX_WEIGHTS = {"domain": {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}, "lang": {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}}
@@ -60,9 +60,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_transducer.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_tree_lm, op2_divergence_rules, op3_suffix_dedup, op4_mixing, op5_quality_classifier, op6_best_fit_packing, op7_simhash, op8_cover_tree, op9_language_id, op10_license_scan)
+    for f in (op1_suffix_tree_lm, op2_divergence_rules, op3_suffix_dedup, op4_mixing, op5_quality_classifier, op6_best_fit_packing, op7_simhash, op8_cover_tree, op9_language_id, op10_license_scan, op11_alignment, op12_token_transducer, op13_collocations)
 }
 
 
@@ -148,4 +160,27 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
 from base left join char_least c using (rid) left join word_least x using (rid)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_divergence_rules": RULES_SQL, "op4_mixing": MIXING_SQL}
+PHRASES_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, row_number() over () as doc, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as ps from documents),
+p as (select lang, doc, unnest(ps) as t, unnest(range(len(ps))) as piece from pieces),
+ws as (select lang, doc, piece, regexp_extract_all(t, '[^\x20\x09]+') as ws from p),
+w as (select lang, ws, unnest(range(len(ws)))::int as i from ws),
+grams as (select lang, array_to_string(ws[i + 1 : i + k], ' ') as phrase, k from w, (select unnest([1, 2, 3, 4])::int as k) where i + k <= len(ws)),
+f as (select lang, phrase, k, count(*)::bigint as f from grams group by all),
+total as (select lang, sum(f)::bigint as n from f where k = 1 group by lang),
+c as (select lang, phrase, f as a, k, string_split(phrase, ' ') as ws from f where k > 1 and f >= 30),
+cuts as (select *, unnest(range(1, k)) as j from c),
+scored as (
+  select c.lang, c.phrase, a, x.f as l, y.f as r, ((2000000::hugeint * a) // (x.f::hugeint + y.f))::bigint as score, j
+  from cuts c join f x on x.lang = c.lang and x.phrase = array_to_string(ws[1 : j], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(ws[j + 1 : ], ' ')
+  qualify row_number() over (partition by c.lang, c.phrase order by score, j) = 1),
+parts as (select lang, a, ws, k, unnest(range(2, k)) as m from c where k > 2),
+inner_ as (select lang, a, array_to_string(ws[b : b + m - 1], ' ') as phrase from (select *, unnest(range(1, k - m + 2)) as b from parts)),
+longer as (select lang, phrase, max(a) as longer from inner_ group by all),
+kept as (select s.* from scored s left join longer g using (lang, phrase) where g.longer is null or 100::hugeint * g.longer < 80::hugeint * s.a)
+select lang, rank, phrase, a, l, r, n, score from (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase)::bigint as rank from kept) join total using (lang) where rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_divergence_rules": RULES_SQL, "op4_mixing": MIXING_SQL, "op13_collocations": PHRASES_SQL}

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import cover_tree, divergence, language_id, license_scan, mixing, packing, quality_classifier, simhash, suffix_dedup, suffix_tree_lm
+from tessera.llm import alignment, collocations, cover_tree, divergence, language_id, license_scan, mixing, packing, quality_classifier, simhash, suffix_dedup, suffix_tree_lm, token_transducer
 
 
 def run(name, docs, labels=None):
@@ -20,10 +20,12 @@ def run(name, docs, labels=None):
         "simhash": lambda: simhash.near_duplicates(docs),
         "language": lambda: language_id.predict(docs, language_id.fit(docs, per_language=20), keep=keep),
         "license": lambda: license_scan.scan(docs),
+        "align": lambda: alignment.align(docs),
+        "count": lambda: token_transducer.count_tokens(docs),
     }[name]().collect()
 
 
-NAMES = ["lm", "rules", "dedup", "mix", "quality", "pack", "simhash", "language", "license"]
+NAMES = ["lm", "rules", "dedup", "mix", "quality", "pack", "simhash", "language", "license", "align", "count"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -37,7 +39,7 @@ def test_awkward_rows(awkward, name):
     by = {}
     for r in rows:
         by.setdefault(r["doc_id"], []).append(r)
-    if name in ("lm", "rules", "dedup", "quality", "simhash", "language"):
+    if name in ("lm", "rules", "dedup", "quality", "simhash", "language", "align", "count"):
         assert len(rows) == awkward.count() and len(by[1]) == 2 and by[1][0][1:-1] == by[1][1][1:-1]
     if name == "lm":
         assert by[2][0]["n_tokens"] == by[4][0]["n_tokens"] == 1 and all(r["score"] < 0 for r in rows)
@@ -59,6 +61,23 @@ def test_awkward_rows(awkward, name):
         assert [(r["doc_id"], r["license"], r["line"], r["start"]) for r in rows] == [(9, "Apache-2.0", 0, 0)]
 
 
+    if name == "align":
+        assert all((by[k][0]["n_links"], by[k][0]["groups_sha256"]) == (0, "") for k in (2, 3, 7)) and by[4][0]["n_groups"] > 0 and by[5][0]["n_a"] > 60_000 and by[11][0]["n_b"] > 0
+    if name == "count":
+        assert [(by[k][0]["n_bytes"], by[k][0]["n_tokens"]) for k in (2, 3, 4)] == [(0, 0), (0, 0), (4, 4)] and by[6][0]["n_bytes"] == 180_000 and by[5][0]["over_limit"] and not by[1][0]["over_limit"]
+
+
+@pytest.mark.parametrize("kind", ["awkward", "nothing"])
+def test_collocations_edges(request, kind):
+    docs = request.getfixturevalue(kind).withColumns({c: F.lit(1) for c in ("phrase", "f", "a", "block")})
+    rows = collocations.collocations(docs).collect()
+    if kind == "nothing":
+        assert rows == []
+    else:
+        [fr] = [r for r in rows if r["lang"] == "fr"]
+        assert (fr["rank"], fr["phrase"], fr["a"], fr["l"], fr["r"], fr["n"]) == (1, "ab ab ab ab", 59_997, 60_000, 59_998, 60_000)
+
+
 def test_embeddings_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 0.0], 1), (4, None, 1), (5, [1.0, None], 1), (6, [nan, 1.0], 1), (7, [inf, 1.0], 1), (8, [1.0, 0.0], None), (9, [1.0, 0.0], 2), (10, [1.0, 0.0, 0.0], 1), (11, [2.0, 0.1], 1), (12, [1e-30, 0.0], 1)]
