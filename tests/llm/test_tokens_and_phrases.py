@@ -151,4 +151,4 @@ def test_op13_is_the_plain_count(spark, block_bytes):
 def test_op13_counts_past_64_bits(spark):
     text = "ha ho " * 200
     got = collocations.collocations(spark.createDataFrame([("en", text)], "lang string, text string"), scale=10**17, longest=2).orderBy("rank").collect()
-    assert [(r["phrase"], r["score"]) for r in got] == [("ha ho", 200 * 10**17 // 400), ("ho ha", 199 * 10**17 // 399)]
+    assert [(r["phrase"], r["score"]) for r in got] == [("ha ho", 200 * 10**17 // 400), ("ho ha", 199 * 10**17 // 400)]
