@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.common import dropped, written
+from tessera.llm.common import written
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 SHIFT = 16  # ids of the second tokenizer fit in so many bits
@@ -51,9 +51,12 @@ class _Encoded:
         self.ends = np.concatenate([self.ends, (total[1:] - np.repeat(total[before], lengths)).astype(np.int32)])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
 
+    def tokens(self, runs: np.ndarray) -> np.ndarray:
+        return self.first[runs + 1] - self.first[runs]
+
     def of(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(tokens of each run, ids, ends)."""
-        starts, lengths = self.first[runs], self.first[runs + 1] - self.first[runs]
+        starts, lengths = self.first[runs], self.tokens(runs)
         at = _ragged(starts, lengths)
         return lengths, self.ids[at], self.ends[at]
 
@@ -61,7 +64,7 @@ class _Encoded:
 class Tokenizers:
     """Ids and end offsets of runs under a byte-level BPE and a sentencepiece model; a run stands for a space and itself."""
 
-    def __init__(self, ranks: str, pieces: str, remembered: int = 500_000):
+    def __init__(self, ranks: str, pieces: str, remembered: int = 400_000):
         import public_tokenizers
         import sentencepiece
         import tiktoken
@@ -80,10 +83,11 @@ class Tokenizers:
     def _add(self, runs: list[str]) -> None:
         """Number runs; those of which a tokenizer loses bytes get -1."""
         encoded = [[self.encode(" " + r) for r in runs], self.model.encode(runs, num_threads=1)]
-        good = [True] * len(runs)
+        good, want = [True] * len(runs), b" " + b" ".join([r.encode() for r in runs])
         for ids, one in zip(encoded, (self.a, self.b), strict=True):
-            for k, (own, run) in enumerate(zip(ids, runs, strict=True)):
-                good[k] = good[k] and b"".join([one.names[i] for i in own]) == b" " + run.encode()
+            name = one.names.__getitem__
+            if b"".join(map(name, chain.from_iterable(ids))) != want:
+                good = [g and b"".join(map(name, own)) == b" " + run.encode() for g, own, run in zip(good, ids, runs, strict=True)]
             one.add(ids)
         at = len(self.a.first) - 1 - len(runs)
         self.numbers |= {r: at + k if g else -1 for k, (r, g) in enumerate(zip(runs, good, strict=True))}
@@ -113,8 +117,11 @@ def _tokenizers(ranks: str, pieces: str) -> Tokenizers:
 
 
 def tokenised(docs: DataFrame, *, doc_id: str, text: str, unit: int, ranks: str, pieces: str) -> DataFrame:
-    """(runs, docs): a row has texts of about ``unit`` characters, the different runs among them with ids and ends, and for
-    each text where its runs stand (``places``), which they are (``used``) and how often each comes (``times``)."""
+    """(a, a_ends, b, b_ends, run_ends, docs): a row has texts of about ``unit`` characters.
+
+    Its different runs stand one after the other, with their ids and the byte offsets at which ids and runs end; ``docs`` has
+    for each text its numbers of tokens and the run at each place (``places``).
+    """
     kind = docs.select(docs[doc_id].alias("d")).schema["d"].dataType.simpleString()
 
     def lists(offsets: list[int] | np.ndarray, values: pa.Array) -> pa.Array:
@@ -131,59 +138,68 @@ def tokenised(docs: DataFrame, *, doc_id: str, text: str, unit: int, ranks: str,
                 cuts = both.cut([texts[i] for i in own])
                 lengths = np.array([len(c) for c in cuts])
                 runs, places = np.unique(np.fromiter(chain.from_iterable(cuts), np.int64, int(lengths.sum())), return_inverse=True)
-                docs_ = [(x, *np.unique(x, return_counts=True)) for x in np.split(places, np.cumsum(lengths)[:-1])]
-                fields = []
+                fields, ends = [], None
                 for one in (both.a, both.b):
-                    n, ids, ends = one.of(runs)
-                    offsets = np.concatenate(([0], np.cumsum(n)))
-                    fields += [lists(offsets, pa.array(ids)), lists(offsets, pa.array(ends))]
-                parts = [lists(np.cumsum([0, *(len(d[k]) for d in docs_)]), pa.array(np.concatenate([d[k] for d in docs_]).astype(np.int32))) for k in range(3)]
-                rows = pa.StructArray.from_arrays([b["doc_id"].slice(own[0], len(own)), *parts], names=["doc_id", "places", "used", "times"])
-                runs = pa.StructArray.from_arrays(fields, names=["a", "a_ends", "b", "b_ends"])
-                yield pa.RecordBatch.from_arrays([lists([0, len(runs)], runs), lists([0, len(rows)], rows)], names=["runs", "docs"])
+                    n, ids, own_ends = one.of(runs)
+                    stops = np.cumsum(n)
+                    ends = np.cumsum(own_ends[stops - 1], dtype=np.int64) if len(runs) else np.zeros(0, np.int64)
+                    fields += [ids, own_ends + np.repeat(np.concatenate(([0], ends[:-1])), n) if len(runs) else ids]
+                fields = [lists([0, len(f)], pa.array(f.astype(np.int32))) for f in (*fields, ends)]
+                tokens = [pa.array([int(one.tokens(np.array(c, np.int64)).sum()) for c in cuts], pa.int64()) for one in (both.a, both.b)]
+                rows = pa.StructArray.from_arrays([b["doc_id"].slice(own[0], len(own)), *tokens, lists(np.concatenate(([0], np.cumsum(lengths))), pa.array(places.astype(np.int32)))], names=["doc_id", "n_a", "n_b", "places"])
+                yield pa.RecordBatch.from_arrays([*fields, lists([0, len(rows)], rows)], names=["a", "a_ends", "b", "b_ends", "run_ends", "docs"])
 
     ints = "array<int>"
-    schema = f"runs array<struct<a:{ints},a_ends:{ints},b:{ints},b_ends:{ints}>>, docs array<struct<doc_id:{kind},places:{ints},used:{ints},times:{ints}>>"
+    schema = f"a {ints}, a_ends {ints}, b {ints}, b_ends {ints}, run_ends {ints}, docs array<struct<doc_id:{kind},n_a:long,n_b:long,places:{ints}>>"
     return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(encode, schema)
 
 
-def _indices(ends: Column, common: Column) -> Column:
-    """Where, from 1, each of the ascending ``common`` stands among the ascending ``ends``: both are sorted together, each end just
-    before the common end that equals it, so that the work does not grow with the square of a text without blanks."""
+def _places(ends: str, some: str) -> Column:
+    """0 and, from 1, where each of the ascending ``some`` stands among the ascending ``ends``.
+
+    Both are sorted together, each end just before its equal, so that the work does not grow with the square of a unit.
+    """
     mark = F.lit(1 << 31)
     own = F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + i)
-    together = F.sort_array(F.concat(own, F.transform(common, lambda e: F.shiftleft(e.cast("long"), 32) + mark)))
+    together = F.sort_array(F.concat(own, F.transform(some, lambda e: F.shiftleft(e.cast("long"), 32) + mark)))
     before = lambda t: F.transform(t, lambda x, i: F.when(x.bitwiseAND(mark) > 0, F.get(t, i - 1).bitwiseAND(GREATEST_INDEX).cast("int") + 1))
-    return F.filter(_let(together, before), lambda x: x.isNotNull())
+    found = F.get(F.transform(F.array(together), before), F.lit(0))  # a lambda's variable is computed once
+    return F.concat(F.array(F.lit(0)), F.filter(found, lambda x: x.isNotNull()))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _between(values: str, places: str, k: Column) -> Column:
+    """The values from place k to place k + 1."""
+    return F.slice(values, F.get(places, k) + 1, F.get(places, k + 1) - F.get(places, k))
 
 
-def groups(runs: Column, short: int = 32) -> Column:
-    """Of each run (a, a_ends, b, b_ends) its groups: arrays of A's and of B's ids between common ends."""
+def grouped(units: DataFrame) -> DataFrame:
+    """(texts, links, sizes, docs): of each run of a unit its groups as text, its links, and the number of its groups."""
+    units = units.withColumn("common", F.array_intersect("a_ends", "b_ends"))
+    units = units.select("a", "b", "docs", _places("a_ends", "common").alias("at_a"), _places("b_ends", "common").alias("at_b"), _places("common", "run_ends").alias("at_run"))
+    units = units.select("*", *[F.col(x).cast("array<string>").alias(f"{x}_names") for x in "ab"])
 
-    def places(r: Column, ends: str, common: Column) -> Column:
-        few = F.transform(common, lambda e: F.array_position(r[ends], e).cast("int"))
-        many = _let(F.struct(r[ends].alias("e"), common.alias("c")), lambda x: _indices(x["e"], x["c"]))
-        return F.when(F.size(r[ends]) <= short, few).otherwise(many)
+    def one(k: Column) -> Column:
+        return (F.get("at_a", k + 1) - F.get("at_a", k) == 1) & (F.get("at_b", k + 1) - F.get("at_b", k) == 1)
 
-    def of_run(r: Column) -> Column:
-        one = F.array(F.struct(r["a"].alias("a"), r["b"].alias("b")))
+    def text(k: Column) -> Column:
+        names = [F.when(F.get(f"at_{x}", k + 1) - F.get(f"at_{x}", k) == 1, F.get(f"{x}_names", F.get(f"at_{x}", k))).otherwise(F.array_join(_between(f"{x}_names", f"at_{x}", k), ",")) for x in "ab"]
+        return F.concat(names[0], F.lit("|"), names[1])
 
-        def cut(at: Column) -> Column:
-            def group(k: Column) -> Column:
-                first = [F.when(k > 0, F.get(at[x], k - 1)).otherwise(0) for x in "ab"]
-                return F.struct(*[F.slice(r[x], f + 1, F.get(at[x], k) - f).alias(x) for x, f in zip("ab", first, strict=True)])
+    def pair(a: Column, b: Column) -> Column:
+        return F.shiftleft(a.cast("long"), SHIFT) + b
 
-            return F.transform(F.sequence(F.lit(0), F.size(at["a"]) - 1), group)
+    def links(k: Column) -> Column:
+        crossed = F.flatten(F.transform(_between("a", "at_a", k), lambda a: F.transform(_between("b", "at_b", k), lambda b: pair(a, b))))
+        return F.when(one(k), F.array(pair(F.get("a", F.get("at_a", k)), F.get("b", F.get("at_b", k))))).otherwise(crossed)
 
-        several = _let(F.array_intersect(r["a_ends"], r["b_ends"]), lambda c: F.when(F.size(c) > 1, _let(F.struct(places(r, "a_ends", c).alias("a"), places(r, "b_ends", c).alias("b")), cut)).otherwise(one))
-        return F.when((F.size(r["a"]) == 1) | (F.size(r["b"]) == 1), one).otherwise(several)
-
-    return F.transform(runs, of_run)
+    last = F.size("at_a") - 2
+    each = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    units = units.select("docs", "at_run", F.transform(each, text).alias("group_texts"), F.transform(each, links).alias("group_links"))
+    last = F.size("at_run") - 2
+    runs = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    of_run = lambda k: F.get("at_run", k + 1) - F.get("at_run", k)
+    texts = lambda k: F.when(of_run(k) == 1, F.get("group_texts", F.get("at_run", k))).otherwise(F.array_join(_between("group_texts", "at_run", k), ";"))
+    return units.select(F.transform(runs, texts).alias("texts"), F.transform(runs, lambda k: F.flatten(_between("group_links", "at_run", k))).alias("links"), F.transform(runs, of_run).alias("sizes"), "docs")
 
 
 def align(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", unit: int = 1 << 20, hot_pairs: int = 500_000, ranks: str = "byte_bpe_50k.tiktoken", pieces: str = "piece_bpe_32k.model") -> DataFrame:
@@ -199,32 +215,28 @@ def align(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", unit:
     all others, so that no frequent pair's rows meet in one task.
     """
     units = tokenised(docs, doc_id=doc_id, text=text, unit=unit, ranks=ranks, pieces=pieces)
-    numbers = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    of_group = lambda g: F.concat(numbers(g["a"]), F.lit("|"), numbers(g["b"]))
-    link = lambda g: F.flatten(F.transform(g["a"], lambda a: F.transform(g["b"], lambda b: F.shiftleft(a.cast("long"), SHIFT) + b)))
-    of_run = lambda r, i: (lambda gs: F.struct(F.size(gs).alias("groups"), F.size(r["a"]).alias("a"), F.size(r["b"]).alias("b"), F.array_join(F.transform(gs, of_group), ";").alias("text"), F.flatten(F.transform(gs, link)).alias("links")))(F.get(F.col("groups"), i))
-    units = units.select("runs", "docs", groups(F.col("runs")).alias("groups")).select(F.transform("runs", of_run).alias("runs"), "docs")
-    run = lambda i: F.get(F.col("runs"), i)
-    # One sum over the runs of a text for all four counts.
-    sums = lambda d: F.aggregate(F.arrays_zip(d["used"], d["times"]), F.struct(*[F.lit(0).cast("long").alias(c) for c in ("a", "b", "groups", "links")]), lambda n, u: _let(F.struct(run(u["used"]).alias("r"), u["times"].cast("long").alias("t")), lambda x: F.struct(*[(n[c] + x["t"] * x["r"][c]).alias(c) for c in ("a", "b", "groups")], (n["links"] + x["t"] * F.size(x["r"]["links"])).alias("links"))))
-    of_doc = lambda d: F.struct(d["doc_id"].alias("doc_id"), sums(d).alias("n"), F.when(F.size(d["places"]) > 0, F.sha2(F.array_join(F.transform(d["places"], lambda i: run(i)["text"]), ";"), 256)).otherwise("").alias("groups_sha256"), F.flatten(F.transform(d["used"], lambda i: run(i)["links"])).alias("pairs"), F.flatten(F.transform(d["used"], lambda i, k: F.array_repeat(F.get(d["times"], k), F.size(run(i)["links"])))).alias("times"))
+    units = grouped(units)
+
+    def of_doc(d: Column) -> Column:
+        sizes = F.aggregate(d["places"], F.lit(0).cast("long"), lambda n, i: n + F.get("sizes", i))
+        whole = F.when(F.size(d["places"]) > 0, F.sha2(F.array_join(F.transform(d["places"], lambda i: F.get("texts", i)), ";"), 256)).otherwise("")
+        pairs = F.flatten(F.transform(d["places"], lambda i: F.get("links", i)))
+        return F.struct(*[d[c].alias(c) for c in ("doc_id", "n_a", "n_b")], sizes.alias("n_groups"), whole.alias("groups_sha256"), pairs.alias("pairs"))
+
     each = units.select(F.explode(F.transform("docs", of_doc)).alias("d"))
-    aligned = written(each.select(F.monotonically_increasing_id().alias("row"), "d.doc_id", *[F.col(f"d.n.{c}").alias(f"n_{c}") for c in ("a", "b", "groups", "links")], "d.groups_sha256", "d.pairs", "d.times"))
+    aligned = written(each.select(F.monotonically_increasing_id().alias("row"), "d.*", F.size("d.pairs").cast("long").alias("n_links")))
 
     counts = aligned.select(F.explode(F.array_distinct("pairs")).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
     best = F.col("n") == F.max("n").over(W.partitionBy(F.shiftright("pair", SHIFT)))
     counts = written(counts.withColumn("best", best.cast("long")))
     sizes = {r["power"]: r["count"] for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).count().collect()}
     least = next(p for p in range(64) if sum(n for q, n in sizes.items() if q >= p) <= hot_pairs)
-    pairs = aligned.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("row", F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
+    pairs = aligned.select("row", F.explode("pairs").alias("pair"))
     hot = F.broadcast(counts.where(F.col("n") >= 1 << least))
     met = pairs.join(hot, "pair")
     if any(p < least for p in sizes):
         met = met.unionByName(pairs.join(hot.select("pair"), "pair", "left_anti").join(counts.where(F.col("n") < 1 << least), "pair"))
-    summed = met.groupBy("row").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
-    whole = aligned.drop("pairs", "times").join(summed, "row", "left")
+    summed = met.groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    whole = aligned.drop("pairs").join(summed, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return whole.select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
-
-
-__all__ = ["Tokenizers", "align", "dropped", "groups", "tokenised"]
