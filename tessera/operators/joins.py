@@ -1,4 +1,4 @@
-"""Attribute joins, spatial joins through tiles, nearest neighbours through cells of the sphere."""
+"""Attribute joins, spatial joins through density-adaptive leaves, nearest neighbours through cells of the sphere."""
 
 from __future__ import annotations
 
@@ -14,10 +14,10 @@ from pyspark.sql import Window as W
 from tessera.functions.geodesy import EARTH, haversine
 from tessera.functions.shapes import bounds, contains_point
 from tessera.functions.values import kind_of, missing, text_of
+from tessera.operators.partition import overlapping
+from tessera.storage import written
 
 RELATIONS = ("intersects", "contains", "within")
-#: Tiles have sides of 2^-16 to 2^20 units.
-FINEST, COARSEST = -16, 20
 
 
 def attribute_join(target: DataFrame, other: DataFrame, field: str, other_field: str | None = None, *, order: str) -> DataFrame:
@@ -30,42 +30,14 @@ def attribute_join(target: DataFrame, other: DataFrame, field: str, other_field:
     return left.join(first.select("__key", *new), "__key").drop("__key")
 
 
-def _tiles(low: Column, high: Column, size: Column) -> Column:
-    return F.explode(F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long")))
-
-
-def _leveled(df: DataFrame, name: str) -> DataFrame:
-    """Columns named after their side, with the level of the bounds: tiles of side 2^level, of which they span five at most."""
-    extent = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
-    one = df.where("xmin is not null and ymin is not null")
-    return one.select(*[F.col(c).alias(f"{name}__{c}") for c in df.columns], F.greatest(F.lit(FINEST), F.least(F.lit(COARSEST), F.ceil(F.log2(extent / 4)).cast("int"))).alias(f"{name}_level"))
-
-
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (l, r structs) whose bounds overlap, from an equi-join on tiles; a pair is kept in one of its tiles only.
+    """Pairs (l, r structs) of rows whose bounds (xmin, ymin, xmax, ymax) overlap; see ``partition.overlapping``.
 
-    Both sides have xmin, ymin, xmax, ymax.  Tiles follow the shapes: a row is dealt to tiles of its own size, and to the
-    larger ones that the other side's rows have, so that a pair meets in tiles of its larger member and small shapes that
-    lie close together share no tile with all their town.  The tile that holds the lower left corner of the bounds'
-    intersection keeps the pair.  Of either side only its distinct levels, 37 numbers at most, come to the driver.
+    Both sides are written with a number; only numbers and bounds look for each other, and rows are fetched for pairs.
     """
-    sides = {"l": _leveled(left, "l"), "r": _leveled(right, "r")}
-    levels = {n: sorted(v for (v,) in df.select(f"{n}_level").distinct().collect()) for n, df in sides.items()}
-    dealt = []
-    for name, other in (("l", "r"), ("r", "l")):
-        b, own = f"{name}__", F.col(f"{name}_level")
-        # Its own level, for the other side's smaller rows, and the other side's larger ones.
-        above = [F.when(F.lit(v) > own, F.lit(v)) for v in levels[other]]
-        one = sides[name].withColumn("level", F.explode(F.array_compact(F.array(own, *above)))).withColumn("side", F.pow(F.lit(2.0), F.col("level")))
-        one = one.withColumn("tx", _tiles(F.col(b + "xmin"), F.col(b + "xmax"), F.col("side")))
-        one = one.withColumn("ty", _tiles(F.col(b + "ymin"), F.col(b + "ymax"), F.col("side")))
-        dealt.append(one if name == "l" else one.drop("side"))
-    pairs = dealt[0].join(dealt[1], ["level", "tx", "ty"]).where(F.col("level") == F.greatest("l_level", "r_level"))
-    at = lambda c: F.col(c.replace(".", "__"))
-    overlap = (at("l.xmin") <= at("r.xmax")) & (at("l.xmax") >= at("r.xmin")) & (at("l.ymin") <= at("r.ymax")) & (at("l.ymax") >= at("r.ymin"))
-    own = (F.floor(F.greatest(at("l.xmin"), at("r.xmin")) / F.col("side")) == F.col("tx")) & (F.floor(F.greatest(at("l.ymin"), at("r.ymin")) / F.col("side")) == F.col("ty"))
-    # Structs only after the join: below it the columns that nobody asks for are pruned one by one.
-    return pairs.where(overlap & own).select(*[F.struct(*[at(f"{n}.{c}").alias(c) for c in df.columns]).alias(n) for n, df in (("l", left), ("r", right))])
+    sides = [written(d.withColumn("k", F.monotonically_increasing_id())) for d in (left.withColumnRenamed("k", "__k"), right.withColumnRenamed("k", "__k"))]
+    rows = [s.select(F.col("k").alias(n), F.struct(*[F.col("__k" if c == "k" else c).alias(c) for c in d.columns]).alias(v)) for s, d, n, v in zip(sides, (left, right), "ij", "lr", strict=True)]
+    return overlapping(*sides).join(rows[0], "i").join(rows[1], "j").select("l", "r")
 
 
 def with_bounds(df: DataFrame, geom: str | None = None, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -75,8 +47,11 @@ def with_bounds(df: DataFrame, geom: str | None = None, lon: str = "lon", lat: s
 
 
 def _holders(points: DataFrame, polygons: DataFrame, key: str, *more: str) -> DataFrame:
-    """Pairs (l, r) of points and the polygons that hold them (edges count); only the columns asked for are shuffled."""
-    pairs = candidates(with_bounds(points.select(key, "lon", "lat")), with_bounds(polygons.select("geom", *more), "geom"))
+    """Pairs (l, r) of points (key, lon, lat) and the polygons (geom, more) that hold them, edges included."""
+    held = written(polygons.select(F.monotonically_increasing_id().alias("j"), "geom", *more))
+    spots = with_bounds(points.select(F.struct(key, "lon", "lat").alias("k"), "lon", "lat"))
+    pairs = overlapping(spots, held.select(F.col("j").alias("k"), *[c.alias(n) for n, c in bounds(F.col("geom")).items()]))
+    pairs = pairs.join(held.select("j", F.struct("geom", *more).alias("r")), "j").select(F.col("i").alias("l"), "r")
     return pairs.where(contains_point(F.col("r.geom"), F.col("l.lon"), F.col("l.lat"), boundary=True))
 
 
