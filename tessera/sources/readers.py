@@ -20,6 +20,7 @@ from tessera.functions.shapes import GEOM, geometry, points
 from tessera.functions.values import NUMERAL
 from tessera.operators.aggregates import union_by_name
 from tessera.session import check_query, coordinate_columns
+from tessera.sources import split_json
 
 MAX_POINTS, MAX_VERTICES = 500, 1000
 
@@ -65,17 +66,25 @@ def sniff_wkt(df: DataFrame, rows: int = 50) -> str | None:
     return None
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, *, split: bool | None = None) -> DataFrame:
     """A FeatureCollection, Feature or geometry: the properties as columns beside ``geom``; features without one are dropped.
 
-    The file is read as one value; its features are then spread over tasks.
+    ``split``: the collections are read by file splits (see ``split_json``), by default if a file is larger than a split; else
+    each file is one value, whose features are then spread over tasks.  Both give the same rows; a file that is one Feature
+    or geometry is only read whole.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("v"))
-    v = F.parse_json("v")
-    kind = F.try_variant_get(v, "$.type", "string")
-    bare = F.array(F.when(kind == "Feature", F.col("v")).otherwise(F.concat(F.lit('{"type":"Feature","properties":{},"geometry":'), F.col("v"), F.lit("}"))))
-    many = F.from_json(F.get_json_object("v", "$.features"), "array<string>")
-    features = raw.select(F.explode(F.when(kind == "FeatureCollection", many).otherwise(bare)).alias("f")).repartition(spark.sparkContext.defaultParallelism)
+    if split is None:
+        largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+        split = largest > int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    if split:
+        features = split_json.features(spark, path).where(F.get_json_object("f", "$.type") == "Feature").select("f")
+    else:
+        raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("v"))
+        v = F.parse_json("v")
+        kind = F.try_variant_get(v, "$.type", "string")
+        bare = F.array(F.when(kind == "Feature", F.col("v")).otherwise(F.concat(F.lit('{"type":"Feature","properties":{},"geometry":'), F.col("v"), F.lit("}"))))
+        many = F.from_json(F.get_json_object("v", "$.features"), "array<string>")
+        features = raw.select(F.explode(F.when(kind == "FeatureCollection", many).otherwise(bare)).alias("f")).repartition(spark.sparkContext.defaultParallelism)
     rows = features.select(F.get_json_object("f", "$.properties").alias("p"), F.get_json_object("f", "$.geometry").alias("g"))
     rows = rows.select("p", parse_geometry(F.col("g"), "geojson").alias("geom")).where("geom is not null")
     schema = rows.agg(F.schema_of_json_agg("p").alias("s")).first()["s"] if hasattr(F, "schema_of_json_agg") else spark.read.json(rows.select(F.coalesce("p", F.lit("{}"))).rdd.map(lambda r: r[0])).schema
