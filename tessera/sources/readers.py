@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import re
-import struct
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
@@ -21,6 +20,8 @@ from tessera.functions.values import NUMERAL
 from tessera.operators.aggregates import union_by_name
 from tessera.session import check_query, coordinate_columns
 from tessera.sources import split_json
+from tessera.sources.formats import dbf_fields, dbf_records, geometry_type, shp_records
+from tessera.sources.indexed import read_geopackage, read_shp
 
 MAX_POINTS, MAX_VERTICES = 500, 1000
 
@@ -110,78 +111,17 @@ def read_shapefile(spark: SparkSession, path: str, *, schema: str | None = None)
                 names = [n for n, *_ in dbf_fields(files["dbf"])]
                 cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
                 kept = [i for i, g in enumerate(geoms) if g]
-                yield pa.RecordBatch.from_arrays([*(pa.array([c[i] for i in kept]) for c in cols), pa.array([geoms[i] for i in kept], _geom_type())], names=[*names, "geom"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([c[i] for i in kept]) for c in cols), pa.array([geoms[i] for i in kept], geometry_type())], names=[*names, "geom"])
 
     return files.mapInArrow(parse, f"{schema}, geom {GEOM}" if schema else f"geom {GEOM}")
 
 
-def _geom_type() -> pa.DataType:
-    xy = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-    return pa.struct([("kind", pa.string()), ("parts", pa.list_(pa.struct([("part", pa.int32()), ("ring", pa.int32()), ("pts", pa.list_(xy))])))])
-
-
 def _members(content: bytes) -> dict[str, bytes]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shp = min(n for n in z.namelist() if n.lower().endswith(".shp"))
         return {n.rsplit(".", 1)[1].lower(): z.read(n) for n in z.namelist() if n.rsplit(".", 1)[0] == shp[:-4]}
 
 
-def dbf_fields(data: bytes) -> list[tuple[str, str, int, int]]:
-    """(name, type, width, decimals) of each field."""
-    out, at = [], 32
-    while data[at] != 0x0D:
-        out.append((data[at : at + 11].split(b"\0")[0].decode("utf-8", "replace"), chr(data[at + 11]), data[at + 16], data[at + 17]))
-        at += 32
-    return out
-
-
-def dbf_records(data: bytes) -> list[tuple]:
-    n, head, width = struct.unpack_from("<IHH", data, 4)
-    fields, out = dbf_fields(data), []
-    for k in range(n):
-        at, row = head + k * width + 1, []
-        for _, kind, size, _ in fields:
-            raw = data[at : at + size].decode("utf-8", "replace").strip("\0 ")
-            row.append((float(raw) if re.match(NUMERAL, raw) else None) if kind in "NF" else ({"T": True, "Y": True, "F": False, "N": False}.get(raw.upper())) if kind == "L" else raw or None)
-            at += size
-        out.append(tuple(row))
-    return out
-
-
-def shp_records(data: bytes) -> list[dict | None]:
-    """Points, multipoints, lines and polygons (also Z and M, whose extra values are dropped); null shapes are None."""
-    out, at = [], 100
-    while at + 8 <= len(data):
-        size = struct.unpack_from(">I", data, at + 4)[0] * 2
-        body, at = data[at + 8 : at + 8 + size], at + 8 + size
-        kind = struct.unpack_from("<I", body)[0] % 10
-        if kind == 1:
-            out.append(kernels.geom_of("Point", [[np.frombuffer(body, "<f8", 2, 4)[None]]]))
-        elif kind == 8:
-            n = struct.unpack_from("<I", body, 36)[0]
-            xy = np.frombuffer(body, "<f8", 2 * n, 40).reshape(-1, 2)
-            g = kernels.geom_of("Point", [[p[None]] for p in xy])
-            out.append(g | {"kind": "MultiPoint"})
-        elif kind in (3, 5):
-            parts, n = struct.unpack_from("<II", body, 36)
-            cuts = [*struct.unpack_from(f"<{parts}I", body, 44), n]
-            xy = np.frombuffer(body, "<f8", 2 * n, 44 + 4 * parts).reshape(-1, 2)
-            rings = [xy[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-            if kind == 3:
-                out.append(kernels.geom_of("LineString", [[r] for r in rings]))
-            else:  # shells run clockwise, and a hole follows its shell
-                shells: list[list[np.ndarray]] = []
-                for r in rings:
-                    if kernels.signed_area(r) < 0 or not shells:
-                        shells.append([r[::-1]])
-                    else:
-                        shells[-1].append(r[::-1])
-                out.append(kernels.geom_of("Polygon", shells))
-        else:
-            out.append(None)
-    return out
-
-
 def read_kml(spark: SparkSession, path: str) -> DataFrame:
     """Placemarks as (Name, Description, geom); each file is parsed in a task of its own."""
 
@@ -189,7 +129,7 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             rows = [r for text in b["value"].to_pylist() for r in kml_placemarks(text)]
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], _geom_type())], names=["Name", "Description", "geom"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], geometry_type())], names=["Name", "Description", "geom"])
 
     return spark.read.text(path, wholetext=True).mapInArrow(parse, f"Name string, Description string, geom {GEOM}").where("geom is not null")
 
@@ -221,7 +161,7 @@ def read_jdbc(spark: SparkSession, url: str, sql: str, *, geometry_name: str | N
 
 def load(spark: SparkSession, path: str, **options) -> DataFrame:
     """By extension."""
-    readers = {"csv": read_csv, "geojson": read_geojson, "json": read_geojson, "zip": read_shapefile, "kml": read_kml, "parquet": lambda s, p: s.read.parquet(p)}
+    readers = {"csv": read_csv, "geojson": read_geojson, "json": read_geojson, "zip": read_shapefile, "shp": read_shp, "gpkg": read_geopackage, "kml": read_kml, "parquet": lambda s, p: s.read.parquet(p)}
     extension = path.rsplit(".", 1)[-1].lower()
     if extension not in readers:
         raise ValueError(f"no reader for .{extension}; there are {sorted(readers)}")
@@ -248,4 +188,4 @@ def create(spark: SparkSession, kind: str, shapes_: list[list[tuple[float, float
     return df.select("id", geometry(kind, F.col("pts")).alias("geom"))
 
 
-__all__ = ["create", "load", "points", "read_csv", "read_geojson", "read_jdbc", "read_kml", "read_shapefile", "with_geometry"]
+__all__ = ["create", "load", "points", "read_csv", "read_geojson", "read_geopackage", "read_jdbc", "read_kml", "read_shapefile", "read_shp", "with_geometry"]
