@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.functions.geodesy import arc_distance
-from tessera.functions.shapes import contains_point
+from tessera.functions.shapes import GEOM, contains_point
 from tessera.functions.values import kind_of, literal_number, missing, number_of, text_of
 
 
@@ -81,6 +82,70 @@ def in_fence(fence: Column, *, boundary: bool, lon: str = "lon", lat: str = "lat
     return contains_point(fence, F.col(lon), F.col(lat), boundary=boundary)
 
 
+def fence_of_layer(df: DataFrame, *, order: str, geom: str = "geom") -> Column:
+    """The first polygon of a layer by ``order``, as a literal: one geometry comes to the driver."""
+    first = df.where(F.col(f"{geom}.kind").isin("Polygon", "MultiPolygon")).orderBy(order).select(F.to_json(geom)).first()
+    if first is None:
+        raise ValueError("the layer has no polygon for a fence")
+    return F.from_json(F.lit(first[0]), GEOM)
+
+
+#: Rows up to which a result is shown in full, and beyond which it is not loaded at all.
+SHOWN_ROWS, MOST_ROWS = 50_000, 200_000
+
+
+@dataclass
+class Filtered:
+    """The rows of a filter, and its counts once an action over ``df`` has run: they come with that pass."""
+
+    df: DataFrame
+    seen: Observation
+    limit: int | None = None
+
+    def report(self, *, count_only: bool = False) -> dict:
+        """sourceCount, resultCount, displayedCount and scope; with ``count_only`` this runs the one pass itself.
+
+        Scope: full_table if nothing is shown, because only counts are asked for or the result is too large; filtered if
+        all rows are shown; else sample_display.
+        """
+        if count_only:
+            self.df.select(F.lit(1)).write.format("noop").mode("overwrite").save()
+        n = self.seen.get
+        source, result = n["sourceCount"], n["resultCount"]
+        if count_only or result > MOST_ROWS:
+            shown, scope = 0, "full_table"
+        else:
+            shown = min(result, self.limit if self.limit is not None else result if result <= SHOWN_ROWS else SHOWN_ROWS)
+            scope = "filtered" if shown == result else "sample_display"
+        return {"sourceCount": source, "resultCount": result, "displayedCount": shown, "scope": scope}
+
+
+def counted(df: DataFrame, test: Column, *, limit: int | None = None) -> Filtered:
+    """The rows that pass, with the counts of all rows and of those as metrics of the same scan.  ``limit`` bounds display only."""
+    if limit is not None and limit < 1:
+        raise ValueError("a limit is a positive number")
+    seen = Observation()
+    marked = df.withColumn("__hit", F.coalesce(test, F.lit(False)))
+    observed = marked.observe(seen, F.count(F.lit(1)).alias("sourceCount"), F.count_if("__hit").alias("resultCount"))
+    return Filtered(observed.where("__hit").drop("__hit"), seen, limit)
+
+
+def row_at(df: DataFrame, lon0: float, lat0: float, *, order: str, lon: str = "lon", lat: str = "lat", tolerance: float = 1e-5) -> DataFrame:
+    """The row at a place: one with exactly these coordinates, else the nearest by |dx| + |dy| of those less than ``tolerance``
+    degrees away in each; ties go by ``order``.  No such row: an empty result."""
+    dx, dy = F.abs(F.col(lon) - lon0), F.abs(F.col(lat) - lat0)
+    near = df.where(F.col(lon).between(lon0 - tolerance, lon0 + tolerance) & F.col(lat).between(lat0 - tolerance, lat0 + tolerance))
+    return near.where((dx < tolerance) & (dy < tolerance)).orderBy(dx + dy, order).limit(1)
+
+
+def uniform_sample(df: DataFrame, n: int, *, seed: int | None = None) -> DataFrame:
+    """``n`` rows, each subset as likely as any other: the least of independent random numbers, which an ordered limit keeps
+    without a sort of all rows.  Without a seed another sample each time; fewer rows than ``n``: all of them."""
+    if n < 0:
+        raise ValueError("a sample has no negative size")
+    return df.withColumn("__place", F.rand() if seed is None else F.rand(seed)).orderBy("__place").limit(n).drop("__place")
+
+
 def filter_layer(df: DataFrame, *, where: dict | None = None, box: tuple | None = None, center: tuple | None = None, radius: float | None = None, fence: Column | None = None) -> DataFrame:
     """The rows that pass all given filters; the fence leaves its own boundary out."""
     df = equal_to(df, where or {})

@@ -119,26 +119,44 @@ def select_related(target: DataFrame, other: DataFrame, relation: str, *, key: s
     return target.join(pairs.select(F.col("i").alias(key)).distinct(), key, "left_semi")
 
 
-def select_in_box(df: DataFrame, relation: str, box: tuple[float, float, float, float], *, geom: str = "geom") -> DataFrame:
-    """The rows whose geometry intersects, contains or is within a box; bounds decide first, then the exact test."""
+def select_by_geometry(df: DataFrame, relation: str, shape: dict, *, geom: str = "geom") -> DataFrame:
+    """The rows whose geometry, of any family, intersects, contains or is within one given geometry (a dict of the struct's
+    form); bounds decide first, on Spark's side, then the exact test."""
     if relation not in RELATIONS:
         raise ValueError(f"a relation is one of {', '.join(RELATIONS)}")
-    west, south, east, north = box
-    if west > east or south > north:
-        raise ValueError("a box needs west <= east and south <= north")
+    xy = [(p["x"], p["y"]) for part in shape["parts"] for p in part["pts"]]
+    if not xy:
+        return df.limit(0)
+    (west, south), (east, north) = (tuple(f(c) for c in zip(*xy, strict=True)) for f in (min, max))
     b = bounds(F.col(geom))
     near = df.where((b["xmin"] <= east) & (b["xmax"] >= west) & (b["ymin"] <= north) & (b["ymax"] >= south))
-    frame = {"kind": "Polygon", "parts": [{"part": 0, "ring": 0, "pts": [{"x": x, "y": y} for x, y in ((west, south), (east, south), (east, north), (west, north), (west, south))]}]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessera.functions.kernels import relate
 
         for t in batches:
-            yield t.filter(pa.array([relate(g, frame, relation) for g in t[geom].to_pylist()], pa.bool_()))
+            yield t.filter(pa.array([relate(g, shape, relation) for g in t[geom].to_pylist()], pa.bool_()))
 
     return near.mapInArrow(run, df.schema)
 
 
+def select_in_box(df: DataFrame, relation: str, box: tuple[float, float, float, float], *, geom: str = "geom") -> DataFrame:
+    """``select_by_geometry`` with a box."""
+    west, south, east, north = box
+    if west > east or south > north:
+        raise ValueError("a box needs west <= east and south <= north")
+    frame = {"kind": "Polygon", "parts": [{"part": 0, "ring": 0, "pts": [{"x": x, "y": y} for x, y in ((west, south), (east, south), (east, north), (west, north), (west, south))]}]}
+    return select_by_geometry(df, relation, frame, geom=geom)
+
+
+def select_in_fence(df: DataFrame, layer: DataFrame, *, order: str, geom: str = "geom") -> DataFrame:
+    """The rows whose geometry shares a point with the first polygon of a layer, edges included."""
+    first = layer.where(F.col(f"{geom}.kind").isin("Polygon", "MultiPolygon")).orderBy(order).select(geom).first()
+    if first is None:
+        raise ValueError("the layer has no polygon for a fence")
+    return select_by_geometry(df, "intersects", first[0].asDict(recursive=True), geom=geom)
+
+
 def _on_sphere(df: DataFrame, side: float, spread: bool) -> DataFrame:
     """Cells of a cube grid of the given side over the unit sphere; ``spread``: also the 26 around a point's own."""
     lon, lat = F.radians("lon"), F.radians("lat")

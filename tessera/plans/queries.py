@@ -205,6 +205,33 @@ def row_by_coordinate(spark, sf):
     return order_points(spark, sf).orderBy(away, "id").limit(1).select("id", "lon", "lat")
 
 
+@query(f"""select id, lon, lat from {PTS}, (select lon as x, lat as y from {PTS} order by id limit 1) where abs(lon - (x + 3e-6)) < 1e-5 and abs(lat - (y - 2e-6)) < 1e-5 order by abs(lon - (x + 3e-6)) + abs(lat - (y - 2e-6)), id limit 1""")
+def row_near_coordinate(spark, sf):
+    points = order_points(spark, sf)
+    p = points.orderBy("id").select("lon", "lat").first()
+    return filters.row_at(points, p.lon + 3e-6, p.lat - 2e-6, order="id").select("id", "lon", "lat")
+
+
+@query(f"select (select count(*) from {PTS}) as source, count(*) as result, count(*) as displayed, 'filtered' as scope from {PTS} where abs(lon)*40 + abs(lat)*60 <= 2400")
+def spatial_filter_report(spark, sf):
+    fence = shapes.geometry("Polygon", shapes.points(*DIAMOND))
+    hit = filters.counted(order_points(spark, sf), filters.in_fence(fence, boundary=True))
+    hit.df.write.format("noop").mode("overwrite").save()
+    r = hit.report()
+    return spark.createDataFrame([(r["sourceCount"], r["resultCount"], r["displayedCount"], r["scope"])], "source long, result long, displayed long, scope string")
+
+
+@query(f"select p.id from {PTS} p, (select * from {BOX} order by id limit 1) b where lon between west and east and lat between south and north")
+def fence_from_layer(spark, sf):
+    fence = filters.fence_of_layer(nation_boxes(spark, sf), order="id")
+    return order_points(spark, sf).where(filters.in_fence(fence, boundary=True)).select("id")
+
+
+@query(f"select d.id from {LOZENGE} d, (select * from {CBOX} order by id limit 1) b where {MEETS}")
+def polygons_in_fence(spark, sf):
+    return joins.select_in_fence(supplier_diamonds(spark, sf), customer_boxes(spark, sf), order="id").select("id")
+
+
 @query("select o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total from orders where o_totalprice > 1000 group by o_orderstatus")
 def sql_passthrough(spark, sf):
     from tessera.session import Session

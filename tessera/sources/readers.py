@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import codecs, kernels
+from tessera.functions.projections import to_degrees, transform
 from tessera.functions.shapes import GEOM, geometry, points
 from tessera.functions.values import NUMERAL
+from tessera.operators import filters
 from tessera.operators.aggregates import union_by_name
 from tessera.session import check_query, coordinate_columns
 from tessera.sources import split_json
@@ -159,13 +161,68 @@ def read_jdbc(spark: SparkSession, url: str, sql: str, *, geometry_name: str | N
     return df.withColumn("geom", parse_geometry(F.col(geometry_name), "wkb")).drop(geometry_name) if geometry_name else df
 
 
-def load(spark: SparkSession, path: str, **options) -> DataFrame:
-    """By extension."""
+def read_csv_layer(spark: SparkSession, *paths: str, lon_field: str | None = None, lat_field: str | None = None, geometry_column: str | None = None, source_crs: str | int | None = None, filter: dict | None = None, limit: int | None = None, threshold: int = 50_000, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(layer, shown): the rows of CSV files with a place, and those that are shown.
+
+    Coordinates come from the named fields, else a named or recognised column of well-known text, else recognised coordinate
+    fields; ``source_crs`` is where they are in, and the layer is in degrees.  ``filter`` (fields and values, all equal)
+    defines the layer; ``limit`` only bounds what is shown: the first rows by ``__rid``, the order of the files, of a layer of
+    up to ``threshold`` rows, a uniform sample of a larger one, by default all rows or ``threshold`` of them.
+    """
+    if limit is not None and (not isinstance(limit, int) or limit < 1):
+        raise ValueError("a limit is a positive number")
+    if (lon_field is None) != (lat_field is None):
+        raise ValueError("name both coordinate fields or none")
+    df = read_csv(spark, *paths).withColumn("__rid", F.monotonically_increasing_id())
+    for c in (lon_field, lat_field, geometry_column, *(filter or ())):
+        if c is not None and c not in df.columns:
+            raise ValueError(f"no field {c}; there are {df.columns[:-1]}")
+    coords = (lon_field, lat_field) if lon_field else None
+    wkt = geometry_column or (None if coordinate_columns(df.columns, coords) else sniff_wkt(df))
+    df = filters.equal_to(df, filter or {})
+    if wkt:
+        layer = with_geometry(df, wkt=wkt)
+        layer = layer if source_crs is None else layer.withColumn("geom", transform(F.col("geom"), source_crs))
+    elif source_crs is None:
+        layer = with_geometry(df, coords=coords)
+    else:
+        pair = coordinate_columns(df.columns, coords)
+        if not pair:
+            raise ValueError(f"no coordinates among {df.columns[:-1]}")
+        lon, lat = to_degrees(*(F.trim(F.col(c).cast("string")).try_cast("double") for c in pair), source_crs)
+        layer = df.withColumns({"lon": lon, "lat": lat}).where(F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90))
+    n = layer.limit(threshold + 1).count()
+    if n > threshold:
+        return layer, filters.uniform_sample(layer, limit or threshold, seed=seed)
+    return layer, layer if limit is None or limit >= n else layer.orderBy("__rid").limit(limit)
+
+
+#: Which options a source takes besides its path.
+CSV_OPTIONS = {"lon_field", "lat_field", "geometry_column", "filter", "limit"}
+LAYERED = {"gpkg"}
+PLACED = {"shp", "zip", "kml", "gpkg"}
+
+
+def load(spark: SparkSession, path: str, *, layer: str | None = None, source_crs: str | int | None = None, **options) -> DataFrame:
+    """By extension.  ``layer`` names one of a GeoPackage, ``source_crs`` where a CSV's or a vector file's coordinates are in;
+    coordinate fields, filter and limit are for CSV only.  With such options a CSV gives the rows that are shown."""
     readers = {"csv": read_csv, "geojson": read_geojson, "json": read_geojson, "zip": read_shapefile, "shp": read_shp, "gpkg": read_geopackage, "kml": read_kml, "parquet": lambda s, p: s.read.parquet(p)}
     extension = path.rsplit(".", 1)[-1].lower()
     if extension not in readers:
         raise ValueError(f"no reader for .{extension}; there are {sorted(readers)}")
-    return readers[extension](spark, path, **options)
+    if extension != "csv" and (only := CSV_OPTIONS & set(options)):
+        raise ValueError(f"{sorted(only)} are for CSV only")
+    if layer is not None and extension not in LAYERED:
+        raise ValueError("only files of several layers take a layer")
+    if source_crs is not None and extension != "csv" and extension not in PLACED:
+        raise ValueError("only CSV and vector files take a source_crs")
+    if extension == "csv":
+        return read_csv_layer(spark, path, source_crs=source_crs, **options)[1] if source_crs is not None or options else read_csv(spark, path)
+    df = readers[extension](spark, path, **options, **({"layer": layer} if layer is not None else {}))
+    if source_crs is None:
+        return df
+    geom = next(f.name for f in df.schema.fields if f.dataType.simpleString() == GEOM)
+    return df.withColumn(geom, transform(F.col(geom), source_crs))
 
 
 def create(spark: SparkSession, kind: str, shapes_: list[list[tuple[float, float]]]) -> DataFrame:
@@ -188,4 +245,4 @@ def create(spark: SparkSession, kind: str, shapes_: list[list[tuple[float, float
     return df.select("id", geometry(kind, F.col("pts")).alias("geom"))
 
 
-__all__ = ["create", "load", "points", "read_csv", "read_geojson", "read_geopackage", "read_jdbc", "read_kml", "read_shapefile", "read_shp", "with_geometry"]
+__all__ = ["create", "load", "points", "read_csv", "read_csv_layer", "read_geojson", "read_geopackage", "read_jdbc", "read_kml", "read_shapefile", "read_shp", "with_geometry"]

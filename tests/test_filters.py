@@ -72,3 +72,35 @@ def test_fence_boundary(spark):
     fence = shapes.box(0, 0, 10, 10)
     assert df.where(filters.in_fence(fence, boundary=True)).count() == 3
     assert df.where(filters.in_fence(fence, boundary=False)).count() == 1
+
+
+def test_counts_come_with_the_pass(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 10 > 0, F.col("id")).alias("v"))
+    hit = filters.counted(df, F.col("v") < 300, limit=100)
+    assert hit.df.columns == ["id", "v"] and hit.df.count() == 270
+    assert hit.report() == {"sourceCount": 1000, "resultCount": 270, "displayedCount": 100, "scope": "sample_display"}
+    plan = hit.df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 1
+    assert filters.counted(df, F.col("v") < 300).report(count_only=True) == {"sourceCount": 1000, "resultCount": 270, "displayedCount": 0, "scope": "full_table"}
+    many = filters.counted(spark.range(300_000), F.col("id") >= 0)
+    many.df.count()
+    assert many.report() == {"sourceCount": 300_000, "resultCount": 300_000, "displayedCount": 0, "scope": "full_table"}
+    some = filters.counted(spark.range(300_000), F.col("id") < 60_000)
+    some.df.count()
+    assert some.report()["displayedCount"] == filters.SHOWN_ROWS and some.report()["scope"] == "sample_display"
+
+
+def test_row_at_a_place(spark):
+    df = spark.createDataFrame([(1, 10.0, 20.0), (2, 10.000004, 20.0), (3, 10.0, 20.0), (4, None, 20.0), (5, 10.5, 20.0)], "id int, lon double, lat double")
+    at = lambda x, y: [r.id for r in filters.row_at(df, x, y, order="id").collect()]
+    assert at(10.0, 20.0) == [1] and at(10.000003, 20.0) == [2] and at(10.00002, 20.0) == [] and at(10.5, 20.000011) == [] and at(10.5, 20.000009) == [5]
+
+
+def test_uniform_sample(spark):
+    df = spark.range(400).repartition(7)
+    assert filters.uniform_sample(df, 50, seed=1).count() == 50 and filters.uniform_sample(df, 1000).count() == 400 and filters.uniform_sample(df, 0).count() == 0
+    times = df.limit(0)
+    for seed in range(40):
+        times = times.unionAll(filters.uniform_sample(df, 100, seed=seed))
+    n = [r["count"] for r in times.groupBy((F.col("id") / 100).cast("int").alias("q")).count().collect()]
+    assert len(n) == 4 and sum(n) == 4000 and all(850 < x < 1150 for x in n)
