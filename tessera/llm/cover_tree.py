@@ -103,13 +103,15 @@ def embedding_links(vectors: DataFrame, *, cosine: float = 0.98, ball: int = 204
     """(vec_id, n_links, component_id, kept) of each row of ``vectors`` (vec_id, embedding, label).
 
     Rows link when their labels and lengths are equal and their cosine is at least ``cosine``.  A null label or vector, a
-    zero vector, or one with a null, infinite or NaN component links with nothing.  Equal vectors are compared once and
-    stand for all their rows; repeated ids count as vectors of their own.  No rows: an empty result.
+    zero vector, or one with a null, infinite or NaN component links with nothing.  Equal vectors of a label are one class,
+    compared once, under a number of its own; so rows that share an id, or have none, are vectors of their own with the
+    links of their vector.  ``component_id`` is the smallest id among the component's rows, null if none has one, and a row
+    without an id is not kept.  No rows: an empty result.
     """
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = rows.withColumn("ok", F.coalesce(F.col("label").isNotNull() & ~bad & F.exists("v", lambda c: c != 0), F.lit(False)))
-    classes = written(rows.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")))
+    classes = written(rows.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("m")).withColumn("cls", F.monotonically_increasing_id()))
     keys = [F.col("label"), F.size("v").alias("dim")]
     sizes = {(r["label"], r["dim"]): r["n"] for r in classes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(max_centres).collect()}
     total = sum(sizes.values())
@@ -119,7 +121,7 @@ def embedding_links(vectors: DataFrame, *, cosine: float = 0.98, ball: int = 204
     if any(n > 1 for n in wanted.values()):
         spark = vectors.sparkSession
         many = spark.createDataFrame([(*k, n) for k, n in wanted.items() if n > 1], f"label {classes.schema['label'].dataType.simpleString()}, dim int, wanted int")
-        place = F.row_number().over(W.partitionBy("label", "dim").orderBy(F.xxhash64("rep", F.lit(seed)), "rep"))
+        place = F.row_number().over(W.partitionBy("label", "dim").orderBy(F.xxhash64("v", F.lit(seed)), "v"))
         got = classes.withColumn("dim", F.size("v")).join(F.broadcast(many), ["label", "dim"]).withColumn("place", place).where("place <= wanted").orderBy("label", "dim", "place").select("label", "dim", "v").toArrow()
         for k, x in zip(zip(got["label"].to_pylist(), got["dim"].to_pylist(), strict=True), got["v"].to_pylist(), strict=True):
             centres.setdefault(k, []).append(x)
@@ -140,10 +142,10 @@ def embedding_links(vectors: DataFrame, *, cosine: float = 0.98, ball: int = 204
                     d = 2 - 2 * (c @ x)
                     near[i] = d.argmin()
                     far[i] = np.sqrt(max(0.0, d.min()))
-            yield pa.RecordBatch.from_arrays([b["label"], b["rep"], b["m"], pa.array([len(x) for x in v], pa.int32()), pa.array(near), pa.array(far), pa.array([x.tobytes() for x in unit], pa.binary())], names=["label", "rep", "m", "dim", "centre", "far", "unit"])
+            yield pa.RecordBatch.from_arrays([b["label"], b["cls"], b["m"], pa.array([len(x) for x in v], pa.int32()), pa.array(near), pa.array(far), pa.array([x.tobytes() for x in unit], pa.binary())], names=["label", "cls", "m", "dim", "centre", "far", "unit"])
 
     types = {f.name: f.dataType.simpleString() for f in classes.schema.fields}
-    placed = written(classes.mapInArrow(dealt, f"label {types['label']}, rep {types['rep']}, m long, dim int, centre long, far double, unit binary"))
+    placed = written(classes.mapInArrow(dealt, f"label {types['label']}, cls long, m long, dim int, centre long, far double, unit binary"))
     balls = placed.groupBy("label", "dim", "centre").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
     # A ball above the size is split evenly into parts around the same centre.
     balls = balls.withColumn("parts", F.ceil(F.col("n") / ball).cast("long"))
@@ -156,24 +158,25 @@ def embedding_links(vectors: DataFrame, *, cosine: float = 0.98, ball: int = 204
     apart = F.when(F.col("ci") == F.col("cj"), 0.0).otherwise(F.coalesce(F.sqrt(squares), F.lit(0.0)))
     pairs = left.join(right, ["label", "dim"]).where("i <= j").where(apart <= F.col("ri") + F.col("rj") + reach).select("label", "dim", "i", "j")
     each = pairs.withColumn("shard", F.explode(F.array_distinct(F.array("i", "j"))))
-    placed = placed.join(balls.select("label", "dim", "centre", "parts"), ["label", "dim", "centre"]).withColumn("shard", F.col("centre") * (1 << 24) + F.pmod(F.xxhash64("rep", F.lit(seed + 1)), F.col("parts")))
-    tasks = placed.join(each, ["label", "dim", "shard"]).select("label", "dim", "i", "j", "shard", "rep", "m", "unit")
+    placed = placed.join(balls.select("label", "dim", "centre", "parts"), ["label", "dim", "centre"]).withColumn("shard", F.col("centre") * (1 << 24) + F.pmod(F.xxhash64("cls", F.lit(seed + 1)), F.col("parts")))
+    tasks = placed.join(each, ["label", "dim", "shard"]).select("label", "dim", "i", "j", "shard", "cls", "m", "unit")
 
     def compared(group: pd.DataFrame) -> pd.DataFrame:
         if group["i"].iloc[0] != group["j"].iloc[0] and group["shard"].nunique() < 2:
-            return pd.DataFrame({"rep": [], "links": [], "root": []})
-        group = group.sort_values(["shard", "rep"])
+            return pd.DataFrame({"cls": [], "links": [], "root": []})
+        group = group.sort_values(["shard", "cls"])
         x = np.frombuffer(b"".join(group["unit"]), np.float64).reshape(len(group), -1)
-        rep = group["rep"].to_numpy()
-        links, parent = _linked(rep, group["m"].to_numpy(), x, group["shard"].to_numpy(), cosine)
+        cls = group["cls"].to_numpy()
+        links, parent = _linked(cls, group["m"].to_numpy(), x, group["shard"].to_numpy(), cosine)
         hit = links > 0
-        return pd.DataFrame({"rep": rep[hit], "links": links[hit], "root": rep[parent[hit]]})
-
-    found = written(tasks.groupBy("label", "dim", "i", "j").applyInPandas(compared, f"rep {types['rep']}, links long, root {types['rep']}"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = classes.join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    good = rows.where("ok").join(named, ["label", "v"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
+        return pd.DataFrame({"cls": cls[hit], "links": links[hit], "root": cls[parent[hit]]})
+
+    found = written(tasks.groupBy("label", "dim", "i", "j").applyInPandas(compared, "cls long, links long, root long"))
+    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    groups = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
+    named = classes.join(links, "cls", "left").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "component").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id")
+    good = rows.where("ok").join(named, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.unionAll(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return good.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -114,18 +114,24 @@ def train(texts: list[tuple[str, bytes]], *, widths=(2, 3, 4), per_width: int =
 
 
 def fit(docs: DataFrame, *, per_language: int = 1500, sample: int = 60_000, windows_per_text: int = 4, window: int = 128, seed: int = 7) -> ByteConvNet | None:
-    """Train on at most ``per_language`` rows of each value of ``lang``, and on fewer of each if they are over ``sample`` in all
-    (but one), by seeded hash of the text.
+    """Train on at most ``per_language`` different texts of each language, and ``sample`` in all, by seeded hash of the text.
 
-    ``docs`` has ``text`` and ``lang``; rows without either teach nothing.  Of each sampled text up to
-    ``windows_per_text`` windows at seeded places are used, some of them shortened, so what reaches the driver is bounded
-    by the parameters.  No such rows: None.
+    ``docs`` has ``text`` and ``lang``; rows without either teach nothing, and copies of a text teach once.  A language is
+    learned however few different texts it has: each gives its texts of the smallest hashes.  With over ``sample``
+    languages, those of the most rows are learned, one text each.  Of each sampled text up to ``windows_per_text`` windows
+    at seeded places are used, some of them shortened, so what reaches the driver is bounded by the parameters.  No such
+    rows: None.
     """
-    rows = docs.where("text is not null and lang is not null").select("lang", "text")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    rows = docs.where("text is not null and lang is not null").select("lang", F.xxhash64("text", F.lit(seed)).alias("h"), "text")
+    learned = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample)
+    n = learned.count()
+    if not n:
         return None
-    per_language = max(1, min(per_language, sample // len(counts)))
+    each = max(1, min(per_language, sample // n))
+    # Ranked by hash alone, and cut to so many in each task before they are shuffled; texts are fetched for those that remain.
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    chosen = rows.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= each)
+    chosen = F.broadcast(chosen.join(learned.select("lang"), "lang", "left_semi").select("lang", "h"))
 
     def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,21 +140,13 @@ def fit(docs: DataFrame, *, per_language: int = 1500, sample: int = 60_000, wind
                 data = text.encode()
                 rng = np.random.default_rng([seed, h % 2**32])
                 for k in range(windows_per_text):
-                    n = window if k % 2 == 0 else int(rng.integers(12, window))
-                    at = int(rng.integers(0, max(1, len(data) - n + 1)))
-                    out.append((h, lang, k, data[at : at + n]))
+                    size = window if k % 2 == 0 else int(rng.integers(12, window))
+                    at = int(rng.integers(0, max(1, len(data) - size + 1)))
+                    out.append((h, lang, k, data[at : at + size]))
             yield pa.RecordBatch.from_pylist([dict(zip(("h", "lang", "k", "piece"), x, strict=True)) for x in out], schema=pa.schema([("h", pa.int64()), ("lang", pa.string()), ("k", pa.int32()), ("piece", pa.binary())]))
 
-    small = rows.select("lang", "text", F.xxhash64("text", F.lit(seed)).alias("h"))
-    # A hash bound that keeps a few times the sample, so that only those texts go on to be cut and ranked.
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 3.0 * per_language / n))])
-    low = small.where((F.pmod(F.col("h"), F.lit(1 << 20)) / float(1 << 20)) < share[F.col("lang")])
-    pieces = low.mapInArrow(excerpts, "h long, lang string, k int, piece binary")
-    rank = F.row_number().over(W.partitionBy("lang", "bin").orderBy("h", "k"))
-    bins = 32
-    each = -(-per_language * windows_per_text // bins)
-    picked = pieces.dropDuplicates(["lang", "h", "k"]).withColumn("bin", F.pmod(F.col("h"), F.lit(bins))).withColumn("n", rank).where(F.col("n") <= each)
-    got = picked.select("lang", "piece", "h", "k").toArrow().sort_by([("h", "ascending"), ("k", "ascending"), ("lang", "ascending")])
+    pieces = rows.join(chosen, ["lang", "h"]).select("h", "lang", "text").mapInArrow(excerpts, "h long, lang string, k int, piece binary")
+    got = pieces.groupBy("lang", "h", "k").agg(F.min("piece").alias("piece")).toArrow().sort_by([("h", "ascending"), ("k", "ascending"), ("lang", "ascending")])
     return train(list(zip(got["lang"].to_pylist(), got["piece"].to_pylist(), strict=True)), window=window, seed=seed)
 
 

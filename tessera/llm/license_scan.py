@@ -1,8 +1,9 @@
 """License scans by conditional compression.
 
-Stretches of a text are held against the wording of every license template.  Those that agree are compressed with the
-template as a raw zstandard dictionary: the more they share with it, the smaller they get against their size without one.
-The reduction ranks templates that agree equally well.
+Around every cue word stands a candidate block of words, wide enough for any template.  A block is compressed with the wording of
+each template as a raw zstandard dictionary; the templates rank by how much smaller it gets than with a neutral dictionary of
+the same size.  In that order they are confirmed by exact wording differences, and the first that agrees over a stretch with
+the cue word is the notice there.
 """
 
 from __future__ import annotations
@@ -50,10 +51,27 @@ TELLING = frozenset("lesser library affero noncommercial nc sharealike sa noderi
 _WORD = re.compile(r"[A-Za-z0-9.+-]*[A-Za-z0-9]")
 
 
+#: Words of no license, for baseline dictionaries.
+NEUTRAL = "the river ran past an old mill where seven children played until evening came and lamps were lit along each quiet lane of that small town while bakers slept before dawn "
+
+
 @lru_cache(maxsize=8)
-def _compressors(templates: tuple[tuple[str, str], ...], level: int) -> tuple:
-    plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
-    return plain, [zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
+def _compressors(templates: tuple[tuple[str, str], ...], level: int) -> list[tuple]:
+    """For each template a compressor with a neutral dictionary of its size, and one with its wording."""
+
+    def one(data: bytes) -> zstandard.ZstdCompressor:
+        return zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+
+    words = [" ".join(wording(t)).encode() for _, t in templates]
+    return [(one((NEUTRAL * (len(w) // len(NEUTRAL) + 1)).encode()[: len(w)]), one(w)) for w in words]
+
+
+@lru_cache(maxsize=10_000)
+def ranked(block: str, templates: tuple[tuple[str, str], ...], level: int) -> list[tuple[int, int, int]]:
+    """(template, size with the neutral dictionary, size with the template) of a block of wording, the largest reduction first."""
+    data = block.encode()
+    sizes = [(k, len(plain.compress(data)), len(own.compress(data))) for k, (plain, own) in enumerate(_compressors(templates, level))]
+    return sorted(sizes, key=lambda x: (x[2] - x[1], x[0]))
 
 
 def wording(text: str) -> list[str]:
@@ -108,31 +126,36 @@ def _telling(words: Iterable[str]) -> Counter:
 def notices(text: str, *, templates: tuple[tuple[str, str], ...] = TEMPLATES, level: int = 6, max_differences: float = 0.05) -> list[tuple[int, int, Found]]:
     """(start, end, found) of every notice of a text, in order; notices do not overlap.
 
-    Words are compared across line breaks and comment marks.  Every template is held against the wording: at most
-    ``max_differences`` of its words may be missing or extra, and none of those that tell licenses or versions apart; a
-    stretch needs a cue word.  Where several agree, the longest template comes first, then the fewest differences, then
-    the largest reduction of the stretch by the template."""
-    plain, conditional = _compressors(templates, level)
+    Words are compared across line breaks and comment marks.  A notice has a cue word; at most ``max_differences`` of its
+    template's words may be missing or extra, and none of those that tell licenses or versions apart.  Of the templates that
+    agree around a cue the one that ranks first by compression counts, of overlapping notices the one with the largest
+    reduction; templates that rank low are confirmed too, if those before them fail, so ranking loses no notice."""
     spans = [m.span() for m in _WORD.finditer(text)]
     words = [text[a:b].lower() for a, b in spans]
     joined, starts = f" {' '.join(words)} ", list(accumulate((len(w) + 1 for w in words), initial=0))
-    agreed: dict[tuple[int, int], list] = {}
-    for k, (_, t) in enumerate(templates):
-        own = wording(t)
-        for first, end, missing, extra in _places(own, words, joined, starts, int(max_differences * len(own))):
-            if (not missing + extra or _telling(own) == _telling(words[first:end])) and _CUE.search(" ".join(words[first:end])):
-                agreed.setdefault((first, end), []).append((-len(own), missing + extra, k, missing, extra))
-    ranked = []
-    for (first, end), several in agreed.items():
-        data = text[spans[first][0] : spans[end - 1][1]].encode()
-        size = len(plain.compress(data))
-        for length, wrong, k, missing, extra in several:
-            small = len(conditional[k].compress(data))
-            ranked.append((length, wrong, small - size, first, end, Found(templates[k][0], k, size, small, missing, extra)))
+    owns = [wording(t) for _, t in templates]
+    reach = max(len(o) + int(max_differences * len(o)) for o in owns)
+    cues = dict.fromkeys(bisect.bisect_right(starts, m.end() - 2) - 1 for m in _CUE.finditer(joined))
+    found: dict[tuple[int, int], tuple] = {}
+    last = (0, 0)
+    for cue in cues:
+        if last[0] <= cue < last[1]:
+            continue
+        lo, near = max(0, cue - reach), words[max(0, cue - reach) : cue + reach + 1]
+        block, at = f" {' '.join(near)} ", list(accumulate((len(w) + 1 for w in near), initial=0))
+        for k, plain, small in ranked(block, templates, level):
+            own = owns[k]
+            places = [(missing + extra, first, end, missing, extra) for first, end, missing, extra in _places(own, near, block, at, int(max_differences * len(own))) if first <= cue - lo < end]
+            places = [p for p in places if not p[0] or _telling(own) == _telling(near[p[1] : p[2]])]
+            if places:
+                _, first, end, missing, extra = min(places)
+                last = lo + first, lo + end
+                found[last] = small - plain, *last, Found(templates[k][0], k, plain, small, missing, extra)
+                break
     out: list[tuple[int, int, Found]] = []
-    for *_, first, end, found in sorted(ranked, key=lambda x: x[:5]):
+    for _, first, end, one in sorted(found.values(), key=lambda x: x[:3]):
         if all(end <= x or first >= y for x, y, _ in out):
-            out.append((first, end, found))
+            out.append((first, end, one))
     return [(spans[x][0], spans[y - 1][1], f) for x, y, f in sorted(out, key=lambda x: x[:2])]
 
 
@@ -145,8 +168,8 @@ def scan(docs: DataFrame, *, templates: tuple[tuple[str, str], ...] = TEMPLATES,
     """One row per notice of a text, as ``notices`` finds them.
 
     (doc_id, line, start, length, license, template, plain_size, with_template, missing_words, extra_words): the number
-    from 0 of the line in which the notice starts, the notice's place and length in characters, and its compressed
-    sizes.  Every whole text with a cue word is looked at.  Null and empty texts give no rows, repeated rows give theirs
+    from 0 of the line in which the notice starts, the notice's place and length in characters, and the compressed sizes
+    of its block.  Every whole text with a cue word is looked at.  Null and empty texts give no rows, repeated rows give theirs
     each, other columns are ignored, and an empty table gives none.
     """
     names = ("line", "start", "length", "license", "template", "plain_size", "with_template", "missing_words", "extra_words")
