@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id, mixing, packing, simhash, suffix_dedup
-from tessera.llm.common import fold, table, workers_can_import, written
+from tessera.llm.common import dropped, fold, table, workers_can_import, written
 from tessera.llm.queries import MIX_WEIGHTS
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -76,7 +76,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    docs, before = table(spark, sf_dir, "documents").select(*COLUMNS), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        after = written(stage(spark, docs, sf_dir))
+        if before is not None:
+            dropped(before)
+        docs = before = after
     return STAGES[-1][1](spark, docs, sf_dir)

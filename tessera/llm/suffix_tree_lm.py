@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import AtomicType, VariantType
 
 from tessera.llm.common import dropped, written
 
@@ -164,12 +165,15 @@ def learn_and_score(docs: DataFrame, teaches: Column | bool, *, keep: list[Colum
     ``teaches`` holds (null: it does not); the probabilities of all texts add up to one.  ``base_score`` is the text's log10
     probability under add-one frequencies of tokens.  Null and empty texts consist of the end token alone; equal rows are
     scored each; without a teaching row every byte is equally likely; no rows: an empty result.  Other columns are carried
-    only as ``keep`` names them.
+    only as ``keep`` names them.  Tokens are told apart by 64-bit hashes.  ``depth`` is 6 at most, as runs are one number.
     """
+    if not 1 <= depth <= 6:
+        raise ValueError("contexts have one byte to six")
+    plain = [f.name for f in docs.schema.fields if isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType)]
     size = docs.select(F.sum(F.octet_length(docs[text]))).first()[0]
     blocks = max(16, -(-int(size or 0) // block_bytes))
     teaches = F.coalesce(teaches if isinstance(teaches, Column) else F.lit(teaches), F.lit(False))
-    rows = docs.select(*(keep if keep is not None else [docs[c] for c in docs.columns]), docs[text].cast("binary").alias("__data"), teaches.alias("__teach"), F.pmod(F.xxhash64(*docs.columns), F.lit(blocks)).cast("int").alias("__block"))
+    rows = docs.select(*(keep if keep is not None else [docs[c] for c in docs.columns]), docs[text].cast("binary").alias("__data"), teaches.alias("__teach"), F.pmod(F.xxhash64(*[docs[c] for c in plain]), F.lit(blocks)).cast("int").alias("__block"))
     carried = [c for c in rows.columns if c not in ("__data", "__teach", "__block")]
     asked = written(rows.select("__block", "__data", "__teach").groupBy("__block").applyInArrow(_asked(depth), "block int, kind byte, key long, n long"))
     counts = written(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")))

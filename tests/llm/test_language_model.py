@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import suffix_tree_lm
@@ -19,3 +20,11 @@ def test_a_context_of_tiny_share_is_a_state(spark):
 def test_rows_that_teach_nothing(spark):
     rows = suffix_tree_lm.learn_and_score(spark.createDataFrame([("ab",), (None,), ("ab",)], "text string"), False).collect()
     assert sorted(round(r["score"] / math.log10(256), 6) for r in rows) == [-4.0, -4.0, -1.0] and all(r["train_tokens"] == 0 == r["base_score"] for r in rows)
+
+
+def test_map_columns_and_depth(spark):
+    docs = spark.createDataFrame([(1, "a b", {"k": 1}), (2, None, None)], "doc_id long, text string, m map<string,int>")
+    assert len(suffix_tree_lm.learn_and_score(docs, True, keep=[docs["doc_id"]]).collect()) == 2
+    for depth in (0, 7):
+        with pytest.raises(ValueError):
+            suffix_tree_lm.learn_and_score(docs, True, depth=depth)
