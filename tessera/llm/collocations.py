@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.common import dropped, written
+from tessera.llm.common import dropped, tidy, written
 
 SLICE_BITS = 20
 GAP = "\n"  # between pieces and between texts; no word has it
@@ -187,9 +187,9 @@ def counts(docs: DataFrame, *, least: int = 30, longest: int = 4, block_bytes: i
     # About a slot a byte, in at most 2^15 slices, so that a block's messages grow no more numerous than its words.
     bits = SLICE_BITS + min(15, max(0, (size >> SLICE_BITS).bit_length()))
     blocked = written(rows.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"), "lang", "text"))
-    sent = blocked.groupBy("block").applyInArrow(_sketched(longest, bits, least), "slice int, block int, n int, packed binary")
-    answers = written(sent.groupBy("slice").applyInArrow(_answered(least), "block int, slice int, bits binary"))
-    found = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_counted(longest, bits), "lang string, phrase string, f long")
+    sent = blocked.groupBy("block").applyInArrow(tidy(_sketched(longest, bits, least)), "slice int, block int, n int, packed binary")
+    answers = written(sent.groupBy("slice").applyInArrow(tidy(_answered(least)), "block int, slice int, bits binary"))
+    found = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy(_counted(longest, bits)), "lang string, phrase string, f long")
     summed = written(found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == "")))
     dropped(blocked, answers)
     return summed

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import inspect
 import os
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.storage import dropped, shared_folder, written
 
-__all__ = ["WORD", "components", "dropped", "fold", "shared_folder", "table", "workers_can_import", "written"]
+__all__ = ["WORD", "components", "dropped", "fold", "shared_folder", "table", "tidy", "workers_can_import", "written"]
 
 #: A word is a run of anything but the ASCII blanks; ``bytes.split()`` cuts UTF-8 text by the same rule.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +31,27 @@ def workers_can_import(spark: SparkSession, batch: str = "4m") -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+def give_back() -> None:
+    """Hand memory that is free to the system.  Python workers live on between tasks and stages, and what the C library and
+    Arrow keep for later adds up over the workers of an executor."""
+    pa.default_memory_pool().release_unused()
+    name = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
+    if trim:
+        trim(0)
+
+
+def tidy(function: Callable) -> Callable:
+    """A function of one or two groups that gives memory back after each."""
+
+    def after(*groups):
+        out = function(*groups)
+        give_back()
+        return out
+
+    return (lambda a: after(a)) if len(inspect.signature(function).parameters) == 1 else (lambda a, b: after(a, b))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     workers_can_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.llm.common import give_back
+
 LETTER = regex.compile(r"\p{L}")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -206,5 +208,6 @@ def predict(docs: DataFrame, net: ByteConvNet | None, *, keep: list[Column] | No
                     pred[i], score[i] = net.languages[k], float(p[i, k])
             rest = [c for c in b.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in rest), pa.array(pred, pa.string()), pa.array(score)], names=[*rest, "lang_pred", "score"])
+        give_back()
 
     return kept.mapInArrow(label, f"{schema}, lang_pred string, score double" if schema else "lang_pred string, score double")

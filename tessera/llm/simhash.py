@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, written
+from tessera.llm.common import components, give_back, written
 
 
 def fingerprint(data: bytes, words: int = 3, seed: int = 42, slab: int = 1 << 16) -> int:
@@ -48,6 +48,7 @@ def fingerprints(docs: DataFrame, *, words: int = 3, doc_id: str = "doc_id", tex
         for b in batches:
             fp = np.array([fingerprint(t, words) if t else 0 for t in b["data"].to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(fp.view(np.int64))], names=[*names, "fp"])
+        give_back()
 
     rows = docs.select(docs[doc_id].alias("doc_id"), *[docs[c] for c in keep or []], docs[text].cast("binary").alias("data"))
     names = rows.columns[:-1]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.common import dropped, written
+from tessera.llm.common import dropped, tidy, written
 
 _BYTE = np.random.default_rng(1729).integers(1, 1 << 63, 256, dtype=np.uint64)
 #: Symbols of a window: 0 nothing before, 1 its end (twice), bytes from 2 on, 255 the anchor.  UTF-8 has no byte above 0xF4.
@@ -472,17 +472,17 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, keep: list[str] | None
     blocks = max(16, -(-int(size or 0) // block_bytes))
     dealt = rows.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int"))
     slim = dealt.select("block", F.col("doc_id").cast("long").alias("doc_id"), "key", "data")
-    grams = slim.groupBy("block").applyInArrow(_block_grams(length), "gram long, block int, c int")
+    grams = slim.groupBy("block").applyInArrow(tidy(_block_grams(length)), "gram long, block int, c int")
     repeated = grams.withColumn("n", F.sum("c").over(W.partitionBy("gram"))).where("n > 1").select("block", "gram", "n")
     again = written(repeated.mapInArrow(_by_block, "block int, grams binary"))
     several = again.agg(F.coalesce(F.sum(F.octet_length("grams")), F.lit(0))).first()[0] // 16
     buckets = max(4, -(-int(several) // bucket_windows))
-    found = slim.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_windows(length, hot, shards), "anchor long, context binary, shard int, least long, most long, block int, places binary")
+    found = slim.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(tidy(_windows(length, hot, shards)), "anchor long, context binary, shard int, least long, most long, block int, places binary")
     windows = written(found)
     dropped(again)
     parts = windows.select(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("int").alias("bucket"), "shard", "anchor", "context", "least", "most")
-    transforms = written(parts.groupBy("bucket", "shard").applyInArrow(_shard_transform, TRANSFORMS))
-    repeats = written(transforms.groupBy("bucket").applyInArrow(_merged(depth), "anchor long, context_key long, at long, n long, first long"))
+    transforms = written(parts.groupBy("bucket", "shard").applyInArrow(tidy(_shard_transform), TRANSFORMS))
+    repeats = written(transforms.groupBy("bucket").applyInArrow(tidy(_merged(depth)), "anchor long, context_key long, at long, n long, first long"))
     dropped(transforms)
     held = windows.select("anchor", F.xxhash64("context").alias("context_key"), "block", "places")
     hits = held.join(repeats, ["anchor", "context_key"]).select("block", "at", "n", "first", "places")
@@ -490,4 +490,4 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, keep: list[str] | None
     dropped(windows, repeats)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("data", "key"))
     schema = f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return dealt.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut(with_text, length), schema)
+    return dealt.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(tidy(_cut(with_text, length)), schema)
