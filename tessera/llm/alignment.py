@@ -202,7 +202,7 @@ def grouped(units: DataFrame) -> DataFrame:
     return units.select(F.transform(runs, texts).alias("texts"), F.transform(runs, lambda k: F.flatten(_between("group_links", "at_run", k))).alias("links"), F.transform(runs, of_run).alias("sizes"), "docs")
 
 
-def align(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", unit: int = 1 << 20, hot_pairs: int = 500_000, ranks: str = "byte_bpe_50k.tiktoken", pieces: str = "piece_bpe_32k.model") -> DataFrame:
+def align(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", unit: int = 1 << 17, hot_pairs: int = 500_000, ranks: str = "byte_bpe_50k.tiktoken", pieces: str = "piece_bpe_32k.model") -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each row's whole text.
 
     A encodes a space and the text, special strings as plain text; B encodes the text and adds the space.  Byte offsets at
