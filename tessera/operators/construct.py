@@ -15,6 +15,7 @@ from tessera.functions import kernels
 from tessera.functions.geodesy import EARTH
 from tessera.functions.shapes import GEOM, POINTS, bounds, box, geometry, vertices
 from tessera.functions.values import missing
+from tessera.operators.overlay import feature, overlay
 
 METRES = {"meters": 1.0, "kilometers": 1000.0, "miles": 1609.344, "feet": 0.3048, "yards": 0.9144, "degrees": math.pi / 180 * EARTH}
 MAX_GRID = 2_000_000
@@ -143,49 +144,25 @@ def dissolve(df: DataFrame, by: str | None = None, *, geom: str = "geom", salts:
     return parts.groupBy("key").applyInArrow(unite, f"key string, geom {GEOM}")
 
 
-def _one(df: DataFrame, geom: str) -> DataFrame:
-    return dissolve(df, geom=geom).select("geom")
-
-
-def _combined(a: DataFrame, b: DataFrame, rule: Callable, geom: str) -> DataFrame:
-    left, right = _one(a, geom).withColumnRenamed("geom", "a"), _one(b, geom).withColumnRenamed("geom", "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            out = [rule(p, q) for p, q in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([g for g in out if g], t.schema.field("a").type)], names=["geom"])
-
-    # One row on either side: the two united layers.
-    return left.join(F.broadcast(right), F.lit(True), "left").mapInArrow(run, f"geom {GEOM}")
-
-
 def intersect(a: DataFrame, b: DataFrame, geom: str = "geom") -> DataFrame:
-    """What both united layers cover: at most one polygon, without attributes; ``clip`` is the same."""
-
-    def rule(p: dict, q: dict | None) -> dict | None:
-        parts = kernels.intersection(kernels.rings_of(p), kernels.rings_of(q)) if q else []
-        return kernels.geom_of("Polygon", parts) if parts else None
+    """What both layers cover: at most one feature, without attributes; ``clip`` is the same.
 
-    return _combined(a, b, rule, geom)
+    ``overlay`` gives the same as one row a polygon, for results that do not fit into one value.
+    """
+    return feature(overlay(a, b, "intersection", geom)).withColumnRenamed("geom", geom)
 
 
 clip = intersect
 
 
 def difference(a: DataFrame, b: DataFrame, geom: str = "geom") -> DataFrame:
-    """What the first united layer covers and the second does not; an empty second layer takes nothing."""
-
-    def rule(p: dict, q: dict | None) -> dict | None:
-        if not q:
-            return p
-        parts = kernels.difference(kernels.rings_of(p), kernels.rings_of(q))
-        return kernels.geom_of("Polygon", parts) if parts else None
-
-    return _combined(a, b, rule, geom)
+    """What the first layer covers and the second does not; an empty second layer takes nothing."""
+    return feature(overlay(a, b, "difference", geom)).withColumnRenamed("geom", geom)
 
 
 def union(a: DataFrame, b: DataFrame, geom: str = "geom") -> DataFrame:
-    return _one(a.select(geom).unionAll(b.select(geom)), geom)
+    """What either layer covers: at most one feature."""
+    return feature(overlay(a, b, "union", geom)).withColumnRenamed("geom", geom)
 
 
 def regular_grid(spark, bbox: tuple[float, float, float, float], cell: float, unit: str = "kilometers") -> DataFrame:

@@ -606,11 +606,6 @@ def point_wkt(spark, sf):
     return rows.select("id", F.concat(F.lit("POINT ("), F.col("lon").cast("string"), F.lit(" "), F.col("lat").cast("string"), F.lit(")")).alias("wkt"))
 
 
-def _square(spark: SparkSession, *squares: tuple[str, float, float, float]) -> DataFrame:
-    rows = spark.createDataFrame([(n, float(x), float(y), float(s)) for n, x, y, s in squares], "name string, x double, y double, s double")
-    return rows.select("name", shapes.box(F.col("x"), F.col("y"), F.col("x") + F.col("s"), F.col("y") + F.col("s")).alias("geom"))
-
-
 def _extent(df: DataFrame, *keys: str) -> DataFrame:
     """Bounds and plane area, rounded."""
     b = shapes.bounds(F.col("geom"))
@@ -619,19 +614,36 @@ def _extent(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, *[F.round(b[k], 6).alias(k) for k in ("xmin", "ymin", "xmax", "ymax")], F.round(area, 6).alias("area"))
 
 
-@query("select 5.0::double as xmin, 5.0::double as ymin, 10.0::double as xmax, 10.0::double as ymax, 25.0::double as area")
+def _covered(rule: str) -> str:
+    """Bounds and area where ``rule`` holds of ``a`` (boxes) and ``b`` (diamonds): all their corners lie on a lattice of quarter
+    degrees, whose cells they cut along diagonals only, so a cell's four triangles (t) lie in or out of each as a whole."""
+    spot = "((i + case t when 0 then 1/6.0::double when 1 then 5/6.0::double else 0.5::double end)/4)", "((j + case t when 2 then 1/6.0::double when 3 then 5/6.0::double else 0.5::double end)/4)"
+    return f"""with ts as (select unnest([0, 1, 2, 3]) as t),
+a as (select distinct i, j, t from (select i, unnest(range((south*4)::bigint, (north*4)::bigint)) as j from (select south, north, unnest(range((west*4)::bigint, (east*4)::bigint)) as i from {CBOX})), ts),
+l as (select x, y, r, i, unnest(range(floor((y-r)*4)::bigint, ceil((y+r)*4)::bigint)) as j from (select x, y, r, unnest(range(floor((x-r)*4)::bigint, ceil((x+r)*4)::bigint)) as i from {LOZENGE})),
+b as (select distinct i, j, t from l, ts where abs({spot[0]} - x) + abs({spot[1]} - y) <= r),
+c as (select * from a {rule} select * from b)
+select min((i + case when t = 1 then 0.5::double else 0 end)/4) as xmin, min((j + case when t = 3 then 0.5::double else 0 end)/4) as ymin, max((i + case when t = 0 then 0.5::double else 1 end)/4) as xmax, max((j + case when t = 2 then 0.5::double else 1 end)/4) as ymax, count(*)/64.0::double as area from c"""
+
+
+def _sum_extent(df: DataFrame) -> DataFrame:
+    """Bounds and area of all polygons, holes taken off."""
+    return _extent(df).agg(*[f(k).alias(k) for k, f in (("xmin", F.min), ("ymin", F.min), ("xmax", F.max), ("ymax", F.max))], F.sum("area").alias("area"))
+
+
+@query(_covered("intersect"))
 def clip(spark, sf):
-    return _extent(construct.clip(_square(spark, ("a", 0, 0, 10)), _square(spark, ("b", 5, 5, 10))))
+    return _extent(construct.clip(customer_boxes(spark, sf), supplier_diamonds(spark, sf)))
 
 
-@query("select 0.0::double as xmin, 0.0::double as ymin, 10.0::double as xmax, 10.0::double as ymax, 75.0::double as area")
+@query(_covered("except"))
 def difference(spark, sf):
-    return _extent(construct.difference(_square(spark, ("a", 0, 0, 10)), _square(spark, ("b", 5, 5, 10))))
+    return _sum_extent(construct.overlay(customer_boxes(spark, sf), supplier_diamonds(spark, sf), "difference"))
 
 
-@query("select 0.0::double as xmin, 0.0::double as ymin, 15.0::double as xmax, 15.0::double as ymax, 175.0::double as area")
+@query(_covered("union"))
 def union(spark, sf):
-    return _extent(construct.union(_square(spark, ("a", 0, 0, 10)), _square(spark, ("b", 5, 5, 10))))
+    return _sum_extent(construct.overlay(customer_boxes(spark, sf), supplier_diamonds(spark, sf), "union"))
 
 
 @query(f"select region::varchar as key, min(west) as xmin, min(south) as ymin, max(east) as xmax, max(north) as ymax, count(*)*72*36::double as area from {BOX} group by 1")
