@@ -742,6 +742,25 @@ def cluster_bubbles(spark, sf):
     return out.select("tx", "ty", "n", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
+@query(f"select s_suppkey::double as id, s_name as name, 5 as vertices, x - r as xmin, y - r as ymin, x + r as xmax, y + r as ymax from {LOZENGE}, supplier where s_suppkey = id")
+def geoarrow_polygons(spark, sf):
+    """Diamonds through GeoArrow batches and back."""
+    from tessera.sources.geoarrow import decoded, record_batches
+
+    schema, batches, _ = record_batches(supplier_diamonds(spark, sf), geom="geom")
+    out, b = decoded(batches, schema), shapes.bounds(F.col("geom"))
+    return out.select("id", "name", F.size(shapes.vertices(F.col("geom"))).alias("vertices"), *[c.alias(k) for k, c in b.items()])
+
+
+@query(f"select id::double as id, lon, lat from {PTS}")
+def geoarrow_points(spark, sf):
+    from tessera.sources.geoarrow import decoded, record_batches
+
+    schema, batches, _ = record_batches(order_points(spark, sf), coords=("lon", "lat"), attrs=["id"])
+    at = shapes.vertices(F.col("geom"))[0]
+    return decoded(batches, schema).select("id", at["x"].alias("lon"), at["y"].alias("lat"))
+
+
 @query("select max(o_totalprice) as max_flow from orders")
 def max_flow(spark, sf):
     from tessera.functions.view import max_flow as top
