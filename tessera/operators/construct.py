@@ -131,9 +131,12 @@ def _unite(geoms: list[dict | None]) -> dict | None:
 def dissolve(df: DataFrame, by: str | None = None, *, geom: str = "geom", salts: int = 32) -> DataFrame:
     """One polygon for each value of ``by`` (missing ones under a key of their own), or one for all.
 
-    A group is united in salted parts first, so that a large group's work is spread; the few results are united after.
+    A group is united in salted parts first, so that a large group's work is spread; the few results are united after.  A whole
+    layer is an overlay of its own.
     """
-    key = F.when(~missing(F.col(by)), F.col(by).cast("string")).otherwise("<none>") if by else F.lit("all")
+    if not by:
+        return feature(overlay(df, df.limit(0), "union", geom)).select(F.lit("all").alias("key"), "geom")
+    key = F.when(~missing(F.col(by)), F.col(by).cast("string")).otherwise("<none>")
 
     def unite(group: pa.Table) -> pa.Table:
         g = _unite(group["geom"].to_pylist())

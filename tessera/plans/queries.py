@@ -659,20 +659,33 @@ def convex_hull(spark, sf):
     return out.select(F.lit(1).alias("hulls"), b["xmin"].alias("xmin"), b["xmax"].alias("xmax"), b["ymin"].alias("ymin"), b["ymax"].alias("ymax"))
 
 
-@query(f"select id, 65 as vertices from {CUST}")
+@query(f"select id, 65 as vertices, 25.0::double as nearest, 25.0::double as farthest from {CUST}")
 def buffer_points(spark, sf):
+    """Circles whose every vertex is 25 km away, also around a pole."""
     rows = construct.buffer_points(customer_points(spark, sf), 25.0)
-    return rows.select("id", F.size(shapes.vertices(F.col("geom"))).alias("vertices"))
+    away = F.transform(shapes.vertices(F.col("geom")), lambda p: geodesy.haversine(F.col("lon"), F.col("lat"), p["x"], p["y"]) / 1000)
+    return rows.select("id", F.size(away).alias("vertices"), F.round(F.array_min(away), 6).alias("nearest"), F.round(F.array_max(away), 6).alias("farthest"))
 
 
-@query(f"select id, 5 as vertices, west, east from {BOX}")
+def _dented(df: DataFrame) -> DataFrame:
+    """Boxes with a vertex amid each side, moved out by a hundredth (even ids) or a fifth (odd ids) of a degree."""
+    b, d = shapes.bounds(F.col("geom")), F.when(F.col("id") % 2 == 0, 0.01).otherwise(0.2)
+    w, s, e, n = (b[k] for k in ("xmin", "ymin", "xmax", "ymax"))
+    x, y = (w + e) / 2, (s + n) / 2
+    return df.withColumn("geom", shapes.geometry("Polygon", shapes.points((w, s), (x, s - d), (e, s), (e + d, y), (e, n), (x, n + d), (w, n), (w - d, y), (w, s))))
+
+
+@query(f"select id, case when id % 2 = 0 then 5 else 9 end as vertices, round((east-west)*(north-south) + case when id % 2 = 0 then 0 else 0.2::double*(east-west + north-south) end, 6) as area from {CBOX}")
 def simplify(spark, sf):
-    return construct.simplify(nation_boxes(spark, sf), 0.5).select("id", F.size(shapes.vertices(F.col("geom"))).alias("vertices"), shapes.bounds(F.col("geom"))["xmin"].alias("west"), shapes.bounds(F.col("geom"))["xmax"].alias("east"))
+    """Dents below the tolerance go, those above it stay."""
+    out = _extent(construct.simplify(_dented(customer_boxes(spark, sf)), 0.02).withColumn("vertices", F.size(shapes.vertices(F.col("geom")))), "id", "vertices")
+    return out.select("id", "vertices", "area")
 
 
-@query(f"select id, 17 as vertices from {BOX}")
+@query(f"select id, 17 as vertices, west as xmin, south as ymin, east as xmax, north as ymax, round(0.84375::double*(east-west)*(north-south), 6) as area from {CBOX}")
 def smooth(spark, sf):
-    return construct.smooth(nation_boxes(spark, sf), 2).select("id", F.size(shapes.vertices(F.col("geom"))).alias("vertices"))
+    """Twice cut corners take 1/8 and then 1/32 of a box."""
+    return _extent(construct.smooth(customer_boxes(spark, sf), 2).withColumn("vertices", F.size(shapes.vertices(F.col("geom")))), "id", "vertices")
 
 
 @query()
