@@ -46,28 +46,34 @@ def family(geom: Column) -> Column:
     return F.when(k == "Point", "point").when(k == "LineString", "line").when(k == "Polygon", "polygon")
 
 
-def _segments(pts: Column, n: Column) -> tuple[Column, Column]:
-    return F.slice(pts, 1, n), F.slice(pts, 2, n)
+#: What an edge under a point adds to its count of crossings; even, so that the crossings' parity stays.
+ON_EDGE = 1 << 40
 
 
-def _crossings(x: Column, y: Column, pts: Column) -> Column:
-    a, b = _segments(pts, F.greatest(F.size(pts) - 1, F.lit(0)))
-    hit = F.zip_with(a, b, lambda p, q: F.when(((p["y"] > y) != (q["y"] > y)) & (x < (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"]) + p["x"]), 1).otherwise(0))
-    return F.aggregate(hit, F.lit(0), lambda s, h: s + h)
+def _met(x: Column, y: Column, p: Column, q: Column) -> Column:
+    """What an edge means to a point: ``ON_EDGE``, 1 where a ray to the right crosses it, else 0.
 
+    One comparison with the line a x - b y = c tells left, right and on it, so that no point is neither.
+    """
+    a, b = q["y"] - p["y"], q["x"] - p["x"]
+    at, c = a * x - b * y, a * p["x"] - b * p["y"]
+    low, high = F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])
+    level = y.between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"])) & (x <= high)
+    corner = ((x == p["x"]) & (y == p["y"])) | ((x == q["x"]) & (y == q["y"]))
+    on = corner | ((at == c) & (x >= low))
+    left = (x < low) | ((x < high) & F.when(a > 0, at < c).otherwise(at > c))
+    return F.when(~level, F.lit(0).cast("long")).when(on, F.lit(ON_EDGE)).when(((p["y"] > y) != (q["y"] > y)) & left, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
 
-def _on_edge(x: Column, y: Column, pts: Column) -> Column:
-    a, b = _segments(pts, F.greatest(F.size(pts) - 1, F.lit(0)))
-    on = F.zip_with(a, b, lambda p, q: ((q["x"] - p["x"]) * (y - p["y"]) - (q["y"] - p["y"]) * (x - p["x"]) == 0) & x.between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & y.between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"])))
-    return F.exists(on, lambda t: t)
+
+def _ring_met(x: Column, y: Column, pts: Column) -> Column:
+    n = F.greatest(F.size(pts) - 1, F.lit(0))
+    return F.aggregate(F.zip_with(F.slice(pts, 1, n), F.slice(pts, 2, n), lambda p, q: _met(x, y, p, q)), F.lit(0).cast("long"), lambda s, m: s + m)
 
 
 def contains_point(geom: Column, x: Column, y: Column, *, boundary: bool) -> Column:
     """Is the point in the polygon (even-odd over all rings)?  Points on an edge count as ``boundary`` says."""
-    n = F.aggregate(F.transform(geom["parts"], lambda p: _crossings(x, y, p["pts"])), F.lit(0), lambda s, c: s + c)
-    edge = F.exists(F.transform(geom["parts"], lambda p: _on_edge(x, y, p["pts"])), lambda t: t)
-    inside = n % 2 == 1
-    return (inside | edge) if boundary else (inside & ~edge)
+    end = (lambda n: (n >= ON_EDGE) | (n % 2 == 1)) if boundary else (lambda n: (n < ON_EDGE) & (n % 2 == 1))
+    return F.aggregate(F.transform(geom["parts"], lambda p: _ring_met(x, y, p["pts"])), F.lit(0).cast("long"), lambda s, m: s + m, end)
 
 
 def explode_parts(df, geom: str = "geom"):

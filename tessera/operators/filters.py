@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.functions.geodesy import arc_distance
-from tessera.functions.shapes import GEOM, contains_point
+from tessera.functions.shapes import GEOM, bounds, contains_point
 from tessera.functions.values import kind_of, literal_number, missing, number_of, text_of
 
 
@@ -79,7 +79,9 @@ def within_distance(lon0: float, lat0: float, metres: float, lon: str = "lon", l
 
 
 def in_fence(fence: Column, *, boundary: bool, lon: str = "lon", lat: str = "lat") -> Column:
-    return contains_point(fence, F.col(lon), F.col(lat), boundary=boundary)
+    b = bounds(fence)  # of a literal fence: literals, which most rows are compared with only
+    near = F.col(lon).between(b["xmin"], b["xmax"]) & F.col(lat).between(b["ymin"], b["ymax"])
+    return near & contains_point(fence, F.col(lon), F.col(lat), boundary=boundary)
 
 
 def fence_of_layer(df: DataFrame, *, order: str, geom: str = "geom") -> Column:
@@ -102,17 +104,19 @@ class Filtered:
     seen: Observation
     limit: int | None = None
 
-    def report(self, *, count_only: bool = False) -> dict:
+    def report(self, *, count_only: bool = False, whole: bool = False) -> dict:
         """sourceCount, resultCount, displayedCount and scope; with ``count_only`` this runs the one pass itself.
 
         Scope: full_table if nothing is shown, because only counts are asked for or the result is too large; filtered if
-        all rows are shown; else sample_display.
+        all rows are shown; else sample_display.  ``whole``: the caller takes all rows, however many, so all count as shown.
         """
         if count_only:
             self.df.select(F.lit(1)).write.format("noop").mode("overwrite").save()
         n = self.seen.get
         source, result = n["sourceCount"], n["resultCount"]
-        if count_only or result > MOST_ROWS:
+        if whole and not count_only:
+            shown, scope = result, "filtered"
+        elif count_only or result > MOST_ROWS:
             shown, scope = 0, "full_table"
         else:
             shown = min(result, self.limit if self.limit is not None else result if result <= SHOWN_ROWS else SHOWN_ROWS)
