@@ -51,11 +51,14 @@ def culls(view: Box, layer: Box | None, zoom: float) -> bool:
     return box_area(layer) > 0 and box_area(view) / box_area(layer) < CULL_BELOW
 
 
-def viewport_rows(df: DataFrame, view: Box, zoom: float, *, key: str, lon: str = "lon", lat: str = "lat", seed: int = 42) -> DataFrame:
-    """Coordinates of the rows in the padded view, thinned to the zoom's sample by seeded hash: a filter before a limit."""
+def viewport_rows(df: DataFrame, view: Box, zoom: float, *, key: str, lon: str = "lon", lat: str = "lat", seed: int = 42, thin: bool = True) -> DataFrame:
+    """Coordinates of the rows in the padded view, thinned to the zoom's sample by seeded hash: a filter before a limit.
+
+    Without ``thin`` all rows in the view.
+    """
     w, s, e, n = padded(view)
     seen = df.where(F.col(lon).between(w, e) & F.col(lat).between(s, n)).select(key, lon, lat)
-    size = sample_size(zoom, 1 << 62)
+    size = sample_size(zoom, 1 << 62) if thin else 1 << 62
     return seen if size == 1 << 62 else seen.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(size)
 
 
