@@ -115,7 +115,7 @@ def average_nearest_neighbor(points: DataFrame) -> DataFrame:
     in the extent's great-circle width times height."""
     west, south, east, north = bounds_of(points).first()
     area = great_circle(west, (south + north) / 2, east, (south + north) / 2) * great_circle((west + east) / 2, south, (west + east) / 2, north)
-    found = nearest(points, points, 1, skip=F.col("i") == F.col("j"))
+    found = nearest(points, points, 1, skip=F.col("i") == F.col("j"), spare=1)
     expected = 0.5 * F.sqrt(area / F.count(F.lit(1)))
     return found.agg(F.avg("d").alias("observed"), expected.alias("expected"), (F.avg("d") / expected).alias("ratio"), F.count(F.lit(1)).alias("n"), F.lit(area).alias("area"))
 
@@ -132,8 +132,11 @@ def _standardised(df: DataFrame, field: str, key: str) -> tuple[DataFrame, int,
 
 
 def _lags(rows: DataFrame, edges: DataFrame, value: str) -> DataFrame:
-    """Sums of the neighbours' values and the number of neighbours, for rows with neighbours."""
-    return edges.join(rows.select(F.col("id").alias("j"), F.col(value).alias("v")), "j").groupBy("i").agg(F.sum("v").alias("lag"), F.count(F.lit(1)).alias("degree")).withColumnRenamed("i", "id")
+    """Sums of the neighbours' values and the number of neighbours, for rows with neighbours.
+
+    Told to merge, as file sizes would have Spark broadcast a layer of millions of rows.
+    """
+    return edges.join(rows.select(F.col("id").alias("j"), F.col(value).alias("v")).hint("merge"), "j").groupBy("i").agg(F.sum("v").alias("lag"), F.count(F.lit(1)).alias("degree")).withColumnRenamed("i", "id")
 
 
 def moran_i(df: DataFrame, field: str, edges: DataFrame, *, key: str = "id", textbook: bool = False) -> DataFrame:
@@ -143,7 +146,7 @@ def moran_i(df: DataFrame, field: str, edges: DataFrame, *, key: str = "id", tex
     the normal distribution, both sides; ``permutation.moran_p`` has the other.
     """
     rows, n, _, s2 = _standardised(df, field, key)
-    lagged = rows.join(_lags(rows, edges, "z"), "id")
+    lagged = rows.join(_lags(rows, edges, "z").hint("merge"), "id")
     s0, cross, s22 = (F.sum("degree").cast("double"), F.sum(F.col("z") * F.col("lag")), F.sum(F.pow(2.0 * F.col("degree"), 2)))
     sums = lagged.agg(s0.alias("s0"), cross.alias("cross"), s22.alias("s22"))
     e = -1 / (n - 1)
@@ -175,7 +178,7 @@ def getis_ord(df: DataFrame, field: str, edges: DataFrame, *, key: str = "id", a
     if n < 4:
         raise ValueError("at least four features are needed")
     s = math.sqrt(s2 / n)
-    lagged = rows.join(_lags(rows, edges, "x"), "id", "left")
+    lagged = rows.join(_lags(rows, edges, "x").hint("merge"), "id", "left")
     w = F.coalesce("degree", F.lit(0)) + 1
     wx = F.coalesce("lag", F.lit(0.0)) + F.col("x")
     spread = s * F.sqrt(F.greatest(F.lit(0.0), (n * w - w * w) / (n - 1)))
@@ -189,7 +192,7 @@ def getis_ord(df: DataFrame, field: str, edges: DataFrame, *, key: str = "id", a
 def local_moran(df: DataFrame, field: str, edges: DataFrame, *, key: str = "id") -> DataFrame:
     """(id, x, z, lag, degree, lisa_i): the parts of local Moran's I that need no permutation."""
     rows, n, _, s2 = _standardised(df, field, key)
-    out = rows.join(_lags(rows, edges, "z"), "id", "left").fillna(0, ["lag", "degree"])
+    out = rows.join(_lags(rows, edges, "z").hint("merge"), "id", "left").fillna(0, ["lag", "degree"])
     return out.withColumn("lisa_i", F.col("z") / (s2 / n) * F.col("lag"))
 
 
