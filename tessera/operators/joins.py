@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.geodesy import EARTH, haversine
+from tessera.functions.pairs import relate_pairs
 from tessera.functions.shapes import bounds, contains_point
 from tessera.functions.values import kind_of, missing, text_of
-from tessera.operators.partition import overlapping
+from tessera.operators.edits import with_row_ids
+from tessera.operators.partition import MADE_ROWS, overlapping
 from tessera.storage import written
 
 RELATIONS = ("intersects", "contains", "within")
@@ -80,26 +82,49 @@ def related(left: DataFrame, right: DataFrame, relation: str, *, key: str = "id"
     """Keys (i, j) of geometries of any kinds where the left one intersects, contains or is within the right one.
 
     Touching intersects; containing needs interiors that meet, so that a point on an edge is not contained.  Null
-    geometries are related to none.  Bounds decide first, on Spark's side; the exact test runs over batches of pairs.
+    geometries are related to none.  Bounds decide first; the exact test runs where they met, over many pairs at once.
     """
     if relation not in RELATIONS:
         raise ValueError(f"a relation is one of {', '.join(RELATIONS)}")
     a = with_bounds(left.select(F.col(key).alias("k"), F.col(geom).alias("g")), "g")
     b = with_bounds(right.select(F.col(other_key).alias("k"), F.col(geom).alias("g")), "g")
-    pairs = candidates(a, b)
-    inner, outer = {"contains": ("r", "l"), "within": ("l", "r")}.get(relation, (None, None))
-    if inner:
-        pairs = pairs.where(reduce(Column.__and__, [F.col(f"{inner}.{c}min") >= F.col(f"{outer}.{c}min") - 1e-9 for c in "xy"] + [F.col(f"{inner}.{c}max") <= F.col(f"{outer}.{c}max") + 1e-9 for c in "xy"]))
-    pairs = pairs.select(F.col("l.k").alias("i"), F.col("r.k").alias("j"), F.col("l.g").alias("a"), F.col("r.g").alias("b"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tessera.functions.kernels import relate
+    def pairs(p: pa.Table, q: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.Table:
+        hit = relate_pairs(p["g"], q["g"], i, j, relation)
+        return pa.table({"i": p["k"].take(pa.array(i[hit])), "j": q["k"].take(pa.array(j[hit]))})
+
+    return overlapping(a, b, leaf_rows=MADE_ROWS, make=pairs, made=f"i {dict(a.dtypes)['k']}, j {dict(b.dtypes)['k']}")
 
-        for t in batches:
-            hit = [relate(p, q, relation) for p, q in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)]
-            yield t.select(["i", "j"]).filter(pa.array(hit, pa.bool_()))
 
-    return pairs.mapInArrow(run, pairs.select("i", "j").schema)
+def _shapes_joined(target: DataFrame, other: DataFrame, relation: str, *, name: Column, order: Column, geom: str) -> DataFrame:
+    """(g, n, name) of each different geometry of ``target`` that is related to some row of ``other``: how many rows, and the
+    name of the first by ``order`` that has one.
+
+    Equal geometries of a side are one, with their number, so copies are not compared again.  Those of ``other`` are numbered
+    by their first name's order, so that a task gives one row a geometry: a sum and the least number, not its pairs.
+    """
+    if relation not in RELATIONS:
+        raise ValueError(f"a relation is one of {', '.join(RELATIONS)}")
+    mine = written(target.where(F.col(geom).isNotNull()).select(F.col(geom).alias("g")).distinct().withColumn("k", F.monotonically_increasing_id()))
+    first = F.when(name.isNotNull(), order)
+    theirs = other.where(F.col(geom).isNotNull()).select(F.col(geom).alias("g"), name.alias("name"), first.alias("order"))
+    theirs = theirs.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min_by("name", "order").alias("name"), F.min("order").alias("order"))
+    theirs = written(with_row_ids(theirs, ["order"], "k"))
+    weighed = with_bounds(theirs.select("k", "g", "n", F.when(F.col("name").isNotNull(), F.col("k")).alias("best")), "g")
+
+    def summed(p: pa.Table, q: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.Table:
+        hit = relate_pairs(p["g"], q["g"], i, j, relation)
+        i, j, none = i[hit], j[hit], np.iinfo(np.int64).max
+        n, best = np.zeros(len(p), np.int64), np.full(len(p), none)
+        np.add.at(n, i, np.asarray(q["n"])[j])
+        np.minimum.at(best, i, np.asarray(q["best"].fill_null(none))[j])
+        some = np.flatnonzero(n)
+        return pa.table({"i": p["k"].take(pa.array(some)), "n": n[some], "best": pa.array(best[some], mask=best[some] == none)})
+
+    found = overlapping(with_bounds(mine, "g"), weighed, leaf_rows=MADE_ROWS, make=summed, made="i long, n long, best long")
+    found = found.groupBy(F.col("i").alias("k")).agg(F.sum("n").alias("n"), F.min("best").alias("best"))
+    names = theirs.select(F.col("k").alias("best"), "name").hint("merge")
+    return mine.join(found.hint("merge"), "k").join(names, "best", "left").select("g", "n", "name")
 
 
 def spatial_join(target: DataFrame, other: DataFrame, relation: str, *, key: str, other_key: str, name: str, order: str, geom: str = "geom") -> DataFrame:
@@ -107,16 +132,15 @@ def spatial_join(target: DataFrame, other: DataFrame, relation: str, *, key: str
 
     ``key`` and ``other_key`` are unique.
     """
-    named = other.select(F.col(other_key).alias("j"), F.col(name).alias("__name"), F.col(order).alias("__order"))
-    pairs = related(target, other, relation, key=key, other_key=other_key, geom=geom)
-    found = pairs.join(named, "j").select(F.col("i").alias(key), "__name", "__order")
-    return _counted(target.where(F.col(geom).isNotNull()), found, key)
+    found = _shapes_joined(target, other, relation, name=F.col(name), order=F.col(order), geom=geom)
+    found = found.select(F.col("g").alias(geom), F.col("n").alias("_joinCount"), F.col("name").alias("_joinName"))
+    return target.where(F.col(geom).isNotNull()).join(found.hint("merge"), geom, "left").select(*target.columns, F.coalesce("_joinCount", F.lit(0)).cast("long").alias("_joinCount"), "_joinName")
 
 
 def select_related(target: DataFrame, other: DataFrame, relation: str, *, key: str, other_key: str, geom: str = "geom") -> DataFrame:
     """The rows of ``target`` that are related to some row of ``other``."""
-    pairs = related(target, other, relation, key=key, other_key=other_key, geom=geom)
-    return target.join(pairs.select(F.col("i").alias(key)).distinct(), key, "left_semi")
+    found = _shapes_joined(target, other, relation, name=F.lit(None).cast("string"), order=F.lit(0), geom=geom)
+    return target.join(found.select(F.col("g").alias(geom)).hint("merge"), geom, "left_semi")
 
 
 def select_by_geometry(df: DataFrame, relation: str, shape: dict, *, geom: str = "geom") -> DataFrame:

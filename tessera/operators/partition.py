@@ -8,17 +8,20 @@ tasks, so that no task holds more than a few times the rows of a leaf.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.storage import written
 
 BOUNDS = ("xmin", "ymin", "xmax", "ymax")
 LEAF_ROWS, SAMPLE, SMALL = 16_384, 100_000, 20_000
+#: Rows of a leaf whose task does more with its pairs than to name them.
+MADE_ROWS = 2048
 
 
 class SplitTable:
@@ -131,17 +134,21 @@ def _beside(one: DataFrame, few: pa.Table, few_is_left: bool, schema: str) -> Da
     return one.mapInArrow(run, schema)
 
 
-def overlapping(left: DataFrame, right: DataFrame, *, leaf_rows: int = LEAF_ROWS, sample: int = SAMPLE, small: int = SMALL) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, *, leaf_rows: int = LEAF_ROWS, sample: int = SAMPLE, small: int = SMALL, make: Callable[[pa.Table, pa.Table, np.ndarray, np.ndarray], pa.Table] | None = None, made: str = "") -> DataFrame:
     """Keys (i, j) of the rows of ``left`` and ``right`` (k, xmin, ymin, xmax, ymax) whose bounds share a point, each pair once.
 
     Rows with a null bound meet nothing; equal rows meet each.  A side of at most ``small`` rows goes to all tasks of the
     other; else both are dealt to leaves.  What the driver holds is bounded by ``small``, or by ``sample`` and the leaves.
+
+    ``make``, with its schema ``made``, replaces the pairs of a task by what it makes of them: it is given the task's rows of
+    both sides, whose other columns go along, and the numbers of the rows that meet.  Sides are then always dealt to leaves.
     """
     known = " and ".join(f"{c} is not null" for c in BOUNDS)
-    left, right = (d.select("k", *[F.col(c).cast("double") for c in BOUNDS]).where(known) for d in (left, right))
+    more = [[c for c in d.columns if make and c not in ("k", *BOUNDS)] for d in (left, right)]
+    left, right = (d.select("k", *[F.col(c).cast("double") for c in BOUNDS], *m).where(known) for d, m in zip((left, right), more, strict=True))
     kinds = [d.schema["k"].dataType.simpleString() for d in (left, right)]
     schema = f"i {kinds[0]}, j {kinds[1]}"
-    for few, other, is_left in ((right, left, False), (left, right, True)):
+    for few, other, is_left in () if make else ((right, left, False), (left, right, True)):
         head = few.limit(small + 1).toArrow()
         if len(head) <= small:
             return _beside(other, head, is_left, schema)
@@ -178,11 +185,17 @@ def overlapping(left: DataFrame, right: DataFrame, *, leaf_rows: int = LEAF_ROWS
         return run
 
     def compared(p: pa.Table, q: pa.Table) -> pa.Table:
-        if not len(p) or not len(q):
-            return pa.table({"i": p["k"].slice(0, 0), "j": q["k"].slice(0, 0)})
-        i, j = local_pairs(_matrix(p), _matrix(q), shared.value.lower[p["task"][0].as_py() >> 32])
+        i = j = np.zeros(0, np.int64)
+        if len(p) and len(q):
+            i, j = local_pairs(_matrix(p), _matrix(q), shared.value.lower[p["task"][0].as_py() >> 32])
+        if make:
+            return make(p, q, i, j)
         return pa.table({"i": p["k"].take(pa.array(i)), "j": q["k"].take(pa.array(j))})
 
-    tasks = [d.mapInArrow(dealt(n), f"task long, k {kinds[n]}, xmin double, ymin double, xmax double, ymax double").groupBy("task") for n, d in enumerate((left, right))]
-    return tasks[0].cogroup(tasks[1]).applyInArrow(compared, schema)
+    tasks = [d.mapInArrow(dealt(n), T.StructType([T.StructField("task", T.LongType()), *d.schema.fields])) for n, d in enumerate((left, right))]
+    if make:  # small rows with much work: as many partitions as said, not as few as their bytes need
+        spark = left.sparkSession
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        tasks = [t.repartition(parts, "task") for t in tasks]
+    return tasks[0].groupBy("task").cogroup(tasks[1].groupBy("task")).applyInArrow(compared, made if make else schema)
 
