@@ -16,6 +16,7 @@ from tessera.functions.geodesy import EARTH
 from tessera.functions.shapes import GEOM, POINTS, bounds, box, geometry, vertices
 from tessera.functions.values import missing
 from tessera.operators.overlay import feature, overlay
+from tessera.storage import written
 
 METRES = {"meters": 1.0, "kilometers": 1000.0, "miles": 1609.344, "feet": 0.3048, "yards": 0.9144, "degrees": math.pi / 180 * EARTH}
 MAX_GRID = 2_000_000
@@ -201,17 +202,17 @@ def voronoi(points: DataFrame, bbox: tuple[float, float, float, float] | None =
     """(key, geom): the part of the box that is nearer to the point than to any other; equal places share a cell.
 
     A point's cell needs only the points within twice its farthest corner.  Points look at the squares around their own;
-    those whose cell could still be cut from beyond go on with squares twice as wide.
+    those whose cell could still be cut from beyond go on with squares twice as wide.  Equal places are one; each round is
+    written, so that its plan does not hold those before it, and looks only at squares that some cell still needs.
     """
     w, s, e, n = points.agg(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).first()
-    count = points.count()
-    if count < 3:
+    if points.limit(3).count() < 3:
         raise ValueError("at least three points are needed")
     w, s, e, n = bbox or (w - 0.1 * (e - w), s - 0.1 * (n - s), e + 0.1 * (e - w), n + 0.1 * (n - s))
     frame = np.array([(w, s), (e, s), (e, n), (w, n), (w, s)])
-    size, kind = max(math.sqrt((e - w) * (n - s) * 4 / count), 1e-9), points.schema[key].dataType.simpleString()
-    places = points.select("lon", "lat").distinct().toDF("lon", "lat")
-    todo, done = points.select(F.col(key).alias("key"), "lon", "lat"), None
+    places = written(points.select(F.col("lon").cast("double"), F.col("lat").cast("double")).distinct().withColumn("key", F.monotonically_increasing_id()))
+    size = max(math.sqrt((e - w) * (n - s) * 4 / max(1, places.count())), 1e-9)
+    todo, done = places, None
     while True:
         last = size >= max(e - w, n - s)
         spot = {"gx": F.floor(F.col("lon") / size).cast("long"), "gy": F.floor(F.col("lat") / size).cast("long")}
@@ -220,12 +221,13 @@ def voronoi(points: DataFrame, bbox: tuple[float, float, float, float] | None =
         near = places.select(F.col("lon").alias("x"), F.col("lat").alias("y"), *[c.alias(k) for k, c in spot.items()])
         for c in ("gx", "gy"):
             near = near.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
-        near = near.select("x", "y", F.col("gx").alias("hx"), F.col("gy").alias("hy"))
-        ready = mine.groupBy("gx", "gy").cogroup(near.groupBy("hx", "hy")).applyInArrow(_cells(frame, size, last), f"key {kind}, ring array<array<double>>").persist()
+        near = near.join(mine.select("gx", "gy").distinct().hint("merge"), ["gx", "gy"], "left_semi").select("x", "y", F.col("gx").alias("hx"), F.col("gy").alias("hy"))
+        ready = written(mine.groupBy("gx", "gy").cogroup(near.groupBy("hx", "hy")).applyInArrow(_cells(frame, size, last), "key long, ring array<array<double>>"))
         done = ready if done is None else done.unionAll(ready)
-        todo = todo.join(ready.select("key"), "key", "left_anti").persist()
+        todo = written(todo.join(ready.select("key").hint("merge"), "key", "left_anti"))
         if last or todo.isEmpty():
             break
         size *= 2
     pts = F.transform("ring", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).cast(POINTS)
-    return done.where(F.size("ring") > 0).select(F.col("key").alias(key), geometry("Polygon", pts).alias("geom"))
+    cells = places.join(done.where(F.size("ring") > 0).hint("merge"), "key").select("lon", "lat", geometry("Polygon", pts).alias("geom"))
+    return points.select(key, "lon", "lat").join(cells.hint("merge"), ["lon", "lat"]).select(key, "geom")
