@@ -8,14 +8,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import kernels
 from tessera.functions.geodesy import EARTH
 from tessera.functions.shapes import GEOM, POINTS, bounds, box, geometry, vertices
 from tessera.functions.values import missing
 from tessera.operators.overlay import feature, overlay
+from tessera.operators.partition import spread
 from tessera.storage import written
 
 METRES = {"meters": 1.0, "kilometers": 1000.0, "miles": 1609.344, "feet": 0.3048, "yards": 0.9144, "degrees": math.pi / 180 * EARTH}
@@ -34,23 +37,85 @@ def map_geometries(df: DataFrame, kernel: Callable[[dict], dict | None], geom: s
     return df.mapInArrow(run, df.schema)
 
 
-def circle(lon: Column, lat: Column, metres: float, steps: int = 64) -> Column:
-    """A closed ring at a great-circle distance around a point, counter-clockwise."""
-    d, la = metres / EARTH, F.radians(lat)
+def _rings(geoms: pa.Array) -> tuple[pa.StructArray, pa.ListArray, np.ndarray]:
+    """The rings of a batch's geometries in turn, their lists of points, and all points."""
+    rings = geoms.flatten()[1].flatten()
+    pts = rings.flatten()[2]
+    x, y = pts.flatten().flatten()
+    return rings, pts, np.stack([x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False)], axis=1)
 
-    def at(i: Column) -> Column:
-        turn = F.lit(-2 * math.pi) * (i % steps) / steps
-        y = F.asin(F.sin(la) * math.cos(d) + F.cos(la) * math.sin(d) * F.cos(turn))
-        x = F.radians(lon) + F.atan2(F.sin(turn) * math.sin(d) * F.cos(la), math.cos(d) - F.sin(la) * F.sin(y))
-        return F.struct(F.degrees(x).alias("x"), F.degrees(y).alias("y"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(steps)), at).cast(POINTS)
+def _sizes(lists: pa.ListArray) -> np.ndarray:
+    return lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
 
 
-def buffer_points(df: DataFrame, distance: float, unit: str = "kilometers", lon: str = "lon", lat: str = "lat") -> DataFrame:
+def _lists(sizes: np.ndarray, values: pa.Array, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), values).cast(kind)
+
+
+def _points(xy: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, 0])), pa.array(np.ascontiguousarray(xy[:, 1]))], names=["x", "y"])
+
+
+def circles(lon: np.ndarray, lat: np.ndarray, metres: float, steps: int = 64) -> np.ndarray:
+    """Closed rings at a great-circle distance around points, counter-clockwise: (point, vertex, x and y)."""
+    d, la = metres / EARTH, np.radians(lat)[:, None]
+    turn = -2 * math.pi * (np.arange(steps + 1) % steps) / steps
+    y = np.arcsin(np.sin(la) * math.cos(d) + np.cos(la) * math.sin(d) * np.cos(turn))
+    x = np.radians(lon)[:, None] + np.arctan2(np.sin(turn) * math.sin(d) * np.cos(la), math.cos(d) - np.sin(la) * np.sin(y))
+    return np.degrees(np.stack([x, y], axis=2))
+
+
+def buffer_points(df: DataFrame, distance: float, unit: str = "kilometers", lon: str = "lon", lat: str = "lat", steps: int = 64) -> DataFrame:
+    """``df`` with the circle around each point as ``geom``; a point without a longitude or latitude has null for its vertices."""
     if distance <= 0:
         raise ValueError("a buffer needs a distance above zero")
-    return df.withColumn("geom", geometry("Polygon", circle(F.col(lon), F.col(lat), distance * METRES[unit])))
+    rows = spread(df)
+    rows = rows.select(*[c for c in rows.columns if c != "geom"], F.col(lon).cast("double").alias("__lon"), F.col(lat).cast("double").alias("__lat"))
+    kept, metres = rows.columns[:-2], distance * METRES[unit]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 2048):
+                b = whole.slice(at, 2048)
+                n = len(b)
+                x, y = circles(b["__lon"].to_numpy(zero_copy_only=False), b["__lat"].to_numpy(zero_copy_only=False), metres, steps).reshape(-1, 2).T
+                none = {c: np.repeat(b[c].is_null().to_numpy(zero_copy_only=False), steps + 1) for c in ("__lon", "__lat")}
+                x = pa.array(np.ascontiguousarray(x), mask=none["__lon"] | none["__lat"])
+                y = pa.array(np.ascontiguousarray(y), mask=none["__lat"])
+                pts = _lists(np.full(n, steps + 1), pa.StructArray.from_arrays([x, y], names=["x", "y"]), pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+                zero = pa.array(np.zeros(n, np.int32))
+                parts = pa.ListArray.from_arrays(pa.array(np.arange(n + 1), pa.int32()), pa.StructArray.from_arrays([zero, zero, pts], names=["part", "ring", "pts"]))
+                geom = pa.StructArray.from_arrays([pa.array(["Polygon"] * n, pa.string()), parts], names=["kind", "parts"])
+                yield pa.RecordBatch.from_arrays([*[b[c] for c in kept], geom], names=[*kept, "geom"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-2], T.StructField("geom", T._parse_datatype_string(GEOM))]))
+
+
+def reach(df: DataFrame, geom: str = "geom", lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """``df`` with ``vertices``, ``nearest`` and ``farthest`` for each geometry: its number of vertices, and the least and the
+    largest great-circle metres from the row's point to one; a vertex or point without coordinates has no distance."""
+    rows = df.select(*[c for c in df.columns if c != geom], F.col(geom).alias("__geom"), F.col(lon).cast("double").alias("__lon"), F.col(lat).cast("double").alias("__lat"))
+    kept = rows.columns[:-3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, pts, xy = _rings(b["__geom"])
+            sizes, rings = _sizes(pts), _sizes(b["__geom"].flatten()[1])
+            n = np.add.reduceat(np.append(sizes, 0), np.minimum(np.cumsum(rings) - rings, len(sizes))) * (rings > 0) if len(b) else rings
+            lon, lat = (np.radians(np.repeat(b[c].to_numpy(zero_copy_only=False).astype(float), n)) for c in ("__lon", "__lat"))
+            x, y = np.radians(xy.astype(float)).T
+            h = np.sin((y - lat) / 2) ** 2 + np.cos(lat) * np.cos(y) * np.sin((x - lon) / 2) ** 2
+            away = 2 * EARTH * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+            first, some = (np.cumsum(n) - n)[n > 0], n > 0
+            out = []
+            for f in (np.fmin, np.fmax):
+                v = np.full(len(n), np.nan)
+                v[some] = f.reduceat(away, first) if some.any() else v[some]
+                out.append(pa.array(v, mask=np.isnan(v)))
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in kept], pa.array(n.astype(np.int32)), *out], names=[*kept, "vertices", "nearest", "farthest"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-3], T.StructField("vertices", T.IntegerType()), T.StructField("nearest", T.DoubleType()), T.StructField("farthest", T.DoubleType())]))
 
 
 def buffer(df: DataFrame, distance: float, unit: str = "kilometers", geom: str = "geom") -> DataFrame:
@@ -98,13 +163,29 @@ def convex_hull(points: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
 
 
 def simplify(df: DataFrame, tolerance: float, geom: str = "geom") -> DataFrame:
-    def kernel(g: dict) -> dict:
-        for p, r in zip(g["parts"], kernels.rings_of(g), strict=True):
-            r = kernels.simplify_ring(r, tolerance) if g["kind"].endswith("Polygon") else kernels.simplify(r, tolerance) if len(r) > 2 else r
-            p["pts"] = [{"x": x, "y": y} for x, y in r.tolist()]
-        return g
+    """Lines and rings without the vertices that are no farther than ``tolerance`` from what is left; other columns pass through.
 
-    return map_geometries(df, kernel, geom)
+    All lines of a batch are cut together, in its own buffers.
+    """
+    place = df.columns.index(geom)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            old = b[geom]
+            kind, parts = old.flatten()
+            rings, pts, xy = _rings(old)
+            sizes, many = _sizes(pts), _sizes(parts)
+            closed = np.repeat(pc.ends_with(kind, "Polygon").fill_null(False).to_numpy(zero_copy_only=False).astype(bool), many)
+            keep = kernels.simplify_all(xy, sizes, closed, tolerance)
+            kept = np.concatenate(([0], np.cumsum(keep)))
+            stops = np.cumsum(sizes)
+            part, ring, _ = rings.flatten()
+            pts = _lists(kept[stops] - kept[stops - sizes], _points(xy[keep]), pts.type)
+            rings = pa.StructArray.from_arrays([part, ring, pts], fields=list(rings.type))
+            new = pa.StructArray.from_arrays([kind, _lists(many, rings, parts.type)], fields=list(old.type), mask=old.is_null())
+            yield pa.RecordBatch.from_arrays([new if i == place else c for i, c in enumerate(b.columns)], schema=b.schema)
+
+    return df.mapInArrow(run, df.schema)
 
 
 def smooth(df: DataFrame, iterations: int = 1, geom: str = "geom") -> DataFrame:

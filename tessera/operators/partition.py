@@ -20,10 +20,21 @@ from tessera.storage import written
 
 BOUNDS = ("xmin", "ymin", "xmax", "ymax")
 LEAF_ROWS, SAMPLE, SMALL = 16_384, 100_000, 20_000
+TASK_ROWS = 32_768
 #: Rows of a leaf whose task does more with its pairs than to name them.
 MADE_ROWS = 2048
 
 
+def spread(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` dealt to tasks of about ``rows`` rows, for steps that do much with each row.
+
+    Tasks that read files follow their row groups: a compact table of millions of rows may be one task.  Rows are dealt by
+    their place, so equal ones do not meet.
+    """
+    tasks = -(-df.count() // rows)
+    return df if tasks < 2 else df.withColumn("__place", F.xxhash64(F.monotonically_increasing_id())).repartition(tasks, "__place").drop("__place")
+
+
 class SplitTable:
     """Cuts of the plane by a k-d tree over sampled centres: inner nodes (axis, cut, below, above), leaves (-1, leaf)."""
 
