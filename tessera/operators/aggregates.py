@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from tessera.functions.geodesy import METRES_PER_DEGREE_LAT, METRES_PER_DEGREE_LON
 from tessera.functions.values import kind_of, missing, number_of, text_of
+from tessera.operators.partition import spread
 
 SQRT3 = math.sqrt(3)
 MAX_HEX_CELLS, TARGET_DIVISIONS, MIN_HEX_METRES = 12_000, 40, 30.0
@@ -101,18 +102,25 @@ def hexbin(df: DataFrame, *, cell: float | None = None, density: str | None = No
     return cells.join(full, ["q", "r"], "left").select("q", "r", count.alias("count"), (F.round(F.coalesce("d", F.lit(0.0)), 4) if density else count.cast("double")).alias("density"))
 
 
-def inspect_fields(df: DataFrame, *, id_like: str = r"(?i)(^|_)(id|key|code|fid|oid|gid)$|key$|id$") -> DataFrame:
+def inspect_fields(df: DataFrame, *, id_like: str = r"(?i)(^|_)(id|key|code|fid|oid|gid)$|key$|id$", kinds: bool = True) -> DataFrame:
     """One row per column: valid and missing counts, range, mean, population deviation, distinct values, and why it is unfit.
 
-    One aggregate over all columns; ``reason`` is the first that holds of: named like an id, not numeric, fewer than three
-    values, constant, more than half missing; null for a fit field.
+    One aggregate over all columns, and, unless ``kinds`` is false, one over the different values of each column, in tasks of
+    few rows each; ``reason`` is the first that holds of: named like an id, not numeric, fewer than three values, constant, more
+    than half missing; null for a fit field.
     """
-    parts = []
+    df = spread(df)
+    parts, values = [], []
     for f in df.schema.fields:
         c, kind = F.col(f"`{f.name}`"), kind_of(df, f.name)
         x = number_of(c, kind) if not isinstance(f.dataType, T.BooleanType) else F.lit(None).cast("double")
-        parts.append(F.struct(F.lit(f.name).alias("field"), F.count(x).alias("valid"), (F.count(F.lit(1)) - F.count(x)).alias("missing"), F.min(x).alias("least"), F.max(x).alias("most"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("deviation"), F.countDistinct(x).alias("kinds"), F.lit(kind).alias("kind")).alias(f"c{len(parts)}"))
+        values.append(F.struct(F.lit(f.name).alias("field"), x.alias("x")))
+        parts.append(F.struct(F.lit(f.name).alias("field"), F.count(x).alias("valid"), (F.count(F.lit(1)) - F.count(x)).alias("missing"), F.min(x).alias("least"), F.max(x).alias("most"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("deviation"), F.lit(kind).alias("kind")).alias(f"c{len(parts)}"))
     rows = df.agg(*parts).select(F.explode(F.array(*[f"c{i}" for i in range(len(parts))])).alias("x")).select("x.*")
+    if kinds:
+        different = df.select(F.explode(F.array(*values)).alias("v")).select("v.field", "v.x").where("x is not null").distinct()
+        count = different.groupBy("field").agg(F.count(F.lit(1)).alias("kinds"))
+        rows = rows.join(count.hint("shuffle_hash"), "field", "left").select("field", "valid", "missing", "least", "most", "mean", "deviation", F.coalesce("kinds", F.lit(0)).cast("long").alias("kinds"), "kind")
     reason = F.when(F.col("field").rlike(id_like), "id").when(F.col("kind") != "number", "text").when(F.col("valid") < 3, "few").when(F.col("least") == F.col("most"), "constant").when(F.col("missing") > F.col("valid"), "missing")
     return rows.withColumn("reason", reason)
 

@@ -31,7 +31,7 @@ CATALOG: dict[str, Need] = {
 
 def inspect(df: DataFrame, families: list[str]) -> list[dict]:
     """A verdict for each statistic: feasible or not, why not, and the fields that would do."""
-    fields = [r.asDict() for r in inspect_fields(df).collect()]
+    fields = [r.asDict() for r in inspect_fields(df, kinds=False).collect()]
     n = df.count()
     out = []
     for name, need in CATALOG.items():
