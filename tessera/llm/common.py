@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
+import functools
 import inspect
 import os
 from collections.abc import Callable
@@ -31,13 +32,18 @@ def workers_can_import(spark: SparkSession, batch: str = "4m") -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+@functools.lru_cache(maxsize=1)
+def _trim() -> Callable | None:
+    """The C library's ``malloc_trim``, looked up once a worker: that starts processes."""
+    name = ctypes.util.find_library("c")
+    return getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
+
+
 def give_back() -> None:
     """Hand memory that is free to the system.  Python workers live on between tasks and stages, and what the C library and
     Arrow keep for later adds up over the workers of an executor."""
     pa.default_memory_pool().release_unused()
-    name = ctypes.util.find_library("c")
-    trim = getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
-    if trim:
+    if trim := _trim():
         trim(0)
 
 

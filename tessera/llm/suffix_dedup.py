@@ -123,7 +123,7 @@ def transform(windows: list[bytes]) -> np.ndarray:
     """The Burrows-Wheeler transform of windows ``left # right``: for all suffixes in order, the symbol before each.
 
     Each window ends with two end symbols; windows' ends are told apart and ordered as the windows are.  Suffixes are
-    sorted by prefix doubling from five symbols on.
+    sorted by prefix doubling from five symbols on, those that are not yet told apart.
     """
     sizes = np.array([len(w) for w in windows]) + 2
     text = _SYMBOL[np.frombuffer(ENDS.join(windows) + ENDS, np.uint8)]
@@ -137,16 +137,18 @@ def transform(windows: list[bytes]) -> np.ndarray:
     have, bits = 5, n.bit_length()
     key = key[:n] & np.array([~((1 << 8 * max(0, 4 - k)) - 1) for k in range(5)])[np.minimum(last - here, 4)]
     key[stops - 1] = np.arange(len(windows))
-    while True:
-        # The place is sorted along with the key.
-        packed = np.sort(key << bits | here)
-        order = packed & ((1 << bits) - 1)
+    # The place is sorted along with the key; a rank is the place of the first suffix that is equal so far.
+    order, rank, place = here.copy(), np.empty(n, np.int64), here
+    while len(place):
+        packed = np.sort(key << bits | here[: len(place)])
+        order[place] = who = order[place[packed & ((1 << bits) - 1)]]
         packed >>= bits
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([0], packed[1:] != packed[:-1])))
-        if rank[order[-1]] == n - 1:
-            break
-        key = rank * n + rank[np.minimum(here + have, last)]
+        new = np.concatenate(([True], packed[1:] != packed[:-1], [True]))
+        rank[who] = place[np.maximum.accumulate(np.where(new[:-1], here[: len(place)], 0))]
+        # Only suffixes that are not told apart go on.
+        tied = ~(new[:-1] & new[1:])
+        place, who = place[tied], who[tied]
+        key = rank[who] * n + rank[np.minimum(who + have, last[who])]
         have *= 2
     before = np.concatenate(([0], text[:-1])).astype(np.uint8)
     before[np.concatenate(([0], stops[:-1]))] = 0
