@@ -22,7 +22,6 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tessera.llm.common import dropped, tidy, written
 
@@ -255,8 +254,9 @@ def _ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy() if not column.null_count else np.array([LARGEST if x is None else x for x in column.to_pylist()], np.int64)
 
 
-def _block_grams(length: int) -> Callable:
-    """A block's distinct grams; ``c``: 1, or if several of its texts have the gram, its places in them."""
+def _block_grams(length: int, slices: int) -> Callable:
+    """A block's distinct grams, packed for each slice of all hashes: the hashes, then a number for each: 1, or if several
+    texts of the block have the gram, its places in them."""
 
     def run(docs: pa.Table) -> pa.Table:
         rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -271,11 +271,34 @@ def _block_grams(length: int) -> Callable:
         c = np.diff(np.append(first, len(h)))
         if len(h):
             c[np.minimum.reduceat(row, first) == np.maximum.reduceat(row, first)] = 1
-        return pa.table({"gram": pa.array(h[first].view(np.int64)), "block": pa.array(np.full(len(first), docs["block"][0].as_py(), np.int32)), "c": pa.array(c.astype(np.int32))})
+        h, c = h[first], c.astype(np.uint32)
+        of = (h % np.uint64(slices)).astype(np.int32)
+        order = np.argsort(of, kind="stable")
+        h, c, of = h[order], c[order], of[order]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(of)])) if len(of) else np.zeros(1, np.int64)
+        packed = [h[x:y].tobytes() + c[x:y].tobytes() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return pa.table({"slice": pa.array(of[cuts[:-1]]), "block": pa.array(np.full(len(packed), docs["block"][0].as_py(), np.int32)), "grams": pa.array(packed, pa.binary())})
 
     return run
 
 
+def _repeated(table: pa.Table) -> pa.Table:
+    """Of a slice's grams those with several places in all: for each block that has some, they and these places, packed."""
+    packed = table["grams"].to_pylist()
+    sizes = [len(x) // 12 for x in packed]
+    h = np.concatenate([np.frombuffer(x, np.int64, n) for x, n in zip(packed, sizes, strict=True)])
+    c = np.concatenate([np.frombuffer(x, np.uint32, n, 8 * n) for x, n in zip(packed, sizes, strict=True)]).astype(np.int64)
+    order = np.argsort(h)
+    first = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+    n = np.empty(len(h), np.int64)
+    n[order] = np.repeat(np.add.reduceat(c[order], first), np.diff(np.append(first, len(h))))
+    at = np.flatnonzero(n > 1)
+    stops = np.searchsorted(at, np.cumsum(sizes))
+    pairs = np.split(np.stack([h[at], n[at]], axis=1), stops[:-1])
+    some = [k for k, x in enumerate(pairs) if len(x)]
+    return pa.table({"block": table["block"].take(pa.array(some, pa.int64())), "grams": pa.array([pairs[k].tobytes() for k in some], pa.binary())})
+
+
 def _windows(length: int, hot: int, shards: int) -> Callable:
     """The different windows around a block's repeated grams, each once with all its places in the block.
 
@@ -390,16 +413,6 @@ def _merged(depth: int) -> Callable:
     return run
 
 
-def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The grams of a batch and their places in all, packed for each block."""
-    for b in batches:
-        block = b["block"].to_numpy()
-        order = np.argsort(block, kind="stable")
-        pairs = np.stack([b["gram"].to_numpy()[order], b["n"].to_numpy()[order]], axis=1)
-        first = np.flatnonzero(np.concatenate(([True], block[order][1:] != block[order][:-1])))[: len(block)]
-        yield pa.RecordBatch.from_arrays([pa.array(block[order][first]), pa.array([x.tobytes() for x in np.split(pairs, first[1:])] if len(first) else [], pa.binary())], names=["block", "grams"])
-
-
 def _lost(length: int) -> Callable:
     """What the texts lose, of (block, at, n, first, places); the overlapping spans of a text in a batch are joined."""
 
@@ -454,7 +467,7 @@ def _cut(with_text: bool, length: int) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 50, keep: list[str] | None = None, with_text: bool = False, block_bytes: int = 28 << 20, bucket_windows: int = 9000, shards: int = 2, hot: int = 60_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 50, keep: list[str] | None = None, with_text: bool = False, block_bytes: int = 14 << 20, slice_bytes: int = 32 << 20, bucket_windows: int = 9000, shards: int = 2, hot: int = 60_000) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) with n_bytes, n_removed, n_spans, kept_sha256[, kept_text].
 
     A byte goes if a string of ``length`` bytes (3 at least) that covers it also starts in a document with a smaller doc_id;
@@ -462,7 +475,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, keep: list[str] | None
     counts as the largest.  ``keep`` names more columns to carry.  ``kept_text`` drops bytes of characters that were cut
     apart.
 
-    Texts are dealt to blocks of about ``block_bytes`` by hash.  A bucket has about ``bucket_windows`` windows of the blocks
+    Texts are dealt to blocks of about ``block_bytes`` by hash.  A slice has the grams of about ``slice_bytes`` of text by
+    their hash, at most one row a block, so no gram fills it however many texts have it.  A bucket has about ``bucket_windows`` windows of the blocks
     and at least ``shards`` shards; anchors with over ``hot`` places go string by string, with more shards the more there are, so that no task's rows grow with the number of texts that share a passage, nor with its different surroundings.
     Everything moves as rows whose number follows the input.
     """
@@ -474,9 +488,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, keep: list[str] | None
     blocks = max(16, -(-int(size or 0) // block_bytes))
     dealt = rows.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int"))
     slim = dealt.select("block", F.col("doc_id").cast("long").alias("doc_id"), "key", "data")
-    grams = slim.groupBy("block").applyInArrow(tidy(_block_grams(length)), "gram long, block int, c int")
-    repeated = grams.withColumn("n", F.sum("c").over(W.partitionBy("gram"))).where("n > 1").select("block", "gram", "n")
-    again = written(repeated.mapInArrow(_by_block, "block int, grams binary"))
+    slices = max(64, -(-int(size or 0) // slice_bytes))
+    grams = slim.groupBy("block").applyInArrow(tidy(_block_grams(length, slices)), "slice int, block int, grams binary")
+    again = written(grams.groupBy("slice").applyInArrow(tidy(_repeated), "block int, grams binary"))
     several = again.agg(F.coalesce(F.sum(F.octet_length("grams")), F.lit(0))).first()[0] // 16
     buckets = max(4, -(-int(several) // bucket_windows))
     found = slim.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(tidy(_windows(length, hot, shards)), "anchor long, context binary, shard int, least long, most long, block int, places binary")
