@@ -33,26 +33,44 @@ def workers_can_import(spark: SparkSession, batch: str = "4m") -> None:
 
 
 @functools.lru_cache(maxsize=1)
-def _trim() -> Callable | None:
-    """The C library's ``malloc_trim``, looked up once a worker: that starts processes."""
+def _c_library() -> ctypes.CDLL | None:
+    """The C library, looked up once a worker: that starts processes."""
     name = ctypes.util.find_library("c")
-    return getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
+    return ctypes.CDLL(name) if name else None
+
+
+_kept = [0]
+
+
+def _keep_free(size: int) -> None:
+    """Let the C library keep up to ``size`` free bytes of its heap, or its usual 128 K, so that it need not get pages from
+    the system again, which come zeroed one by one."""
+    if size != _kept[0] and (mallopt := getattr(_c_library(), "mallopt", None)):
+        mallopt(-1, max(size, 1 << 17))  # M_TRIM_THRESHOLD
+        mallopt(-3, min(max(size, 1 << 17), 1 << 25))  # M_MMAP_THRESHOLD
+        _kept[0] = size
 
 
 def give_back() -> None:
     """Hand memory that is free to the system.  Python workers live on between tasks and stages, and what the C library and
     Arrow keep for later adds up over the workers of an executor."""
     pa.default_memory_pool().release_unused()
-    if trim := _trim():
+    if trim := getattr(_c_library(), "malloc_trim", None):
         trim(0)
 
 
-def tidy(function: Callable) -> Callable:
-    """A function of one or two groups that gives memory back after each."""
+def tidy(function: Callable, kept: int = 0) -> Callable:
+    """A function of one or two groups that gives memory back after each.
+
+    ``kept``: free bytes that a worker may keep for its next group, where groups are so many and small that getting memory
+    takes a good part of their time.
+    """
 
     def after(*groups):
+        _keep_free(kept)
         out = function(*groups)
-        give_back()
+        if not kept:
+            give_back()
         return out
 
     return (lambda a: after(a)) if len(inspect.signature(function).parameters) == 1 else (lambda a, b: after(a, b))

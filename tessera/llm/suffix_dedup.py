@@ -31,6 +31,7 @@ ENDS, ANCHOR = b"\xfe\xfe", b"\xff"
 _SYMBOL = np.minimum(np.arange(256) + 2, 254).astype(np.uint8)
 _SYMBOL[0xFE], _SYMBOL[0xFF] = 1, 255
 LARGEST = np.iinfo(np.int64).max
+KEPT = 64 << 20  # free bytes a worker keeps from bucket to bucket
 
 
 def gram_length(length: int) -> int:
@@ -497,8 +498,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, keep: list[str] | None
     windows = written(found)
     dropped(again)
     parts = windows.select(F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("int").alias("bucket"), "shard", "anchor", "context", "least", "most")
-    transforms = written(parts.groupBy("bucket", "shard").applyInArrow(tidy(_shard_transform), TRANSFORMS))
-    repeats = written(transforms.groupBy("bucket").applyInArrow(tidy(_merged(depth)), "anchor long, context_key long, at long, n long, first long"))
+    transforms = written(parts.groupBy("bucket", "shard").applyInArrow(tidy(_shard_transform, KEPT), TRANSFORMS))
+    repeats = written(transforms.groupBy("bucket").applyInArrow(tidy(_merged(depth), KEPT), "anchor long, context_key long, at long, n long, first long"))
     dropped(transforms)
     held = windows.select("anchor", F.xxhash64("context").alias("context_key"), "block", "places")
     hits = held.join(repeats, ["anchor", "context_key"]).select("block", "at", "n", "first", "places")

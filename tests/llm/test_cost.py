@@ -1,6 +1,7 @@
 """What is done again and again is bounded."""
 
 import ctypes.util
+import resource
 from collections import Counter
 
 import numpy as np
@@ -51,3 +52,12 @@ def test_blocks_send_a_row_a_slice_of_their_grams():
     assert several and set(found) == {0, 1, 2}
     for b in range(3):
         assert dict(found[b]) == {x: total[x] for c in own[b] for x in c if x in several}
+
+
+def test_small_groups_use_their_memory_again():
+    work = common.tidy(lambda n: sum(int(np.ones(n, np.int64)[0]) for _ in range(3)), 32 << 20)
+    work(1 << 20)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    assert [work(1 << 20) for _ in range(10)] == [3] * 10
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 5000  # 30 arrays of 2048 pages each
+    common.tidy(len)([])
