@@ -3,19 +3,21 @@
 Texts are dealt to blocks.  Each block hashes its phrases to the slots of a counting sketch and sends, for each slice of the
 sketch, the slots it fills, packed; a task per slice adds them up and answers each block with one bit a slot: may its phrases
 reach the threshold?  A slot counts all phrases that fall into it, so its sum is an upper bound.  The block compiles its
-candidates to automata whose patterns begin and end with a delimiter, counts all their matches, overlaps included, and the
-counts of the blocks are summed before thresholds apply.  The sketch has more slices the larger the corpus, so it neither
+candidates to automata whose patterns begin and end with a delimiter, counts all their matches, overlaps included, and sends
+them packed, a row for each language and shard of phrases; a task per shard sums the counts before thresholds apply.  The sketch has more slices the larger the corpus, so it neither
 fills up nor is it ever in one place, and an automaton is bounded by its block.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -157,21 +159,40 @@ def matches(words: Words, phrases: list[str], batch: int = 400_000) -> np.ndarra
     return np.concatenate([np.zeros(0, np.int64), *found])
 
 
-def _counted(longest: int, bits: int):
+def _packed(lang: str, phrases: list[str], f: np.ndarray, shards: int) -> pa.Table:
+    """(lang, shard, phrases, f): a row has all phrases of a shard, which goes by the phrase's bytes."""
+    shard = np.fromiter((zlib.crc32(p.encode()) % shards for p in phrases), np.int32, len(phrases))
+    order = np.argsort(shard, kind="stable")
+    shard = shard[order]
+    first = np.flatnonzero(np.diff(shard, prepend=-1))
+    offsets = pa.array(np.append(first, len(shard)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, x.take(pa.array(order))) for x in (pa.array(phrases, pa.string()), pa.array(f.astype(np.int64)))]
+    return pa.table([pa.array([lang] * len(first), pa.string()), pa.array(shard[first]), *lists], names=["lang", "shard", "phrases", "f"])
+
+
+def _counted(longest: int, bits: int, shards: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         every = list(_of_block(table))
         slots, _ = _slots(every, longest, bits)
         bits_of = dict(zip(answers["slice"].to_pylist(), answers["bits"].to_pylist(), strict=True))
         may = [slots[a:b][np.unpackbits(np.frombuffer(bits_of[s], np.uint8), count=b - a).astype(bool)] for s, a, b in _slices(slots)]
         may = np.concatenate([np.zeros(0, np.uint64), *may])
-        langs, phrases, counts = [], [], []
+        out = []
         for w in every:
             found = candidates(w, may, longest, bits)
             n = matches(w, found)
-            langs += [w.lang] * (len(found) + 1)
-            phrases += [*found, ""]
-            counts += [n, [len(w)]]
-        return pa.table({"lang": pa.array(langs, pa.string()), "phrase": pa.array(phrases, pa.string()), "f": pa.array(np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int64))})
+            out.append(_packed(w.lang, [*found, ""], np.append(n, len(w)), shards))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _summed(least: int):
+    def run(table: pa.Table) -> pa.Table:
+        flat = pa.table([table[c].combine_chunks().flatten() for c in ("phrases", "f")], names=["phrase", "f"])
+        flat = flat.group_by("phrase").aggregate([("f", "sum")])
+        flat = flat.filter((pc.field("f_sum") >= least) | (pc.field("phrase") == ""))
+        return pa.table([pa.repeat(table["lang"][0], len(flat)), flat["phrase"], flat["f_sum"]], names=["lang", "phrase", "f"])
 
     return run
 
@@ -189,8 +210,9 @@ def counts(docs: DataFrame, *, least: int = 30, longest: int = 4, block_bytes: i
     blocked = written(rows.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"), "lang", "text"))
     sent = blocked.groupBy("block").applyInArrow(tidy(_sketched(longest, bits, least)), "slice int, block int, n int, packed binary")
     answers = written(sent.groupBy("slice").applyInArrow(tidy(_answered(least)), "block int, slice int, bits binary"))
-    found = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy(_counted(longest, bits)), "lang string, phrase string, f long")
-    summed = written(found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == "")))
+    # Twice as many shards as blocks, so that a shard has about half of what a block sends, however many blocks there are.
+    found = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidy(_counted(longest, bits, 2 * blocks)), "lang string, shard int, phrases array<string>, f array<long>")
+    summed = written(found.groupBy("lang", "shard").applyInArrow(tidy(_summed(least)), "lang string, phrase string, f long"))
     dropped(blocked, answers)
     return summed
 

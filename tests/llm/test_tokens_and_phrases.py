@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -152,3 +154,26 @@ def test_op13_counts_past_64_bits(spark):
     text = "ha ho " * 200
     got = collocations.collocations(spark.createDataFrame([("en", text)], "lang string, text string"), scale=10**17, longest=2).orderBy("rank").collect()
     assert [(r["phrase"], r["score"]) for r in got] == [("ha ho", 200 * 10**17 // 400), ("ho ha", 199 * 10**17 // 400)]
+
+
+def test_op13_blocks_send_rows_by_shard_not_by_phrase():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(300)], k=400)) for _ in range(20)]
+    table = pa.table({"block": pa.array([0] * 20, pa.int32()), "lang": ["en", "de"] * 10, "text": texts})
+    slots, _ = collocations._slots(list(collocations._of_block(table)), 2, 24)
+    cut = collocations._slices(slots)
+    answers = pa.table({"block": pa.array([0] * len(cut), pa.int32()), "slice": pa.array([s for s, _, _ in cut], pa.int32()), "bits": [np.packbits(np.ones(b - a, bool)).tobytes() for _, a, b in cut]})
+    sent = collocations._counted(2, 24, 5)(table, answers)
+    assert len(sent) == 2 * 5
+    want = Counter()
+    for lang, text in zip(table["lang"].to_pylist(), texts, strict=True):
+        ws = text.split()
+        want.update([(lang, "")] * len(ws) + [(lang, w) for w in ws] + [(lang, f"{v} {w}") for v, w in itertools.pairwise(ws)])
+    twice = pa.concat_tables([sent, sent])
+    got = Counter()
+    for lang, shard in {(r["lang"], r["shard"]) for r in sent.select(["lang", "shard"]).to_pylist()}:
+        own = twice.filter((pc.field("lang") == lang) & (pc.field("shard") == shard))
+        found = collocations._summed(40)(own).to_pylist()
+        assert not set(got) & {(lang, r["phrase"]) for r in found}
+        got.update({(lang, r["phrase"]): r["f"] for r in found})
+    assert got == {p: 2 * n for p, n in want.items() if 2 * n >= 40 or not p[1]} and len(want) > 8_000
