@@ -1,9 +1,10 @@
 """Cross-tokenizer alignment: which tokens of two tokenizers share bytes, and how often a pair of ids does.
 
 Python only tokenises.  Texts are cut before single spaces between words, where both tokenizers always end a token, and the
-different runs of a unit of texts are encoded once.  Everything after that is Spark's higher-order functions over arrays:
+different runs of a unit of texts are encoded once; those which both tokenizers cut alike stand apart.  Everything after that
+is Spark's higher-order functions over arrays: ``zip_with`` pairs the tokens of runs cut alike; of the others
 ``array_intersect`` of the two end arrays gives the common ends, ``transform`` over a ``sequence`` of them slices groups and
-crosses their ids to links, ``aggregate`` sums up each text.  Counts of id pairs over the corpus come back by joins.
+crosses their ids to links; ``aggregate`` sums up each text.  Counts of id pairs over the corpus come back by joins.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tessera.llm.common import written
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 SHIFT = 16  # ids of the second tokenizer fit in so many bits
-GREATEST_INDEX = (1 << 31) - 1
 
 
 def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -78,7 +79,7 @@ class Tokenizers:
         self.b = _Encoded([bytes((int(p[3:5], 16),)) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)])
         #: No piece has a space after another character, so no merge crosses the start of a word.
         self.separable = not any("▁" in p.lstrip("▁") for p in names)
-        self.remembered, self.numbers = remembered, {}
+        self.remembered, self.numbers, self.alike = remembered, {}, np.zeros(0, bool)
 
     def _add(self, runs: list[str]) -> None:
         """Number runs; those of which a tokenizer loses bytes get -1."""
@@ -90,6 +91,11 @@ class Tokenizers:
                 good = [g and b"".join(map(name, own)) == b" " + run.encode() for g, own, run in zip(good, ids, runs, strict=True)]
             one.add(ids)
         at = len(self.a.first) - 1 - len(runs)
+        new = np.arange(at, at + len(runs))
+        same = self.a.tokens(new) == self.b.tokens(new)
+        (n, _, ends), (_, _, others) = self.a.of(new[same]), self.b.of(new[same])
+        same[same] = np.bincount(np.repeat(np.arange(len(n)), n), ends != others, len(n)) == 0
+        self.alike = np.concatenate([self.alike, same])
         self.numbers |= {r: at + k if g else -1 for k, (r, g) in enumerate(zip(runs, good, strict=True))}
 
     def cut(self, texts: list[str | None]) -> list[list[int]]:
@@ -98,10 +104,11 @@ class Tokenizers:
             self.numbers.clear()
             self.a.clear()
             self.b.clear()
+            self.alike = np.zeros(0, bool)
         cuts = [(_CUT.split(t) if self.separable else [t]) if t else [] for t in texts]
-        if new := [r for r in dict.fromkeys(chain.from_iterable(cuts)) if r not in self.numbers]:
+        if new := [r for r in set().union(*cuts) if r not in self.numbers]:
             self._add(new)
-        out = [[self.numbers[r] for r in c] for c in cuts]
+        out = [list(map(self.numbers.__getitem__, c)) for c in cuts]
         for k, found in enumerate(out):
             if -1 in found:  # only the whole text decides
                 if texts[k] not in self.numbers:
@@ -117,12 +124,14 @@ def _tokenizers(ranks: str, pieces: str) -> Tokenizers:
 
 
 def tokenised(docs: DataFrame, *, doc_id: str, text: str, unit: int, ranks: str, pieces: str) -> DataFrame:
-    """(a, a_ends, b, b_ends, run_ends, docs): a row has texts of about ``unit`` characters.
+    """(alike_a, alike_b, a, a_ends, b, b_ends, run_ends, docs): a row has texts of about ``unit`` characters.
 
-    Its different runs stand one after the other, with their ids and the byte offsets at which ids and runs end; ``docs`` has
-    for each text its numbers of tokens and the run at each place (``places``).
+    Of its different runs come first those whose tokens end alike under both, with the ids of each.  The others stand one
+    after the other, with their ids and twice the byte offsets at which ids and runs end; ``docs`` has for each text its
+    numbers of tokens and the run at each place (``places``).
     """
-    kind = docs.select(docs[doc_id].alias("d")).schema["d"].dataType.simpleString()
+    kind = docs.select(docs[doc_id].alias("d")).schema["d"].dataType
+    names = ["alike_a", "alike_b", "a", "a_ends", "b", "b_ends", "run_ends", "docs"]
 
     def lists(offsets: list[int] | np.ndarray, values: pa.Array) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.asarray(offsets, np.int32)), values)
@@ -136,35 +145,47 @@ def tokenised(docs: DataFrame, *, doc_id: str, text: str, unit: int, ranks: str,
             sizes = np.cumsum([len(t or "") for t in texts]) // unit
             for own in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes)) + 1):
                 cuts = both.cut([texts[i] for i in own])
-                lengths = np.array([len(c) for c in cuts])
-                runs, places = np.unique(np.fromiter(chain.from_iterable(cuts), np.int64, int(lengths.sum())), return_inverse=True)
-                fields, ends = [], None
+                stops = np.cumsum([0, *map(len, cuts)])
+                every = np.fromiter(chain.from_iterable(cuts), np.int64, stops[-1])
+                runs, places = np.unique(every, return_inverse=True)
+                alike = both.alike[runs]
+                order = np.concatenate([np.flatnonzero(alike), np.flatnonzero(~alike)])
+                runs, places = runs[order], np.argsort(order)[places]
+                same, runs = np.split(runs, [alike.sum()])
+                fields, run_ends = [], None
                 for one in (both.a, both.b):
-                    n, ids, own_ends = one.of(runs)
-                    stops = np.cumsum(n)
-                    ends = np.cumsum(own_ends[stops - 1], dtype=np.int64) if len(runs) else np.zeros(0, np.int64)
-                    fields += [ids, own_ends + np.repeat(np.concatenate(([0], ends[:-1])), n) if len(runs) else ids]
-                fields = [lists([0, len(f)], pa.array(f.astype(np.int32))) for f in (*fields, ends)]
-                tokens = [pa.array([int(one.tokens(np.array(c, np.int64)).sum()) for c in cuts], pa.int64()) for one in (both.a, both.b)]
-                rows = pa.StructArray.from_arrays([b["doc_id"].slice(own[0], len(own)), *tokens, lists(np.concatenate(([0], np.cumsum(lengths))), pa.array(places.astype(np.int32)))], names=["doc_id", "n_a", "n_b", "places"])
-                yield pa.RecordBatch.from_arrays([*fields, lists([0, len(rows)], rows)], names=["a", "a_ends", "b", "b_ends", "run_ends", "docs"])
-
-    ints = "array<int>"
-    schema = f"a {ints}, a_ends {ints}, b {ints}, b_ends {ints}, run_ends {ints}, docs array<struct<doc_id:{kind},n_a:long,n_b:long,places:{ints}>>"
+                    n, ids, _ = one.of(same)
+                    fields.append(lists([0, len(same)], lists(np.append(0, np.cumsum(n)), pa.array(ids))))
+                for one in (both.a, both.b):
+                    n, ids, ends = one.of(runs)
+                    run_ends = np.cumsum(ends[np.cumsum(n) - 1], dtype=np.int64)
+                    ends = ends + np.repeat(np.append(0, run_ends)[:-1], n)
+                    fields += [lists([0, len(ids)], pa.array(ids)), lists([0, len(ends)], pa.array(2 * ends))]
+                fields.append(lists([0, len(run_ends)], pa.array(2 * run_ends)))
+                tokens = [pa.array(np.diff(np.append(0, np.cumsum(one.tokens(every)))[stops])) for one in (both.a, both.b)]
+                rows = pa.StructArray.from_arrays([b["doc_id"].slice(own[0], len(own)), *tokens, lists(stops, pa.array(places.astype(np.int32)))], names=["doc_id", "n_a", "n_b", "places"])
+                yield pa.RecordBatch.from_arrays([*fields, lists([0, len(rows)], rows)], names=names)
+
+    ids, ends = T.ArrayType(T.IntegerType(), False), T.ArrayType(T.LongType(), False)  # without nulls, as then Spark sorts plain numbers
+    types = [T.ArrayType(ids, False), T.ArrayType(ids, False), ids, ends, ids, ends, ends]
+    one_doc = T.StructType([T.StructField("doc_id", kind), T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("places", ids)])
+    schema = T.StructType([T.StructField(n, t, False) for n, t in zip(names, [*types, T.ArrayType(one_doc, False)], strict=True)])
     return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(encode, schema)
 
 
-def _places(ends: str, some: str) -> Column:
-    """0 and, from 1, where each of the ascending ``some`` stands among the ascending ``ends``.
+def _marked(ends: str, some: str) -> Column:
+    """The ascending ``ends``, which are even, with each of ``some`` of them once more, plus one, just behind."""
+    return F.sort_array(F.concat(ends, F.transform(some, lambda e: e + 1)))
+
+
+def _places(marked: str) -> Column:
+    """0 and, from 1, where each marked end stands among the ends.
 
-    Both are sorted together, each end just before its equal, so that the work does not grow with the square of a unit.
+    ``marked`` must be a column, and is used twice, so that Spark sorts it by generated code in a step of its own.
     """
-    mark = F.lit(1 << 31)
-    own = F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + i)
-    together = F.sort_array(F.concat(own, F.transform(some, lambda e: F.shiftleft(e.cast("long"), 32) + mark)))
-    before = lambda t: F.transform(t, lambda x, i: F.when(x.bitwiseAND(mark) > 0, F.get(t, i - 1).bitwiseAND(GREATEST_INDEX).cast("int") + 1))
-    found = F.get(F.transform(F.array(together), before), F.lit(0))  # a lambda's variable is computed once
-    return F.concat(F.array(F.lit(0)), F.filter(found, lambda x: x.isNotNull()))
+    at = F.transform(marked, lambda x, i: x.bitwiseAND(1).cast("int") * (i + 1))
+    at = F.transform(F.filter(at, lambda y: y > 0), lambda y, k: y - 1 - k)
+    return F.when(F.size(marked) > 0, F.concat(F.array(F.lit(0)), at)).otherwise(F.array(F.lit(0)))
 
 
 def _between(values: str, places: str, k: Column) -> Column:
@@ -174,8 +195,20 @@ def _between(values: str, places: str, k: Column) -> Column:
 
 def grouped(units: DataFrame) -> DataFrame:
     """(texts, links, sizes, docs): of each run of a unit its groups as text, its links, and the number of its groups."""
+
+    def pair(a: Column, b: Column) -> Column:
+        return F.shiftleft(a.cast("long"), SHIFT) + b
+
+    def alike_text(a: Column, b: Column) -> Column:
+        names = [x.cast("array<string>") for x in (a, b)]
+        return F.array_join(F.zip_with(*names, lambda x, y: F.concat(x, F.lit("|"), y)), ";")
+
+    alike = [F.zip_with("alike_a", "alike_b", f).alias(n) for n, f in (("texts", alike_text), ("links", lambda a, b: F.zip_with(a, b, pair)))]
+    alike = F.struct(*alike, F.transform("alike_a", F.size).alias("sizes")).alias("alike")
     units = units.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    units = units.select("a", "b", "docs", _places("a_ends", "common").alias("at_a"), _places("b_ends", "common").alias("at_b"), _places("common", "run_ends").alias("at_run"))
+    marked = [_marked(*x).alias(f"marked_{n}") for n, x in {"a": ("a_ends", "common"), "b": ("b_ends", "common"), "run": ("common", "run_ends")}.items()]
+    units = units.select("a", "b", "docs", alike, *marked)
+    units = units.select("a", "b", "docs", "alike", *[_places(f"marked_{n}").alias(f"at_{n}") for n in ("a", "b", "run")])
     units = units.select("*", *[F.col(x).cast("array<string>").alias(f"{x}_names") for x in "ab"])
 
     def one(k: Column) -> Column:
@@ -185,21 +218,19 @@ def grouped(units: DataFrame) -> DataFrame:
         names = [F.when(F.get(f"at_{x}", k + 1) - F.get(f"at_{x}", k) == 1, F.get(f"{x}_names", F.get(f"at_{x}", k))).otherwise(F.array_join(_between(f"{x}_names", f"at_{x}", k), ",")) for x in "ab"]
         return F.concat(names[0], F.lit("|"), names[1])
 
-    def pair(a: Column, b: Column) -> Column:
-        return F.shiftleft(a.cast("long"), SHIFT) + b
-
     def links(k: Column) -> Column:
         crossed = F.flatten(F.transform(_between("a", "at_a", k), lambda a: F.transform(_between("b", "at_b", k), lambda b: pair(a, b))))
         return F.when(one(k), F.array(pair(F.get("a", F.get("at_a", k)), F.get("b", F.get("at_b", k))))).otherwise(crossed)
 
     last = F.size("at_a") - 2
     each = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    units = units.select("docs", "at_run", F.transform(each, text).alias("group_texts"), F.transform(each, links).alias("group_links"))
+    units = units.select("docs", "alike", "at_run", F.transform(each, text).alias("group_texts"), F.transform(each, links).alias("group_links"))
     last = F.size("at_run") - 2
     runs = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     of_run = lambda k: F.get("at_run", k + 1) - F.get("at_run", k)
     texts = lambda k: F.when(of_run(k) == 1, F.get("group_texts", F.get("at_run", k))).otherwise(F.array_join(_between("group_texts", "at_run", k), ";"))
-    return units.select(F.transform(runs, texts).alias("texts"), F.transform(runs, lambda k: F.flatten(_between("group_links", "at_run", k))).alias("links"), F.transform(runs, of_run).alias("sizes"), "docs")
+    others = {"texts": F.transform(runs, texts), "links": F.transform(runs, lambda k: F.flatten(_between("group_links", "at_run", k))), "sizes": F.transform(runs, of_run)}
+    return units.select(*[F.concat(f"alike.{n}", c).alias(n) for n, c in others.items()], "docs")
 
 
 def align(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", unit: int = 1 << 17, hot_pairs: int = 500_000, ranks: str = "byte_bpe_50k.tiktoken", pieces: str = "piece_bpe_32k.model") -> DataFrame:

@@ -177,3 +177,14 @@ def test_op13_blocks_send_rows_by_shard_not_by_phrase():
         assert not set(got) & {(lang, r["phrase"]) for r in found}
         got.update({(lang, r["phrase"]): r["f"] for r in found})
     assert got == {p: 2 * n for p, n in want.items() if 2 * n >= 40 or not p[1]} and len(want) > 8_000
+
+
+def test_op11_knows_the_runs_cut_alike():
+    both = alignment.Tokenizers(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model"), remembered=50)
+    seen = Counter()
+    for texts in (["the mill of the town, onnting erenenst ontiontion", ""], random_texts(200, seed=6), [None, "the cat"]):
+        for n in set(itertools.chain.from_iterable(both.cut(texts))):
+            (*_, a), (*_, b) = both.a.of(np.array([n])), both.b.of(np.array([n]))
+            seen[bool(both.alike[n])] += 1
+            assert both.alike[n] == np.array_equal(a, b)
+    assert len(seen) == 2
